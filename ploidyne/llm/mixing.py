@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) -
     """Targets from (source, source_size): weights share all words, no target exceeds ``cap`` times its source.
 
     Capping and sharing the excess again until none is above ends at one water level: source i gets min(cap * size, level * weight).
-    Sources are sorted by cap * size / weight; the level is the first at which those that are left can take what is left. The
+    Sources are sorted by cap * size / weight; the level is the first at which those that are left can take what is left. From there on levels
+    only fall, so it is the greatest of those that fit. The
     table has a row per source, so its windows see as many rows as there are sources.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -61,7 +62,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) -
     below = fill.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     s = s.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(below), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(below), F.lit(0.0))))
-    s = s.withColumn("open_level", F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))).over(everything))
+    s = s.withColumn("open_level", F.max(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))).over(everything))
     return s.select("source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("open_level") * F.col("w"), F.col("limit"))).alias("target"))
 
 
@@ -120,7 +121,7 @@ f AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
   FROM s WINDOW o AS (ORDER BY 3 * source_size / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
-  SELECT source, source_size, least(3 * source_size, coalesce(min(CASE WHEN level * w <= 3 * source_size THEN level END) OVER () * w, 3 * source_size)) AS target FROM f),
+  SELECT source, source_size, least(3 * source_size, coalesce(max(CASE WHEN level * w <= 3 * source_size THEN level END) OVER () * w, 3 * source_size)) AS target FROM f),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
