@@ -46,6 +46,7 @@ def edits(n: int) -> int:
     return int(EDIT_SHARE * n + 1e-9)
 
 
+@np.errstate(over="ignore")
 def walk(sequence: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Words and positions at each of 3 * longest steps of the walk from each start; END and the last position past ``ends``."""
     steps = 3 * longest
@@ -106,7 +107,7 @@ class Index:
         p = self.pair(hashes)
         maybe = np.flatnonzero(self.bitmap[(p >> np.uint64(44)).astype(np.int64)] & (doc[:-1] == doc[1:]))
         hit = maybe[np.isin(p[maybe], self.pairs)]
-        first = np.searchsorted(doc, doc, "left")[hit] if len(hit) else hit
+        first = np.searchsorted(doc, doc[hit], "left")
         out = {}
         for n in self.sizes:
             k = edits(n)
@@ -147,9 +148,13 @@ class Index:
                     for z in range(SAMPLES):
                         known, owner = self.keys[n, r, z]
                         low, high = np.searchsorted(known, keys[z], "left"), np.searchsorted(known, keys[z], "right")
-                        for q in np.flatnonzero(high > low):
-                            found += [(int(part[s[q]]), int(o)) for o in owner[low[q] : high[q]]]
-        return self.verify(sorted(set(found)), hashes, offsets, doc)
+                        times = high - low
+                        if times.any():
+                            q = np.repeat(np.arange(len(s)), times)
+                            at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(q))
+                            found.append(part[s[q]] * len(self.words) + owner[at])
+        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return self.verify(zip((codes // len(self.words)).tolist(), (codes % len(self.words)).tolist(), strict=True), hashes, offsets, doc)
 
     def verify(self, candidates, hashes, offsets, doc) -> list[tuple[int, int, int, int]]:
         best: dict = {}
@@ -159,11 +164,15 @@ class Index:
         for (item, d), starts in by_item.items():
             word, k, n, done = self.words[item], edits(len(self.words[item])), len(self.words[item]), -1
             for start in starts:
-                if start <= done:  # within the run that was searched last
+                if start <= done:
                     continue
                 low, high = max(offsets[d], start - 2 * k), min(offsets[d + 1], start + 2 * n + 2 * k)
-                distance, at = best_run(word, hashes[low:high])
+                # runs that start up to here lie within what is searched now
                 done = high - n - k
+                # an item's word that the run lacks is an edit, so this bound loses nothing
+                if n - np.isin(word, hashes[low:high]).sum() > k:
+                    continue
+                distance, at = best_run(word, hashes[low:high])
                 if distance <= k:
                     best[d, item] = min(best.get((d, item), (n + 1, 0)), (distance, int(low + at - offsets[d])))
         return [(d, item, distance, at) for (d, item), (distance, at) in sorted(best.items())]
@@ -198,7 +207,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_words: int =
     def search(index: Index) -> DataFrame:
         def run(batches):
             for batch in batches:
-                for part in tk.slices(batch, "text", 1 << 20):
+                for part in tk.slices(batch, "text", 4 << 20):
                     found = index.search(*words_of(part.column("text")))
                     if found:
                         d, i, e, s = zip(*found, strict=True)
