@@ -33,6 +33,7 @@ WALKS, SAMPLES, BITS = 8, 8, 3
 ITEM_WORDS = 2_000_000
 _rng = np.random.default_rng(31)
 _SALT = _rng.integers(1, 2**63, (WALKS, 2), dtype=np.uint64) | np.uint64(1)
+_FACTOR = _rng.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
 END = np.uint64(0)
 HITS = "doc_id long, item_id long, n_words int, edit_distance int, start_word int"
 
@@ -48,8 +49,8 @@ def edits(n: int) -> int:
 
 @np.errstate(over="ignore")
 def walk(sequence: np.ndarray, starts: np.ndarray, ends: np.ndarray, longest: int, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and positions at each of 3 * longest steps of the walk from each start; END and the last position past ``ends``."""
-    steps = 3 * longest
+    """Words and positions at each of 2 * longest steps of the walk from each start; END and the last position past ``ends``."""
+    steps = max(1, 2 * longest)
     at = starts.copy()
     symbols, places = np.empty((steps, len(starts)), np.uint64), np.empty((steps, len(starts)), np.int32)
     padded = np.append(sequence, END)
@@ -73,6 +74,8 @@ class Index:
         self.of_size = {n: [k for k, w in enumerate(self.words) if len(w) == n] for n in self.sizes}
         pairs = [self.pair(w) for w in self.words if len(w) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        self.numbers = [np.searchsorted(self.vocabulary, w) for w in self.words]
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
         self.single = np.unique(np.concatenate([w for w in self.words if len(w) == 1])) if 1 in self.of_size else np.zeros(0, np.uint64)
@@ -83,7 +86,7 @@ class Index:
             flat = np.concatenate([self.words[k] for k in self.of_size[n]])
             starts = np.arange(len(self.of_size[n]), dtype=np.int64) * n
             for r in range(WALKS):
-                keys = self.sample(*walk(flat, starts, starts + n, n, r), n, r)
+                keys = self.sample(*walk(flat, starts, starts + n, n, r), np.arange(len(starts)), n, r)
                 for z in range(SAMPLES):
                     order = np.argsort(keys[z], kind="stable")
                     self.keys[n, r, z] = keys[z][order], np.array(self.of_size[n])[order]
@@ -92,15 +95,13 @@ class Index:
     def pair(w: np.ndarray) -> np.ndarray:
         return tk.mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
 
-    def sample(self, symbols: np.ndarray, places: np.ndarray, n: int, r: int) -> np.ndarray:
-        """Keys of windows of ``n`` words: a row for each set of sampled steps."""
-        out = []
-        for steps in self.steps[n][r]:
-            key = np.zeros(symbols.shape[1], np.uint64)
-            for j in steps:
-                key = tk.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(places[j] < n, symbols[j], END))
-            out.append(key)
-        return np.array(out)
+    def sample(self, symbols: np.ndarray, places: np.ndarray, which: np.ndarray, n: int, r: int) -> np.ndarray:
+        """Keys of the windows ``which``, of ``n`` words: a row for each set of sampled steps, with a linear hash of the words there."""
+        out = np.zeros((SAMPLES, len(which)), np.uint64)
+        for key, steps in zip(out, self.steps[n][r], strict=True):
+            for j, factor in zip(steps, _FACTOR, strict=True):
+                key += np.where(places[j][which] < n, symbols[j][which], END) * factor
+        return out
 
     def windows(self, hashes: np.ndarray, doc: np.ndarray) -> dict[int, np.ndarray]:
         """For each size the starts of the windows that hold enough of the benchmark's word pairs."""
@@ -144,13 +145,15 @@ class Index:
             for r in range(WALKS):
                 symbols, places = walk(hashes, part, ends, longest, r)
                 for n, s in mine.items():
-                    keys = self.sample(symbols[: 3 * n, s], places[: 3 * n, s], n, r)
+                    keys = self.sample(symbols, places, s, n, r)
                     for z in range(SAMPLES):
                         known, owner = self.keys[n, r, z]
-                        low, high = np.searchsorted(known, keys[z], "left"), np.searchsorted(known, keys[z], "right")
-                        times = high - low
-                        if times.any():
-                            q = np.repeat(np.arange(len(s)), times)
+                        low = np.searchsorted(known, keys[z], "left")
+                        hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys[z])
+                        if len(hit):
+                            low = low[hit]
+                            times = np.searchsorted(known, keys[z][hit], "right") - low
+                            q = np.repeat(hit, times)
                             at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(q))
                             found.append(part[s[q]] * len(self.words) + owner[at])
         codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -159,6 +162,10 @@ class Index:
     def verify(self, candidates, hashes, offsets, doc) -> list[tuple[int, int, int, int]]:
         best: dict = {}
         by_item: dict = {}
+        # each word's number in the benchmark's vocabulary; words outside it share the last one, which no item has
+        seen = np.zeros(len(self.vocabulary) + 1, bool)
+        number = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        number = np.where(self.vocabulary[number] == hashes, number, len(self.vocabulary))
         for start, item in candidates:
             by_item.setdefault((item, int(doc[start])), []).append(start)
         for (item, d), starts in by_item.items():
@@ -170,7 +177,10 @@ class Index:
                 # runs that start up to here lie within what is searched now
                 done = high - n - k
                 # an item's word that the run lacks is an edit, so this bound loses nothing
-                if n - np.isin(word, hashes[low:high]).sum() > k:
+                seen[number[low:high]] = True
+                held = np.count_nonzero(seen[self.numbers[item]])
+                seen[number[low:high]] = False
+                if n - held > k:
                     continue
                 distance, at = best_run(word, hashes[low:high])
                 if distance <= k:
