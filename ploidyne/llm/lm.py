@@ -13,7 +13,7 @@ word dominates.
 Training: each task reads its share of the training texts and runs NCE over every STRIDE-th position in numpy minibatches, from a start that is the unigram model;
 the tasks' parameters are averaged, weighted by positions, as sums by block of rows. What this gathers grows with the input.
 
-Scoring: each distinct context of a slice is normalised once, by a matrix product over all classes.
+Scoring: texts are read once. Each distinct context of a task is normalised once, by a matrix product over all classes.
 
 Words are told apart by a 64-bit hash of their bytes. Defined cases: a null or empty text is one end token; repeated rows score alike; with no training
 documents the base is log10 of 1 over V + 1 = 1, and the model is uniform over its classes; an empty table gives an empty result; a null doc_id is passed on and
@@ -34,6 +34,10 @@ from ploidyne.llm.quality import held_out
 MODEL_WORDS, TAIL = 1500, 96
 DIMENSIONS, CONTEXT = 24, 2
 STRIDE, NOISE, BATCH, RATE = 5, 8, 2048, 0.15
+#: A minibatch draws so many times NOISE noise words, each weighing as much less.
+SHARED = 64
+#: A task holds the normalisers of at most about so many contexts.
+CONTEXTS = 4_000_000
 #: Rows of parameters that are averaged together.
 BLOCK = 64
 END = np.uint64(1)
@@ -137,27 +141,31 @@ def initial(v: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
 
 
 def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
-    """Adagrad steps over minibatches, in place."""
+    """Adagrad steps over minibatches, in place; the draws of noise are shared by a minibatch."""
     g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
-    log_k = np.log(NOISE)
+    log_k = np.float32(np.log(NOISE))
+    weight = np.float32(1 / SHARED)
+    sn = np.empty((BATCH, NOISE * SHARED), np.float32)
     for s in range(0, len(target), BATCH):
         t, a, b = target[s : s + BATCH], one[s : s + BATCH], two[s : s + BATCH]
         m = len(t)
-        drawn = np.searchsorted(noise_cdf, rng.random(NOISE * 64)).clip(0, len(log_noise) - 1)
-        qa, qb = p["q"][a], p["q"][b]
+        drawn = np.searchsorted(noise_cdf, rng.random(NOISE * SHARED)).clip(0, len(log_noise) - 1)
+        qa, qb, rd = p["q"][a], p["q"][b], p["r"][drawn]
         h = qa * p["c"][0] + qb * p["c"][1]
         st = (h * p["r"][t]).sum(1) + p["b"][t, 0] - log_noise[t] - log_k
-        sn = h @ p["r"][drawn].T + p["b"][drawn, 0] - log_noise[drawn] - log_k
-        weight = np.float32(1 / 64)
         et = 1 / (1 + np.exp(np.clip(st, -30, 30)))  # 1 - P(data)
-        en = -weight / (1 + np.exp(np.clip(-sn, -30, 30)))
-        dh = et[:, None] * p["r"][t] + en @ p["r"][drawn]
+        # -weight * P(data) of the noise, in one buffer: exp(-score), plus one, inverted
+        en = np.matmul(h, -rd.T, out=sn[:m])
+        en -= p["b"][drawn, 0] - log_noise[drawn] - log_k
+        np.exp(np.minimum(en, np.float32(60), out=en), out=en)
+        en += 1
+        np.divide(-weight, en, out=en)
+        dh = et[:, None] * p["r"][t] + en @ rd
         grads = {"r": np.zeros_like(p["r"]), "b": np.zeros_like(p["b"]), "q": np.zeros_like(p["q"])}
-        for x, idx, val in (("r", t, et[:, None] * h), ("q", a, dh * p["c"][0]), ("q", b, dh * p["c"][1])):
+        for x, idx, val in (("r", t, et[:, None] * h), ("r", drawn, en.T @ h), ("q", a, dh * p["c"][0]), ("q", b, dh * p["c"][1])):
             order = np.argsort(idx, kind="stable")
             rows, at = np.unique(idx[order], return_index=True)
             grads[x][rows] += np.add.reduceat(val[order], at, 0)
-        np.add.at(grads["r"], drawn, en.T @ h)
         grads["b"][:, 0] = np.bincount(t, et, minlength=len(grads["b"])) + np.bincount(drawn, en.sum(0), minlength=len(grads["b"]))
         grads["c"] = np.stack([(dh * qa).sum(0), (dh * qb).sum(0)])
         for k, g in grads.items():
@@ -219,19 +227,53 @@ def train(docs: DataFrame, v: Vocabulary, stride: int = STRIDE) -> dict[str, np.
     return out
 
 
-def log_probabilities(p: dict, target, one, two) -> np.ndarray:
+class Normaliser:
+    """Log normalisers of contexts over all classes; each context is computed once as long as at most CONTEXTS are held."""
+
+    def __init__(self, p: dict):
+        self.p = p
+        self.codes, self.norms = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        self.rows = np.ascontiguousarray(np.concatenate([p["r"], p["b"]], 1).T)
+        self.reach = np.linalg.norm(p["r"], axis=1).max(), np.abs(p["b"]).max()
+
+    def vectors(self, code: np.ndarray) -> np.ndarray:
+        p, width = self.p, len(self.p["q"])
+        return p["q"][code // width] * p["c"][0] + p["q"][code % width] * p["c"][1]
+
+    def __call__(self, code: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Of sorted distinct contexts with their predicted vectors."""
+        if len(self.codes) > CONTEXTS:
+            self.codes, self.norms = self.codes[:0], self.norms[:0]
+        at = np.searchsorted(self.codes, code)
+        if len(self.codes):
+            new = self.codes[np.minimum(at, len(self.codes) - 1)] != code
+        else:
+            new = np.ones(len(code), bool)
+        self.norms = np.insert(self.norms, at[new], self.compute(h[new]))
+        self.codes = np.insert(self.codes, at[new], code[new])
+        return self.norms[np.searchsorted(self.codes, code)]
+
+    def compute(self, h: np.ndarray) -> np.ndarray:
+        out = np.empty(len(h), np.float32)
+        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+        for s in range(0, len(h), 128):
+            part = h[s : s + 128]
+            z = part @ self.rows
+            # no score is beyond this, so exp needs no shift
+            plain = np.linalg.norm(part, axis=1).max() * self.reach[0] + self.reach[1] < 60
+            top = np.float32(0) if plain else z.max(1)
+            if not plain:
+                z -= top[:, None]
+            out[s : s + 128] = np.log(np.exp(z, out=z).sum(1)) + top
+        return out
+
+
+def log_probabilities(p: dict, target, one, two, normaliser: Normaliser | None = None) -> np.ndarray:
     """Natural log of the normalised probability of each target class."""
-    width = len(p["q"])
-    code, back = np.unique(one * width + two, return_inverse=True)
-    h = p["q"][code // width] * p["c"][0] + p["q"][code % width] * p["c"][1]
-    norm = np.empty(len(code), np.float32)
-    rt, bias = np.ascontiguousarray(p["r"].T), p["b"][:, 0]
-    for s in range(0, len(code), 1024):
-        z = h[s : s + 1024] @ rt + bias
-        top = z.max(1, keepdims=True)
-        z -= top
-        np.exp(z, out=z)
-        norm[s : s + 1024] = np.log(z.sum(1)) + top[:, 0]
+    normaliser = normaliser or Normaliser(p)
+    code, back = np.unique(one * len(p["q"]) + two, return_inverse=True)
+    h = normaliser.vectors(code)
+    norm, bias = normaliser(code, h), p["b"][:, 0]
     out = np.empty(len(target))
     for s in range(0, len(target), 1 << 16):
         e = slice(s, s + (1 << 16))
@@ -246,12 +288,13 @@ def score_texts(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict) -> D
     tail_total = v.tail_counts + 0.5 * (v.tail_kinds + 1)
 
     def run(batches):
+        normaliser = Normaliser(p)
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 h, tail, offsets = tokens(part.column("text"))
                 n = len(offsets) - 1
                 target, one, two, ends = v.sequence(h, tail, offsets)
-                total = tk.sums(log_probabilities(p, target, one, two), ends) / np.log(10)
+                total = tk.sums(log_probabilities(p, target, one, two, normaliser), ends) / np.log(10)
                 c, known = v.classes(h, tail)
                 head = np.where(known, base(v.counts[np.minimum(c, v.size - 1)]), 0.0)
                 base_head = tk.sums(head, offsets) + base(v.end_count)
@@ -280,33 +323,31 @@ def score_texts(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict) -> D
 def score_documents(docs: DataFrame, training: DataFrame, model_words: int = MODEL_WORDS) -> DataFrame:
     """Train on ``training`` (text) and score ``docs`` (doc_id, text).
 
-    The tail's words leave their documents as (text_key, word, times), meet their counts by word and come back as sums by document. Of rows equal in
-    doc_id and text one is looked up and all get its sums.
+    The tail's words leave their documents as (text_key, word, times), meet their counts by word and come back as sums by document. The first
+    of them carries what the model found, so that the texts are scored in one pass. Of rows equal in doc_id and text all get the same values.
     """
     counts = cut(word_counts(training))
     v = vocabulary(counts, model_words)
     p = train(training, v)
     parts, denominator = score_texts(docs, counts, v, p)
-    rows = parts.drop("words", "times")
-    tail = parts.select("text_key", F.arrays_zip("words", "times").alias("z")).select("text_key", F.explode("z").alias("z")).select("text_key", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
+    found = F.struct("doc_id", "n_tokens", "n_head", "base_head", "total")
+    one = parts.select("text_key", found.alias("row"), F.posexplode_outer(F.arrays_zip("words", "times")).alias("at", "z"))
+    # a row without words of the tail looks up its own key, 0 times
+    one = one.select("text_key", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), F.coalesce("z.words", "text_key").alias("word"), F.coalesce("z.times", F.lit(0)).alias("times"))
     known = counts.where("tail >= 0").select("word", "c")
-    met = tail.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = one.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     per = met.groupBy("text_key").agg(
         F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(float(denominator)))).alias("base_tail"),
         F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("share"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum("times").alias("words"),
+        F.count("row").alias("copies"),
+        *[F.max(f"row.{x}").alias(x) for x in ("doc_id", "n_tokens", "n_head", "base_head", "total")],
     )
-    # copies of a row would add up: take their number out again
-    per = per.withColumnRenamed("text_key", "_key")
-    out = rows.join(per, F.col("text_key") == F.col("_key"), "left")
-    copies = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / F.greatest(F.lit(1), _tail_words(v))))).otherwise(F.lit(1))
-    return out.select("doc_id", "n_tokens", (F.col("n_head") + F.coalesce(F.col("known") / copies, F.lit(0))).cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base_head") + F.coalesce(F.col("base_tail") / copies, F.lit(0.0))).alias("base_score"), (F.col("total") + F.coalesce(F.col("share") / copies, F.lit(0.0))).alias("score"))
-
-
-def _tail_words(v: Vocabulary):
-    """Words of a row that aren't in the head; the end counts as head if it was seen."""
-    return F.col("n_tokens") - 1 - (F.col("n_head") - F.lit(int(v.end_count > 0)))
+    # copies of a row add up: take their number out, and give each its row, in blocks so that no array grows with it
+    block = 1 << 16
+    per = per.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / block))))
+    per = per.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(block), F.col("copies") - F.col("_block") * block))))
+    return per.select("doc_id", "n_tokens", (F.col("n_head") + F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base_head") + F.col("base_tail") / F.col("copies")).alias("base_score"), (F.col("total") + F.col("share") / F.col("copies")).alias("score"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
