@@ -47,18 +47,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the least node reachable.
 
-    Large-star and small-star rounds until nothing changes: each round only takes minima by node and rewires edges, so no
-    neighbourhood is gathered in one task. Each round is written to the shared folder. Null ends and self-loops are dropped.
+    Large-star and small-star rounds until nothing changes: each round only takes minima by node and turns each edge into one other, so no
+    neighbourhood is gathered in one task and no round has more edges than the one before; repeats among them do no harm and need no
+    shuffle of their own. Each round is written to the shared folder. Null ends and self-loops are dropped.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
     e = cut(e)
     seen = None
     while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
+        # a node's edge to its least neighbour stays; its other neighbours are tied to that one
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:

@@ -194,7 +194,9 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
         out = block_links(table.column("cid").to_pylist(), [], [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], table.column("label").to_pylist(), percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    return first.union(cut(dealt.groupBy("token", "bi", "bj").applyInArrow(compare, "a binary, b binary")))
+    # the stars found so far stand for the first links
+    stars = parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return stars.union(cut(dealt.groupBy("token", "bi", "bj").applyInArrow(compare, "a binary, b binary")))
 
 
 def minhash_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
