@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,12 @@ def _shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return tk.distinct(*tk.Words(*tk.buffers(texts)).shingles(words))
 
 
+def _prints(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """128-bit fingerprints of sets, the same for any order."""
+    both = np.stack([tk.sums(tk.mix(hashes ^ np.uint64(salt)), offsets) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
+    return pa.array([r.tobytes() for r in both], pa.binary())
+
+
 def _signatures(hashes: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     """Rows of k 32-bit minima; texts without shingles have zeros."""
     full = np.flatnonzero(np.diff(offsets))
@@ -66,9 +73,8 @@ def features(docs: DataFrame, words: int = WORDS, k: int = COORDINATES) -> DataF
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 hashes, offsets = _shingle_sets(part.column("text"), words)
-                print_ = np.stack([tk.sums(tk.mix(hashes ^ np.uint64(salt)), offsets) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
                 sig = _signatures(hashes, offsets, k)
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array([r.tobytes() for r in print_], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets)), _prints(hashes, offsets), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid binary, sig binary")
 
@@ -91,13 +97,17 @@ def _postings(classes: DataFrame, t: int, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cid, set) for the wanted (cid, doc_id): shingles are computed again from the texts of these alone."""
+    """(cid, set) for the wanted (cid, doc_id): shingles are computed again from the texts of these alone.
+
+    Texts that share a doc_id, or have none, are told apart by the fingerprint.
+    """
 
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 hashes, offsets = _shingle_sets(part.column("text"), words)
-                yield pa.record_batch([part.column("cid"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["cid", "shingles"])
+                sets = pa.record_batch([part.column("cid"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["cid", "shingles"])
+                yield sets.filter(pc.equal(part.column("cid"), _prints(hashes, offsets)))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = texts.join(small_enough(wanted), texts["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "text", "n_shingles")

@@ -239,3 +239,13 @@ def test_kernel_tells_words_apart():
     texts = ["a b\tc", None, "", "ab c", "B a", "x" * 3000]
     w = tk.Words(*tk.buffers(pa.array(texts)))
     assert list(np.diff(w.offsets)) == [3, 0, 0, 2, 2, 1] and w.hashes[0] == w.hashes[6] and len(set(w.hashes.tolist())) == 5
+
+
+def test_minhash_tells_texts_with_one_doc_id_apart(spark):
+    base = [f"w{k}" for k in range(200)]
+    near = [*base[:-1], "other"]
+    far = [f"v{k}" for k in range(200)]
+    docs = [(None, " ".join(far)), (None, " ".join(base)), (7, " ".join(near)), (7, " ".join(far[::-1]))]
+    got = minhash.minhash_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.component_id is None, r.component_id) for r in got if r.doc_id is None) == [(False, 7), (True, None)]
+    assert [r.component_id for r in got if r.doc_id == 7] == [7, 7]
