@@ -10,7 +10,7 @@ Counting: a pass over the training texts counts words; the counts are summed by
 words, goes to the tasks. Words of the tail are looked up by a join on the word's hash, on rows (document, word, count) without the head, which no
 word dominates.
 
-Training: each task reads its share of the training texts and runs NCE over every STRIDE-th position in numpy minibatches, from a start that is the unigram model;
+Training: each task reads its share of the training texts and runs NCE over every position in numpy minibatches, from a start that is the unigram model;
 the tasks' parameters are averaged, weighted by positions, as sums by block of rows. What this gathers grows with the input.
 
 Scoring: texts are read once. Each distinct context of a task is normalised once, by a matrix product over all classes.
@@ -33,7 +33,7 @@ from ploidyne.llm.quality import held_out
 
 MODEL_WORDS, TAIL = 1500, 96
 DIMENSIONS, CONTEXT = 24, 2
-STRIDE, NOISE, BATCH, RATE = 5, 8, 2048, 0.15
+NOISE, BATCH, RATE = 8, 2048, 0.15
 #: A minibatch draws so many times NOISE noise words, each weighing as much less.
 SHARED = 64
 #: A task holds the normalisers of at most about so many contexts.
@@ -174,7 +174,7 @@ def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
             p[k] += np.float32(RATE) * g / np.sqrt(g2[k])
 
 
-def train(docs: DataFrame, v: Vocabulary, stride: int = STRIDE) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     """Parameters averaged over the tasks, each of which has read its part of ``docs``."""
     start = initial(v)
     if not v.total:
@@ -197,8 +197,8 @@ def train(docs: DataFrame, v: Vocabulary, stride: int = STRIDE) -> dict[str, np.
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 t, a, b, _ = v.sequence(*tokens(part.column("text")))
-                held.append((t[::stride], a[::stride], b[::stride]))
-                n, seen = n + len(held[-1][0]), seen + len(held[-1][0])
+                held.append((t, a, b))
+                n, seen = n + len(t), seen + len(t)
                 if n > 500_000:
                     learn()
                     held, n = [], 0

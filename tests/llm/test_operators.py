@@ -233,6 +233,15 @@ def test_lm_probabilities_sum_to_one():
     assert abs(np.exp(lm.log_probabilities(p, k, np.full(v.size, 2), np.full(v.size, v.start))).sum() - 1) < 1e-5
 
 
+def test_lm_trains_on_every_position(spark):
+    # five positions a text: whatever is learned of any but the first comes from the positions between
+    docs = spark.createDataFrame([(i, "aa bb cc dd") for i in range(4000)], DOCS).coalesce(1)
+    v = lm.vocabulary(lm.word_counts(docs), 4)
+    p = lm.train(docs, v)
+    t, one, two, _ = v.sequence(*lm.tokens(pa.array(["aa bb cc dd"])))
+    assert np.exp(lm.log_probabilities(p, t, one, two)).min() > 0.5
+
+
 def test_kernel_tells_words_apart():
     from ploidyne.llm import textkernel as tk
 
