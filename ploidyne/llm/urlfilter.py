@@ -74,7 +74,7 @@ def listed_keys(rules, listed: DataFrame | None, spark) -> DataFrame:
     table = spark.createDataFrame([(r, r, v) for v, r in rules] or [("", "", "")], "key string, rule string, verdict string").where("key != ''")
     if listed is not None:
         table = table.unionByName(listed.select(canonical("url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")).where("key is not null"))
-    return table.groupBy("key").agg(F.max("rule").alias("rule"), F.max_by("verdict", F.struct(F.col("rule").isNotNull(), "verdict")).alias("verdict"))
+    return table.groupBy("key", "rule").agg(F.max("verdict").alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, listed: DataFrame | None = None) -> DataFrame:
@@ -96,8 +96,8 @@ def judge_urls(pages: DataFrame, rules=RULES, listed: DataFrame | None = None) -
     candidates = urls.select("url", "path", F.explode(keys).alias("k")).select("url", "path", "k.*")
     hits = possible(candidates, bloom, blocks)
     exact = hits.join(small_enough(table) if count <= BROADCAST_ROWS else table, "key")
-    # a rule must be a prefix of the path; a listed URL must be the whole of it
-    exact = exact.where(F.col("rule").isNotNull() | (F.col("p") == F.length(F.when(F.regexp_replace("path", r"/+$", "") == "", F.lit("/")).otherwise(F.regexp_replace("path", r"/+$", "")))))
+    # a rule must be a prefix of the path, which the '/' made for an empty path is not; a listed URL must be the whole of it
+    exact = exact.where((F.col("rule").isNotNull() & (F.length("path") >= F.col("p"))) | (F.col("rule").isNull() & (F.col("p") == F.length(F.when(F.regexp_replace("path", r"/+$", "") == "", F.lit("/")).otherwise(F.regexp_replace("path", r"/+$", ""))))))
     best = exact.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.col("rule").isNotNull(), "h", "p")).alias("_best"))
     out = pages.drop(*[c for c in added if c not in ("url",)])
     joined = out.join(best.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")

@@ -115,6 +115,19 @@ def test_url_filter(spark):
     assert urlfilter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_without_a_path(spark):
+    rules = (("allow", "com/"), ("block", "b.com/"), ("block", "c.com/x"))
+    urls = ["http://shop.com", "http://shop.com?x=1", "http://shop.com#a", "http://shop.com/", "http://shop.com//", "http://b.com", "http://b.com/", "http://a.b.com?q", "http://c.com", "http://c.com/x", "http://listed.com", "http://com", "http://com/", "http://listed.org?x", "http://listed.org//"]
+    listed = spark.createDataFrame([("http://listed.com/",), ("http://com",), ("http://listed.org",)], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules, listed).collect()}
+    whole = {"listed.com", "com", "listed.org"}
+    for u in urls:
+        host, path = re.fullmatch(r"http://([^/?#]*)([^?#]*).*", u).groups()
+        fits = [(len(r), r, v) for v, r in rules for h, p in [r.split("/", 1)] if ("." + host).endswith("." + h) and path.startswith("/" + p)]
+        want = max(fits)[1:] if fits else (None, "block" if path.rstrip("/") == "" and any(("." + host).endswith("." + x) for x in whole) else "allow")
+        assert got[u] == want, u
+
+
 def test_media_round_trip(spark, rows):
     got = {r.doc_id: r for r in media.read(media.store(spark.createDataFrame(rows, DOCS))).collect()}
     stored = {r.doc_id: bytes(r.media) for r in media.store(spark.createDataFrame(rows, DOCS)).collect()}
