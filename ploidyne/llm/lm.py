@@ -1,19 +1,20 @@
 """LM scoring with a log-bilinear model, trained by noise-contrastive estimation.
 
-Vocabulary: the MODEL_WORDS most frequent training words, the end of a text, and TAIL classes for all other words, by a hash of their last
-two bytes. The model predicts a token's class from the classes of the two before it: the predicted vector is the sum of
-the context vectors, each scaled by position, and a class's score is its product with the class's vector plus a bias. A word in a tail class
-has the class's probability times its smoothed share of the class's training tokens. So probabilities sum to one over the
-training words and one unseen word for each class.
+Vocabulary: a tree of two levels. Classes are the MODEL_WORDS most frequent training words, the end of a text, and tail classes for all
+other words: TAIL by a hash of their last two bytes, each split by the word's hash so that their number grows as the root of that of the tail's
+words. The model predicts a token's class from the classes of the two before it: the predicted vector is the sum of the context vectors,
+each scaled by position, and a class's score is its product with the class's vector plus a bias. Each training word of a tail class has a vector
+and a bias of its own, as has one unseen word for each class: its probability within the class is again log-bilinear, from the same
+predicted vector. So probabilities sum to one over the training words and one unseen word for each class.
 
 Counting: a pass over the training texts counts words; the counts are summed by word, and stay a table. Only the head, at most MODEL_WORDS
-words, goes to the tasks. Words of the tail are looked up by a join on the word's hash, on rows (document, word, count) without the head, which no
-word dominates.
+words, goes to the tasks. Words of the tail meet their counts by tail class, on rows (document, word, context) without the head.
 
 Training: each task reads its share of the training texts and runs NCE over every position in numpy minibatches, from a start that is the unigram model;
-the tasks' parameters are averaged, weighted by positions, as sums by block of rows. What this gathers grows with the input.
+the tasks' parameters are averaged, weighted by positions, as sums by block of rows. Then each tail class runs NCE over all of its own training positions, with the context vectors as they are; a task holds the
+positions and words of one class, whose share of the input falls as classes grow.
 
-Scoring: texts are read once. Each distinct context of a task is normalised once, by a matrix product over all classes.
+Scoring: texts are read once, and their words of the tail are scored by tail class. Each distinct context of a task is normalised once, by a matrix product over all classes.
 
 Words are told apart by a 64-bit hash of their bytes. Defined cases: a null or empty text is one end token; repeated rows score alike; with no training
 documents the base is log10 of 1 over V + 1 = 1, and the model is uniform over its classes; an empty table gives an empty result; a null doc_id is passed on and
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,24 +87,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Classes: 0 is the end, then the head's words, then the tail classes; ``start`` pads contexts."""
 
-    def __init__(self, head: list, end_count: int, tail: dict[int, tuple[int, int]], total: int, distinct: int):
+    def __init__(self, head: list, end_count: int, tail: dict[int, tuple[int, int]], total: int, distinct: int, split: int = 1):
         order = np.argsort(np.array([h.word for h in head], np.int64).view(np.uint64)) if head else np.zeros(0, np.int64)
         self.words = np.array([h.word for h in head], np.int64).view(np.uint64)[order]
         self.head_counts = np.array([h.c for h in head], np.int64)[order]
         self.end_count, self.total, self.distinct = end_count, total, distinct
-        self.tail_counts = np.array([tail.get(k, (0, 0))[0] for k in range(TAIL)], np.float64)
-        self.tail_kinds = np.array([tail.get(k, (0, 0))[1] for k in range(TAIL)], np.float64)
-        self.size = 1 + len(head) + TAIL
+        self.split, self.groups = split, TAIL * split
+        self.tail_counts = np.array([tail.get(k, (0, 0))[0] for k in range(self.groups)], np.float64)
+        self.size = 1 + len(head) + self.groups
         self.start = self.size
         self.counts = np.concatenate([[end_count], self.head_counts, self.tail_counts]).astype(np.float64)
 
+    def group(self, hashes: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Tail class of each word; ``group_column`` is the same."""
+        return tail * self.split + ((hashes >> np.uint64(33)) % np.uint64(self.split)).astype(np.int64)
+
     def classes(self, hashes: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of each word, and whether it is in the head."""
         if not len(self.words):
-            return 1 + tail, np.zeros(len(tail), bool)
+            return 1 + self.group(hashes, tail), np.zeros(len(tail), bool)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         known = self.words[at] == hashes
-        return np.where(known, 1 + at, 1 + len(self.words) + tail), known
+        return np.where(known, 1 + at, 1 + len(self.words) + self.group(hashes, tail)), known
 
     def sequence(self, hashes, tail, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Classes with an end after each text, the two classes before each, and the texts' offsets in them."""
@@ -122,16 +128,22 @@ class Vocabulary:
         return out, one, two, np.append(starts, len(out))
 
 
+def group_column(split: int):
+    return (F.col("tail") * split + F.pmod(F.shiftrightunsigned("word", 33), F.lit(split))).cast("int")
+
+
 def vocabulary(counts: DataFrame, model_words: int = MODEL_WORDS) -> Vocabulary:
     words = counts.where(F.col("tail") >= 0)
     head = words.orderBy(F.desc("c"), "word").limit(model_words).collect()
     ends = counts.where("tail = -1").agg(F.sum("c")).first()[0] or 0
-    sums = {r.tail: (r.n, r.k) for r in words.groupBy("tail").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
+    split = max(1, round((words.count() - len(head)) ** 0.5 / TAIL))
+    sums = {r.g: (r.n, r.k) for r in words.groupBy(group_column(split).alias("g")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
     total, distinct = ends + sum(n for n, _ in sums.values()), (ends > 0) + sum(k for _, k in sums.values())
     for h in head:
-        n, k = sums[h.tail]
-        sums[h.tail] = n - h.c, k - 1
-    return Vocabulary(head, ends, sums, total, distinct)
+        g = h.tail * split + (h.word % 2**64 >> 33) % split
+        n, k = sums[g]
+        sums[g] = n - h.c, k - 1
+    return Vocabulary(head, ends, sums, total, distinct, split)
 
 
 def initial(v: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
@@ -140,38 +152,58 @@ def initial(v: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
     return {"r": rng.normal(0, 0.1, (v.size, DIMENSIONS)).astype(np.float32), "q": rng.normal(0, 0.1, (v.size + 1, DIMENSIONS)).astype(np.float32), "c": np.ones((CONTEXT, DIMENSIONS), np.float32) * 0.5, "b": np.log(share).astype(np.float32)[:, None]}
 
 
+def errors(p: dict, h, t, drawn, log_noise, sn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """1 - P(data) of the targets, -P(data) of the noise by its weight, and the noise's vectors."""
+    log_k, weight = np.float32(np.log(NOISE)), np.float32(1 / SHARED)
+    rd = p["r"][drawn]
+    st = (h * p["r"][t]).sum(1) + p["b"][t, 0] - log_noise[t] - log_k
+    et = 1 / (1 + np.exp(np.clip(st, -30, 30)))
+    # in one buffer: exp(-score), plus one, inverted
+    en = np.matmul(h, -rd.T, out=sn[: len(t)])
+    en -= p["b"][drawn, 0] - log_noise[drawn] - log_k
+    np.exp(np.minimum(en, np.float32(60), out=en), out=en)
+    en += 1
+    np.divide(-weight, en, out=en)
+    return et, en, rd
+
+
+def add_rows(out: np.ndarray, idx: np.ndarray, val: np.ndarray) -> None:
+    order = np.argsort(idx, kind="stable")
+    rows, at = np.unique(idx[order], return_index=True)
+    out[rows] += np.add.reduceat(val[order], at, 0)
+
+
+def target_gradients(p: dict, h, t, drawn, et, en) -> dict[str, np.ndarray]:
+    grads = {"r": np.zeros_like(p["r"]), "b": np.zeros_like(p["b"])}
+    add_rows(grads["r"], t, et[:, None] * h)
+    add_rows(grads["r"], drawn, en.T @ h)
+    grads["b"][:, 0] = np.bincount(t, et, minlength=len(grads["b"])) + np.bincount(drawn, en.sum(0), minlength=len(grads["b"]))
+    return grads
+
+
+def adagrad(p: dict, g2: dict, grads: dict, m: int) -> None:
+    for k, g in grads.items():
+        g = g / np.float32(m ** 0.5)
+        g2[k] += g * g
+        p[k] += np.float32(RATE) * g / np.sqrt(g2[k])
+
+
 def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
     """Adagrad steps over minibatches, in place; the draws of noise are shared by a minibatch."""
     g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
-    log_k = np.float32(np.log(NOISE))
-    weight = np.float32(1 / SHARED)
     sn = np.empty((BATCH, NOISE * SHARED), np.float32)
     for s in range(0, len(target), BATCH):
         t, a, b = target[s : s + BATCH], one[s : s + BATCH], two[s : s + BATCH]
-        m = len(t)
         drawn = np.searchsorted(noise_cdf, rng.random(NOISE * SHARED)).clip(0, len(log_noise) - 1)
-        qa, qb, rd = p["q"][a], p["q"][b], p["r"][drawn]
+        qa, qb = p["q"][a], p["q"][b]
         h = qa * p["c"][0] + qb * p["c"][1]
-        st = (h * p["r"][t]).sum(1) + p["b"][t, 0] - log_noise[t] - log_k
-        et = 1 / (1 + np.exp(np.clip(st, -30, 30)))  # 1 - P(data)
-        # -weight * P(data) of the noise, in one buffer: exp(-score), plus one, inverted
-        en = np.matmul(h, -rd.T, out=sn[:m])
-        en -= p["b"][drawn, 0] - log_noise[drawn] - log_k
-        np.exp(np.minimum(en, np.float32(60), out=en), out=en)
-        en += 1
-        np.divide(-weight, en, out=en)
+        et, en, rd = errors(p, h, t, drawn, log_noise, sn)
         dh = et[:, None] * p["r"][t] + en @ rd
-        grads = {"r": np.zeros_like(p["r"]), "b": np.zeros_like(p["b"]), "q": np.zeros_like(p["q"])}
-        for x, idx, val in (("r", t, et[:, None] * h), ("r", drawn, en.T @ h), ("q", a, dh * p["c"][0]), ("q", b, dh * p["c"][1])):
-            order = np.argsort(idx, kind="stable")
-            rows, at = np.unique(idx[order], return_index=True)
-            grads[x][rows] += np.add.reduceat(val[order], at, 0)
-        grads["b"][:, 0] = np.bincount(t, et, minlength=len(grads["b"])) + np.bincount(drawn, en.sum(0), minlength=len(grads["b"]))
+        grads = target_gradients(p, h, t, drawn, et, en) | {"q": np.zeros_like(p["q"])}
+        add_rows(grads["q"], a, dh * p["c"][0])
+        add_rows(grads["q"], b, dh * p["c"][1])
         grads["c"] = np.stack([(dh * qa).sum(0), (dh * qb).sum(0)])
-        for k, g in grads.items():
-            g = g / np.float32(m ** 0.5)
-            g2[k] += g * g
-            p[k] += np.float32(RATE) * g / np.sqrt(g2[k])
+        adagrad(p, g2, grads, len(t))
 
 
 def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
@@ -281,11 +313,38 @@ def log_probabilities(p: dict, target, one, two, normaliser: Normaliser | None =
     return out
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
-    """``docs`` (doc_id, text) scored: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+FOUND = "struct<doc_id: long, n_tokens: long, n_head: long, base_head: double, total: double>"
+SPOTS = f"grp int, text_key long, word long, code long, row {FOUND}"
+FOUND_TYPE = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base_head", pa.float64()), ("total", pa.float64())])
+
+
+def tail_spots(v: Vocabulary, hashes, tail, offsets, known, one, two):
+    """Of the words of the tail: their text, tail class, hash and context."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    rest = np.flatnonzero(~known)
+    at = rest + doc[rest]
+    return doc[rest], v.group(hashes[rest], tail[rest]), hashes[rest], one[at] * (v.size + 1) + two[at]
+
+
+def training_spots(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """SPOTS of the tail's words in the training texts; text_key and row are null."""
+
+    def run(batches):
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                h, tail, offsets = tokens(part.column("text"))
+                _, one, two, _ = v.sequence(h, tail, offsets)
+                _, known = v.classes(h, tail)
+                _, grp, word, code = tail_spots(v, h, tail, offsets, known, one, two)
+                yield pa.record_batch([pa.array(grp.astype(np.int32)), pa.nulls(len(grp), pa.int64()), pa.array(word.view(np.int64)), pa.array(code), pa.nulls(len(grp), FOUND_TYPE)], names=["grp", "text_key", "word", "code", "row"])
+
+    return docs.select("text").mapInArrow(run, SPOTS)
+
+
+def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
+    """SPOTS of the tail's words in ``docs`` (doc_id, text); the first of a text carries what the classes' model found, with a null word if there is none."""
     denominator = v.total + 0.5 * (v.distinct + 1)
     base = lambda c: np.log10((c + 0.5) / denominator)
-    tail_total = v.tail_counts + 0.5 * (v.tail_kinds + 1)
 
     def run(batches):
         normaliser = Normaliser(p)
@@ -299,47 +358,96 @@ def score_texts(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: dict) -> D
                 head = np.where(known, base(v.counts[np.minimum(c, v.size - 1)]), 0.0)
                 base_head = tk.sums(head, offsets) + base(v.end_count)
                 n_head = tk.sums(known.astype(np.int64), offsets) + (v.end_count > 0)
-                # share of the class: the denominator now, the count by the join
-                total -= tk.sums(np.where(known, 0.0, np.log10(tail_total[tail])), offsets)
-                doc = np.repeat(np.arange(n), np.diff(offsets))[~known]
-                rest = h[~known]
-                order = np.lexsort((rest, doc))
-                doc, rest = doc[order], rest[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(doc)))
-                per = np.searchsorted(doc[at], np.arange(n + 1))
-                yield pa.record_batch([
-                    part.column("doc_id"), part.column("text_key"), pa.array(np.diff(offsets) + 1), pa.array(n_head), pa.array(base_head), pa.array(total),
-                    pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(rest[at].view(np.int64))), pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.array(times.astype(np.int32))),
-                ], names=["doc_id", "text_key", "n_tokens", "n_head", "base_head", "total", "words", "times"])
+                doc, grp, word, code = tail_spots(v, h, tail, offsets, known, one, two)
+                key = part.column("text_key").to_numpy()
+                per = np.bincount(doc, minlength=n)
+                rows = np.maximum(per, 1)
+                of = np.repeat(np.arange(n), rows)
+                real = np.repeat(per > 0, rows)
+                groups, words, codes = (key[of] % v.groups).astype(np.int32), np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+                groups[real], words[real], codes[real] = grp, word.view(np.int64), code
+                first = np.ones(len(of), bool)
+                first[1:] = of[1:] != of[:-1]
+                row = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets) + 1), pa.array(n_head.astype(np.int64)), pa.array(base_head), pa.array(total)], fields=list(FOUND_TYPE))
+                yield pa.record_batch([pa.array(groups), pa.array(key[of]), pa.array(words, mask=~real), pa.array(codes), row.take(pa.array(of, mask=~first))], names=["grp", "text_key", "word", "code", "row"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("text_key"), "text")
-    parts = keyed.mapInArrow(run, "doc_id long, text_key long, n_tokens long, n_head long, base_head double, total double, words array<long>, times array<int>")
-    return parts, denominator
+    return keyed.mapInArrow(run, SPOTS)
+
+
+def word_model(counts: np.ndarray, target: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
+    """Vectors and biases of a tail class's words and, last, of its unseen word, by NCE from the class's unigram model."""
+    share = (np.append(counts, 0) + 0.5) / (counts.sum() + 0.5 * (len(counts) + 1))
+    p = {"r": np.zeros((len(share), DIMENSIONS), np.float32), "b": np.log(share).astype(np.float32)[:, None]}
+    g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
+    cdf, log_noise = np.cumsum(share), np.log(share).astype(np.float32)
+    rng = np.random.default_rng(9)
+    order = rng.permutation(len(target))
+    sn = np.empty((BATCH, NOISE * SHARED), np.float32)
+    for s in range(0, len(target), BATCH):
+        t, x = target[order[s : s + BATCH]], h[order[s : s + BATCH]]
+        drawn = np.searchsorted(cdf, rng.random(NOISE * SHARED)).clip(0, len(share) - 1)
+        et, en, _ = errors(p, x, t, drawn, log_noise, sn)
+        adagrad(p, g2, target_gradients(p, x, t, drawn, et, en), len(t))
+    return p
+
+
+def score_group(spots: pa.Table, words: pa.Table, p: dict, denominator: float) -> pa.Table:
+    """Train the words of a tail class on its spots without a text_key, score the others; sums by text_key, and the rows carried."""
+    word, c = words.column("word").to_numpy().view(np.uint64), words.column("c").to_numpy().astype(np.float64)
+    order = np.argsort(word)
+    word, c = word[order], c[order]
+
+    def places(table):
+        w = table.column("word").to_numpy().view(np.uint64)
+        at = np.minimum(np.searchsorted(word, w), max(len(word) - 1, 0))
+        return np.where(word[at] == w, at, len(word)) if len(word) else np.zeros(len(w), np.int64)
+
+    width = len(p["q"])
+    vectors = lambda code: p["q"][code // width] * p["c"][0] + p["q"][code % width] * p["c"][1]
+    lone = pc.is_null(spots.column("text_key"))
+    learn = spots.filter(lone)
+    t, code = places(learn), learn.column("code").to_numpy()
+    # the same order however the rows came
+    order = np.lexsort((code, t))
+    mine = word_model(c, t[order], vectors(code[order]))
+    ask = spots.filter(pc.and_(pc.invert(lone), pc.is_valid(spots.column("word"))))
+    t, key = places(ask), ask.column("text_key").to_numpy()
+    code, back = np.unique(ask.column("code").to_numpy(), return_inverse=True)
+    h = vectors(code)
+    found = np.einsum("ij,ij->i", h[back], mine["r"][t]) + mine["b"][t, 0] - Normaliser(mine).compute(h)[back]
+    key, back = np.unique(key, return_inverse=True)
+    counted = np.append(c, 0.0)[t]
+    add = lambda x: np.bincount(back, x, minlength=len(key))
+    carried = spots.filter(pc.is_valid(spots.column("row")))
+    zero = np.zeros(carried.num_rows)
+    return pa.table({
+        "text_key": pa.chunked_array([pa.array(key), *carried.column("text_key").chunks], pa.int64()),
+        "base_tail": np.concatenate([add(np.log10((counted + 0.5) / denominator)), zero]),
+        "share": np.concatenate([add(found / np.log(10)), zero]),
+        "known": np.concatenate([add((counted > 0).astype(np.float64)), zero]).astype(np.int64),
+        "row": pa.chunked_array([pa.nulls(len(key), FOUND_TYPE), *carried.column("row").chunks], FOUND_TYPE),
+    })
 
 
 def score_documents(docs: DataFrame, training: DataFrame, model_words: int = MODEL_WORDS) -> DataFrame:
     """Train on ``training`` (text) and score ``docs`` (doc_id, text).
 
-    The tail's words leave their documents as (text_key, word, times), meet their counts by word and come back as sums by document. The first
-    of them carries what the model found, so that the texts are scored in one pass. Of rows equal in doc_id and text all get the same values.
+    The tail's words leave their documents as (tail class, text_key, word, context), meet the class's training positions and counts and come back as sums by
+    document. The first of them carries what the classes' model found, so that the texts are scored in one pass. Of rows equal in doc_id and text all get the same values.
     """
     counts = cut(word_counts(training))
     v = vocabulary(counts, model_words)
     p = train(training, v)
-    parts, denominator = score_texts(docs, counts, v, p)
-    found = F.struct("doc_id", "n_tokens", "n_head", "base_head", "total")
-    one = parts.select("text_key", found.alias("row"), F.posexplode_outer(F.arrays_zip("words", "times")).alias("at", "z"))
-    # a row without words of the tail looks up its own key, 0 times
-    one = one.select("text_key", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), F.coalesce("z.words", "text_key").alias("word"), F.coalesce("z.times", F.lit(0)).alias("times"))
-    known = counts.where("tail >= 0").select("word", "c")
-    met = one.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    denominator = v.total + 0.5 * (v.distinct + 1)
+    head = docs.sparkSession.createDataFrame([(int(w),) for w in v.words.view(np.int64)], "word long")
+    words = counts.where("tail >= 0").join(F.broadcast(head), "word", "left_anti").select(group_column(v.split).alias("grp"), "word", "c")
+    spots = score_texts(docs, v, p).unionByName(training_spots(training, v))
+    met = spots.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(lambda a, b: score_group(a, b, p, denominator), f"text_key long, base_tail double, share double, known long, row {FOUND}")
     per = met.groupBy("text_key").agg(
-        F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(float(denominator)))).alias("base_tail"),
-        F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("share"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
+        F.sum("base_tail").alias("base_tail"),
+        F.sum("share").alias("share"),
+        F.sum("known").alias("known"),
         F.count("row").alias("copies"),
         *[F.max(f"row.{x}").alias(x) for x in ("doc_id", "n_tokens", "n_head", "base_head", "total")],
     )

@@ -255,6 +255,34 @@ def test_lm_trains_on_every_position(spark):
     assert np.exp(lm.log_probabilities(p, t, one, two)).min() > 0.5
 
 
+def test_lm_words_of_the_tail_have_vectors_of_their_own(spark):
+    # aazz and bbzz share a tail class and are as frequent; only what comes before tells them apart
+    train = spark.createDataFrame([(i, "pp aazz" if i % 2 else "qq bbzz") for i in range(20000)] + [(20000, "pp qq")], DOCS)
+    asked = [(0, "pp aazz"), (1, "pp bbzz"), (2, "qq aazz"), (3, "qq bbzz")]
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(asked, DOCS), train.select("text"), model_words=2).collect()}
+    assert got[0] > got[1] + 0.1 and got[3] > got[2] + 0.1
+
+
+def test_lm_tail_class_sums_to_one_and_classes_grow(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.randrange(10**6)}" for _ in range(1500))) for i in range(60)], DOCS)
+    counts = lm.word_counts(docs).cache()
+    v = lm.vocabulary(counts, 20)
+    assert v.split == round((counts.where("tail >= 0").count() - 20) ** 0.5 / lm.TAIL) > 1
+    head = {int(w) for w in v.words.view(np.int64)}
+    words = [r for r in counts.where("tail >= 0").withColumn("grp", lm.group_column(v.split)).collect() if r.word not in head]
+    assert [r.grp for r in words] == v.group(np.array([r.word for r in words], np.int64).view(np.uint64), np.array([r.tail for r in words])).tolist()
+    assert v.tail_counts.tolist() == [sum(c) for c in ([r.c for r in words if r.grp == g] for g in range(v.groups))]
+    p = lm.train(docs, v)
+    mine = pa.table({"word": [r.word for r in words if r.grp == 3], "c": [r.c for r in words if r.grp == 3]})
+    seen = lm.training_spots(docs, v).where("grp = 3").collect()
+    asked = [*mine.column("word").to_pylist(), 5]  # 5 stands for a word that wasn't seen
+    n, m = len(seen), len(asked)
+    spots = pa.table([pa.array([None] * n + list(range(m)), pa.int64()), pa.array([r.word for r in seen] + asked), pa.array([r.code for r in seen] + [seen[0].code] * m), pa.nulls(n + m, lm.FOUND_TYPE)], names=["text_key", "word", "code", "row"])
+    found = lm.score_group(spots, mine, p, 1.0)
+    assert found.num_rows == m and abs((10 ** found.column("share").to_numpy()).sum() - 1) < 1e-4
+
+
 def test_kernel_tells_words_apart():
     from ploidyne.llm import textkernel as tk
 
