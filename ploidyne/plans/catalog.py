@@ -782,9 +782,9 @@ def _(v):
     return rnd(M.classify_alleles(x).where("CHROM in ('11', '13')").select("sample", "snp_id", "p_up", "haplo_post", "haplo_naive"), "p_up", digits=4)
 
 
-def _full_bulk(v, loh=None):
+def _full_bulk(v, loh=None, membership=None):
     g = v.genes()
-    return B.get_bulk(v.counts(), R.check_alleles(v.alleles(), False), v.membership(), v.ref(), g, loh=loh)
+    return B.get_bulk(v.counts(), R.check_alleles(v.alleles(), False), membership or v.membership(), v.ref(), g, loh=loh)
 
 
 @query("b01_expression_bulk", """WITH y AS (SELECT sample, gene, sum(cnt) AS y FROM counts JOIN membership USING (cell) GROUP BY ALL), x AS (SELECT y.sample, g.*, y.y, y.y / sum(y.y) OVER (PARTITION BY sample) AS lo, r.lambda AS lr FROM y JOIN genes g USING (gene) JOIN refs r ON r.gene = y.gene AND r.ref = 'R'),
@@ -815,20 +815,16 @@ def _(v):
     return B.preprocess_alleles(ad, dp, snps, phased, v.genes(), marks).select("cell", "POS", "DP", "AD", "gene")
 
 
-def _small_bulk(v):
-    return _full_bulk(v).where("CHROM in ('11', '12', '13')")
-
-
 @query("m03_joint_hmm")
 def _(v):
-    x = _small_bulk(v)
+    x = _full_bulk(v)
     x = x.join(F.broadcast(M.baseline(x)), "sample")
     return M.joint_hmm(x).groupBy("sample", "CHROM", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m06_m07_f07_clonal_loh")
 def _(v):
-    return rnd(M.clonal_loh(_full_bulk(v).where("sample = '0'")), "snp_rate", digits=3)
+    return rnd(M.clonal_loh(_full_bulk(v, membership=v.membership().withColumn("sample", F.lit("0")))), "snp_rate", digits=3)
 
 
 @query("m08_g02_common_diploid")
@@ -839,7 +835,7 @@ def _(v):
 
 @query("m09_r01_f08_f09_analyze_bulk")
 def _(v):
-    x = M.analyze_bulk(_small_bulk(v), min_genes=2)
+    x = M.analyze_bulk(_full_bulk(v), min_genes=2)
     return x.groupBy("sample", "CHROM", "seg", "cnv_state", "cnv_state_post").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("theta_mle"), 3).alias("theta_mle"), F.round(F.max("phi_mle"), 3).alias("phi_mle"))
 
 
@@ -863,13 +859,13 @@ def _(v):
 
 @query("r09_run_group_hmms")
 def _(v):
-    x = M.run_group_hmms(_small_bulk(v), diploid=False, min_genes=2)
+    x = M.run_group_hmms(_full_bulk(v), diploid=False, min_genes=2)
     return x.groupBy("sample", "CHROM", "seg", "cnv_state").agg(F.min("snp_index").alias("seg_start_index"), F.max("snp_index").alias("seg_end_index"))
 
 
 @query("r08_retest_bulks")
 def _(v):
-    b = _small_bulk(v)
+    b = _full_bulk(v)
     segs = b.groupBy("CHROM").agg(F.min("POS").alias("seg_start"), F.max("POS").alias("seg_end")).withColumn("seg_cons", F.concat("CHROM", F.lit("a"))).withColumn("cnv_state", F.when(F.col("CHROM") == "12", F.lit("neu")).otherwise(F.lit("del")))
     return M.retest_bulks(b, segs).select("sample", "CHROM", "seg", "cnv_state", "cnv_state_post").distinct()
 
@@ -879,8 +875,8 @@ def _(v):
 PRIORS = {"loh": 0.2, "del": 0.3, "amp": 0.3, "bamp": 0.1, "bdel": 0.1}
 
 
-def _priors(v):
-    s = v.spark.createDataFrame([("11a",), ("12a",), ("13a",), ("14a",)], "seg string")
+def _priors(v, segs=None):
+    s = segs or v.spark.createDataFrame([("11a",), ("12a",), ("13a",), ("14a",)], "seg string")
     return s.select("seg", *[F.lit(p).alias(f"p_{k}") for k, p in PRIORS.items()])
 
 
@@ -932,12 +928,11 @@ def _(v):
 
 @query("r03_a23_expression_likelihoods")
 def _(v):
-    c = v.counts().where("cast(cell as int) <= 12")
-    ref = v.ref()
+    c, ref = v.counts(), v.ref()
     fits = M.cell_fits(c, ref, R.best_reference(c, ref), v.genes())
-    segs = v.genes().where("CHROM in ('11', '12')").select("gene", "CHROM", F.concat("CHROM", F.lit("a")).alias("seg"), F.lit("del").alias("cnv_state"))
+    segs = v.genes().select("gene", "CHROM", F.concat("CHROM", F.lit("a")).alias("seg"), F.lit("del").alias("cnv_state"))
     x = P.expression_likelihoods(c, fits, ref, segs)
-    x = P.compute_posterior(P.with_priors(x, _priors(v), floor=True))
+    x = P.compute_posterior(P.with_priors(x, _priors(v, segs.select("seg").distinct()), floor=True))
     return rnd(x.select("cell", "seg", "n", "l11", "p_cnv"), "l11", "p_cnv", digits=2)
 
 

@@ -83,6 +83,29 @@ def test_trees_and_graphs(spark):
     assert bulk.__all__ and relational.same_rows(x, x)
 
 
+@pytest.mark.parametrize("name", ["m03_joint_hmm", "m06_m07_f07_clonal_loh", "m09_r01_f08_f09_analyze_bulk", "r09_run_group_hmms", "r03_a23_expression_likelihoods"])
+def test_queries_read_whole_tables(spark, name):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = entry.queries()[name](spark, sf).toPandas()
+    part, lineitem = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    chroms = {r.c for r in part.select(F.regexp_extract("p_brand", r"(\d+)", 1).alias("c")).distinct().collect()}
+    if name.startswith("m06"):
+        # one chain over the bulk of all cells; before, over those of one sample
+        from ploidyne.operators import bulk, sequence
+        from ploidyne.plans.views import Views
+
+        v = Views(spark, sf)
+        pooled = bulk.get_bulk(v.counts(), relational.check_alleles(v.alleles(), False), v.membership().withColumn("sample", F.lit("x")), v.ref(), v.genes())
+        want = sequence.clonal_loh(pooled).toPandas()
+        assert sorted(map(tuple, got[["seg", "seg_start", "seg_end"]].to_numpy())) == sorted(map(tuple, want[["seg", "seg_start", "seg_end"]].to_numpy()))
+    elif name.startswith("r03"):
+        assert set(got.seg) == {f"{c}a" for c in chroms} and set(got.cell) == {str(r.l_suppkey) for r in lineitem.select("l_suppkey").distinct().collect()}
+    else:
+        assert set(got.CHROM) == chroms
+
+
 def test_registry():
     import __spark_entry__ as entry
 
