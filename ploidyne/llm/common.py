@@ -1,70 +1,13 @@
-"""Shared plumbing: where lineage is cut, size-checked broadcasts and connected components."""
+"""What the operators share: the plumbing of the library and the table of documents."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A table is broadcast only if it was counted and holds at most so many rows of a few longs.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(given)
-        return given
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ploidyne-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+from ploidyne.operators.plumbing import BROADCAST_ROWS, connected_components, cut, hot_rows, join_unskewed, new_path, own_prefix, small_enough
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there, so that no lost executor makes it run again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it to have at most ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["BROADCAST_ROWS", "connected_components", "cut", "documents", "hot_rows", "join_unskewed", "new_path", "own_prefix", "small_enough"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of ``edges``; component is the least node reachable.
-
-    Large-star and small-star rounds until nothing changes: each round only takes minima by node and turns each edge into one other, so no
-    neighbourhood is gathered in one task and no round has more edges than the one before; repeats among them do no harm and need no
-    shuffle of their own. Each round is written to the shared folder. Null ends and self-loops are dropped.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
-    e = cut(e)
-    seen = None
-    while True:
-        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # a node's edge to its least neighbour stays; its other neighbours are tied to that one
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    # converged: every node has one edge to its least node
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

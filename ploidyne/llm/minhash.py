@@ -2,37 +2,40 @@
 
 1. Texts are read once: word shingles, their number, a 128-bit fingerprint of the set and a MinHash signature of K coordinates.
    Documents with equal sets form a class, so copies, however many, cost one row from here on.
-2. A class is posted under its (coordinate, value) pairs. Two classes that agree in T of K coordinates share one of the K - T + 1 pairs that
-   are rarest over all classes, for either of them; so only those are posted (the prefix). Pairs that occur once are never posted.
-   Passages that many documents share give frequent pairs, which come last and drop out.
-3. Short posting lists are merged: collisions of classes are counted, and the long rest of their lists is skipped by comparing
-   signatures. Those with T matches are confirmed on their full sets.
-4. A posting list longer than LIST is first joined to its least member alone. If that leaves its members in more than one component, the list
-   is cut in blocks, and each task compares two blocks by a product of their incidence matrices, and returns links that span
-   what it joined. So no list emits all its pairs, and no link between components is lost.
+2. A class is posted under its (coordinate, value) pairs. Two classes that agree in T of K coordinates share at least COLLISIONS of the
+   K - T + COLLISIONS pairs that are rarest over all classes, for either of them; so only those are posted (the prefix). Pairs that occur once are
+   never posted. Passages that many documents share give frequent pairs, which come last and drop out.
+3. Short posting lists are merged and collisions of classes are counted. Classes that collide fewer than COLLISIONS times, counting each posting in a long list as a
+   collision, can't reach T and are skipped; for the others the rest of their lists is skipped by comparing signatures. Those with T matches are
+   confirmed on their full sets.
+4. A posting list longer than LIST is first joined to its least member alone. If that leaves its members in more than one component, those outside the
+   component of the least member are compared with all members, in blocks: a task compares two blocks by a product of their incidence matrices, and
+   returns links that span what it joined. So no list emits all its pairs, members that are joined already meet no one but outsiders, and no link between components is lost.
 5. Components come from star rounds over the links.
 
 T lies five standard deviations below the matches that the threshold leads one to expect, so a pair at the threshold is missed with a
 probability of about 1e-6 and one above it with less.
 
 Defined cases: null and empty texts and texts without words have no shingles and link with nothing; a text with fewer words than a shingle has is one
-shingle; a null doc_id never names a component: a component of such documents alone has a null id; equal rows are copies of each
-other, and each of them whose doc_id names the component counts as kept in minhash_classes(), one of them in near_dedup(); an empty table gives an empty result.
+shingle; a very long text is one row of one task, with its whole set; a null doc_id never names a component: a component of such documents alone has a null id; equal rows are
+copies of each other, and each of them whose doc_id names the component counts as kept in minhash_classes(), one of them in near_dedup(); other columns of the input stay
+as they are in near_dedup(), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ploidyne.llm import textkernel as tk
-from ploidyne.llm.common import connected_components, cut, documents, small_enough
+from ploidyne.llm.common import connected_components, cut, documents, hot_rows, join_unskewed, small_enough
 
 WORDS = 5
 COORDINATES = 64
+#: Classes must collide so often in their prefixes.
+COLLISIONS = 3
 #: Posting lists with more classes are compared in blocks of BLOCK.
 LIST = 48
 BLOCK = 384
@@ -66,51 +69,56 @@ def _signatures(hashes: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def text_key(text: str = "text") -> list:
+    """Two 64-bit hashes, k1 and k2, by which a text is found again."""
+    return [F.xxhash64(F.lit(salt), F.col(text)).alias(name) for name, salt in (("k1", 1), ("k2", 2))]
+
+
 def features(docs: DataFrame, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
-    """(doc_id, n_shingles, cid, sig) of each row; cid is the fingerprint of the set, sig the signature's bytes."""
+    """(doc_id, k1, k2, n_shingles, cid, sig) of each row; k1 and k2 tell texts apart, cid is the fingerprint of the set, sig the signature's bytes."""
 
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 hashes, offsets = _shingle_sets(part.column("text"), words)
                 sig = _signatures(hashes, offsets, k)
-                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets)), _prints(hashes, offsets), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
+                yield pa.record_batch([*[part.column(c) for c in ("doc_id", "k1", "k2")], pa.array(np.diff(offsets)), _prints(hashes, offsets), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "k1", "k2", "n_shingles", "cid", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_key()).mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, cid binary, sig binary")
 
 
 def _postings(classes: DataFrame, t: int, k: int) -> DataFrame:
-    """(token, cid) for the rarest K - T + 1 coordinate-value pairs of each class, as far as another class has them."""
+    """(token, cid) for the rarest K - T + COLLISIONS coordinate-value pairs of each class, as far as another class has them."""
 
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
             token = (sig.astype(np.int64) << 8) | np.arange(sig.shape[1])
-            yield pa.record_batch([pa.array(np.repeat(np.arange(batch.num_rows), sig.shape[1])).cast(pa.int32()), pa.array(token.ravel())], names=["row", "token"]).drop_columns(["row"]).append_column("cid", batch.column("cid").take(pa.array(np.repeat(np.arange(batch.num_rows), sig.shape[1]))))
+            yield pa.record_batch([pa.array(token.ravel()), batch.column("cid").take(pa.array(np.repeat(np.arange(batch.num_rows), sig.shape[1])))], names=["token", "cid"])
 
     tokens = classes.select("cid", "sig").mapInArrow(run, "token long, cid binary")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # by class: its shared pairs, rarest first; its single pairs come before them
-    mine = tokens.join(shared, "token").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("p"))
-    room = F.lit(k - t + 1) - (F.lit(k) - F.size("p"))
+    met = join_unskewed(tokens, shared, "token", "df", hot_rows(classes.count() * k))
+    mine = met.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("p"))
+    room = F.lit(k - t + COLLISIONS) - (F.lit(k) - F.size("p"))
     return mine.where(room > 0).select("cid", F.explode(F.slice("p", F.lit(1), room)).alias("p")).select(F.col("p.token").alias("token"), "cid")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cid, set) for the wanted (cid, doc_id): shingles are computed again from the texts of these alone.
-
-    Texts that share a doc_id, or have none, are told apart by the fingerprint.
-    """
+    """(cid, shingles) for the wanted (cid, rep): shingles are computed again from the texts of these alone, one text for each class."""
 
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 hashes, offsets = _shingle_sets(part.column("text"), words)
-                sets = pa.record_batch([part.column("cid"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["cid", "shingles"])
-                yield sets.filter(pc.equal(part.column("cid"), _prints(hashes, offsets)))
+                yield pa.record_batch([part.column("cid"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["cid", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = texts.join(small_enough(wanted), texts["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "text", "n_shingles")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_key())
+    names = wanted.select("cid", F.col("rep.no_id").alias("no_id"), F.col("rep.doc_id").alias("r0"), F.col("rep.k1").alias("r1"), F.col("rep.k2").alias("r2"))
+    same = (texts["k1"] == F.col("r1")) & (texts["k2"] == F.col("r2")) & texts["doc_id"].eqNullSafe(F.col("r0"))
+    # equal rows meet before their sets are made
+    keyed = texts.join(small_enough(names), same).select("cid", "text").groupBy("cid").agg(F.first("text").alias("text"))
     return keyed.mapInArrow(run, "cid binary, shingles array<long>")
 
 
@@ -125,8 +133,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(_linked("sa", "sb", percent)).select("a", "b")
 
 
-def block_links(ids: list[bytes], left: list[bool], parts: list[np.ndarray], labels: list, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links of similar sets, between a left and another member, that join what isn't joined; ``labels`` says what is."""
+def block_links(ids: list[bytes], parts: list[np.ndarray], labels: list, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of similar sets that join what isn't joined; ``labels`` says what is."""
     n = len(ids)
     values, column = np.unique(np.concatenate(parts), return_inverse=True)
     row = np.repeat(np.arange(n), [len(p) for p in parts])
@@ -166,13 +174,22 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
     """Links (a, b) between classes, of similarity at least ``similarity``, that connect all that are linked."""
     percent, t = round(similarity * 100), match_threshold(similarity, k)
     posted = cut(_postings(classes, t, k))
+    hot = hot_rows(posted.count())
     lists = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("lead")).where("m > 1"))
+    long_lists = lists.where(F.col("m") > LIST)
+    of_long = cut(join_unskewed(posted, long_lists, "token", "m", hot))
     short = posted.join(lists.where(F.col("m") <= LIST).select("token"), "token")
-    merged = short.select("token", F.col("cid").alias("a")).join(short.select("token", F.col("cid").alias("b")), "token").where("a < b").select("a", "b")
-    led = posted.join(lists.where(F.col("m") > LIST).select("token", "lead"), "token").where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
-    collisions = merged.union(led).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    short_sig = classes.select("cid", F.col("sig"), F.col("n_shingles").alias("n"))
-    probe = collisions.select("a", "b").join(short_sig.select(F.col("cid").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx")), "a").join(short_sig.select(F.col("cid").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny")), "b")
+    merged = short.select("token", F.col("cid").alias("a")).join(short.select("token", F.col("cid").alias("b")), "token").where("a < b")
+    spare = of_long.groupBy("cid").agg(F.count(F.lit(1)).alias("w"))
+    counted = merged.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.join(spare.select(F.col("cid").alias("a"), F.col("w").alias("wa")), "a", "left").join(spare.select(F.col("cid").alias("b"), F.col("w").alias("wb")), "b", "left")
+    often = counted.where(F.col("n") + F.greatest(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) >= COLLISIONS).select("a", "b")
+    led = of_long.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    sig = classes.select("cid", "sig", F.col("n_shingles").alias("n"))
+    probe = often.union(led).join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny")), "b")
+    # a class leads as many pairs as its longest lists have members
+    leads = probe.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx")), "a")
+    probe = join_unskewed(probe, leads, "a", "pairs", hot)
     probe = probe.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
 
     def matches(batches):
@@ -182,26 +199,30 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= t))
 
     pairs = cut(probe.select("a", "b", "x", "y").mapInArrow(matches, "a binary, b binary"))
-    long_ids = posted.join(lists.where(F.col("m") > LIST).select("token"), "token").select("cid")
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long_ids).distinct()
-    wanted = cut(ids.join(classes.select("cid", "rep", "n_shingles"), "cid"))
-    sets = cut(_sets(docs, wanted, words).dropDuplicates(["cid"]))
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(of_long.select("cid")).distinct()
+    wanted = cut(ids.join(classes.select("cid", "rep"), "cid"))
+    sets = cut(_sets(docs, wanted, words))
     first = cut(_confirm(pairs, sets, percent))
-    if lists.where(F.col("m") > LIST).limit(1).count() == 0:
+    if long_lists.limit(1).count() == 0:
         return first
     parts = cut(connected_components(first))
-    members = posted.join(lists.where(F.col("m") > LIST).select("token", "m"), "token").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
-    open_lists = members.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("token")
-    # each open list in blocks, by a hash of the member; a task for each two blocks
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    dealt = members.join(open_lists, "token").withColumn("n", blocks).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("bi", F.least("i", "o")).withColumn("bj", F.greatest("i", "o"))
+    members = of_long.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+    least = members.where("cid = lead").select("token", F.col("label").alias("first_label"))
+    # outsiders: members that the list's least member doesn't reach; lists without any are done
+    split = members.join(least, "token").withColumn("out", (F.col("label") != F.col("first_label")).cast("int"))
+    sizes = cut(split.groupBy("token").agg(F.sum("out").alias("outside"), F.count(F.lit(1)).alias("all")).where("outside > 0"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    dealt = join_unskewed(split.drop("m", "lead"), sizes.withColumn("no", blocks(F.col("outside"))).withColumn("ni", blocks(F.col("all") - F.col("outside"))), "token", "all", hot)
+    # blocks by a hash of the member: of outsiders 0 to no - 1, of the others no to no + ni - 1; a task for each block of outsiders with each block
+    mine = F.pmod(F.xxhash64("cid"), F.when(F.col("out") == 1, F.col("no")).otherwise(F.col("ni"))).cast("int") + F.when(F.col("out") == 1, F.lit(0)).otherwise(F.col("no"))
+    other = F.explode(F.when(F.col("out") == 1, F.sequence(F.lit(0), F.col("no") + F.col("ni") - 1)).otherwise(F.sequence(F.lit(0), F.col("no") - 1)))
+    dealt = dealt.withColumn("i", mine).withColumn("o", other).withColumn("bi", F.least("i", "o")).withColumn("bj", F.greatest("i", "o"))
     dealt = dealt.select("token", "bi", "bj", "cid", "label").join(sets, "cid")
 
     def compare(table):
         data = table.column("shingles").combine_chunks()
         offsets, flat = data.offsets.to_numpy(), data.values.to_numpy()
-        out = block_links(table.column("cid").to_pylist(), [], [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], table.column("label").to_pylist(), percent)
+        out = block_links(table.column("cid").to_pylist(), [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], table.column("label").to_pylist(), percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     # the stars found so far stand for the first links
@@ -209,30 +230,45 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
     return stars.union(cut(dealt.groupBy("token", "bi", "bj").applyInArrow(compare, "a binary, b binary")))
 
 
-def minhash_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+def row_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, component, least) of every row of ``docs``: least is the first row of the component, as (no_id, doc_id, k1, k2), that with the least
+    doc_id; both are null for texts without words."""
     all_rows = cut(features(docs, words, k))
-    some = all_rows.where("n_shingles > 0")
-    classes = cut(some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")))
+    rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    classes = cut(all_rows.where("n_shingles > 0").groupBy("cid").agg(F.min(rep).alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
     parts = connected_components(links(docs, classes, similarity, words, k))
-    named = classes.select("cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "component").select("cid", "component_id")
-    empty = all_rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = some.select("doc_id", "n_shingles", "cid").join(ids, "cid").select("doc_id", "n_shingles", "component_id").union(empty)
+    named = cut(classes.select("cid", "rep", "copies").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("m"))
+    hot = hot_rows(all_rows.count())
+    ids = join_unskewed(named, least, "component", "m", hot).select("cid", "component", "least", "copies")
+    some = all_rows.where("n_shingles > 0").select("cid", "doc_id", "k1", "k2", "n_shingles")
+    out = join_unskewed(some, ids, "cid", "copies", hot).select("doc_id", "k1", "k2", "n_shingles", "component", "least")
+    return out.unionByName(all_rows.where("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles"), allowMissingColumns=True)
+
+
+def minhash_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    rows = row_classes(docs.select("doc_id", "text"), similarity, words, k)
+    named = F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    out = rows.select("doc_id", "n_shingles", named.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, that with the least doc_id; all rows with a null doc_id and all without words stay."""
-    found = minhash_classes(docs.select("doc_id", "text"), similarity, words)
-    gone = found.where("not kept and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    twice = left.join(again, F.col("doc_id") == F.col("_again")).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*docs.columns)
-    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(twice)
+    """The rows of ``docs`` that stay: one of each component, that with the least doc_id (a null one is the last), and of rows equal in doc_id and text the one whose
+    columns hash least; all rows without words stay."""
+    rows = cut(row_classes(docs.select("doc_id", "text"), similarity, words))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2") == F.struct("least.no_id", "least.doc_id", "least.k1", "least.k2")
+    # by doc_id and text: the rows that go, and those of which one stays
+    fate = rows.where("n_shingles > 0").groupBy("doc_id", "k1", "k2").agg(F.min(F.coalesce(first, F.lit(False)).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
+    fate = cut(fate.where("first = 0 or n > 1").select(F.col("doc_id").alias("r0"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "first"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), *text_key())
+    same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("id").eqNullSafe(F.col("r0"))
+    stay = packed.join(small_enough(fate), same, "left_anti").select("row.*")
+    again = packed.join(small_enough(fate.where("first = 1")), same)
+    one = again.groupBy("id", "k1", "k2").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    return stay.unionByName(one)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return minhash_classes(documents(spark, sf_dir).select("doc_id", "text"), 0.85)
+    return minhash_classes(documents(spark, sf_dir), 0.85)

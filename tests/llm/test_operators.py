@@ -62,7 +62,7 @@ def test_minhash_long_lists_in_blocks():
     ids = [bytes([i]) for i in range(6)]
     base = np.arange(100, dtype=np.int64)
     parts = [base, base + 5, base + 10, base + 500, base + 505, base + 2000]
-    found = minhash.block_links(ids, [], parts, ids, 85)
+    found = minhash.block_links(ids, parts, ids, 85)
     parent = {i: i for i in ids}
     for a, b in found:
         for k, v in list(parent.items()):
@@ -299,3 +299,47 @@ def test_minhash_tells_texts_with_one_doc_id_apart(spark):
     got = minhash.minhash_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r.component_id is None, r.component_id) for r in got if r.doc_id is None) == [(False, 7), (True, None)]
     assert [r.component_id for r in got if r.doc_id == 7] == [7, 7]
+
+
+def test_near_dedup_decides_by_row_not_by_doc_id(spark):
+    a, b = ([f"{x}{k}" for k in range(100)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    docs = [(3, " ".join(a)), (7, near(a)), (7, " ".join(b)), (9, near(b))]
+    kept = minhash.near_dedup(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted(map(tuple, kept)) == [(3, docs[0][1]), (7, docs[2][1])]
+    null_ids = [(None, " ".join(a))] * 3 + [(None, near(a)), (None, " ".join(b)), (None, None), (None, "")]
+    kept = minhash.near_dedup(spark.createDataFrame(null_ids, DOCS)).collect()
+    assert len(kept) == 4 and sum(r.text in (" ".join(a), near(a)) for r in kept) == 1
+    named = spark.createDataFrame([(None, " ".join(a)), (5, near(a)), (None, near(b))], DOCS)
+    assert sorted(str(r.doc_id) for r in minhash.near_dedup(named).collect()) == ["5", "None"]
+
+
+def test_minhash_of_very_frequent_pairs(spark, monkeypatch):
+    """Long lists, hot tokens and hubs, against all pairs."""
+    from ploidyne.operators import plumbing
+
+    monkeypatch.setattr(plumbing, "HOT_ROWS", 5)
+    monkeypatch.setattr(minhash, "LIST", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(12)
+    base = [[f"{x}{k}" for k in range(60)] for x in "abc"]
+    docs = []
+    for i in range(150):
+        w = list(base[i % 3])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        docs.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash.minhash_classes(spark.createDataFrame(docs, DOCS)).collect()}
+    sets = [frozenset(tuple(t.split()[j : j + 5]) for j in range(56)) for _, t in docs]
+    parent = list(range(150))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in itertools.combinations(range(150), 2):
+        if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+            u, v = find(x), find(y)
+            parent[max(u, v)] = min(u, v)
+    assert got == {i: find(i) for i in range(150)}
