@@ -4,12 +4,16 @@ Every source gets a target number of words. Whole epochs come first; what is lef
 without replacement: a document's key is an exponential variate, ``-ln(u) / weight``, and those with the least keys are taken
 until their prefix sum of sizes reaches the budget. The key depends on doc_id, text and seed alone, so reruns agree.
 
-A source may hold a third of all rows, so its documents are never sorted in one task: keys fall into buckets of about equal
-size, sums by (source, bucket) find the bucket in which the budget ends, and only that bucket's documents are ranked.
+A document is taken if half of its words lie within the budget, so those taken of a source are a prefix in the order of (key, doc_id): one boundary for each source
+decides. A first pass over the texts writes (source, key, doc_id, size). A source may hold a third of all rows, so its documents are never sorted in one
+task: sums by (source, bucket of keys) find the bucket in which the budget ends, and that bucket is cut in buckets again until it holds at
+most BUCKET_ROWS documents, or one key alone. Only those are ranked, equal ones as one with their number. A second pass over the texts compares keys
+with the boundaries. Where equal rows lie across a boundary, they are numbered by partition, so no task sees all of them.
 
 Defined cases: a null or empty text has size 0 and is never taken by the fractional part; a null source is a source of its own,
-last in order; sources without words get target 0; rows that repeat are drawn one by one in no fixed order among themselves, which
-gives the same multiset of results; an empty table gives an empty result; columns of the input that clash with the added ones are replaced.
+last in order; sources without words get target 0; a weight that is null, zero, negative or not a number counts as the least positive one, so such a document comes last; rows that repeat
+are drawn one by one in no fixed order among themselves, which gives the same multiset of results; a very long text counts whole, and may pass a budget by half of its words; an empty
+table gives an empty result; columns of the input named like the published ones (size, source_size, target, copies, taken) are replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -17,23 +21,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ploidyne.llm.common import cut, documents, small_enough
+from ploidyne.llm.common import cut, documents, own_prefix, small_enough
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: About so many documents are ranked in one window at most, for each source.
+#: So many documents are ranked in one window at most, for each source.
 BUCKET_ROWS = 20_000
+#: Buckets that a range of keys is cut in.
+BUCKETS = 1024
+LEAST_WEIGHT = 1e-300
 WORD = r"[^\x20\x09-\x0D]+"
 #: Digits and signs that are rare in prose; their share lowers a document's quality weight.
 NOISE = "0123456789*#$%&|<>{}[]=+_~^@\\!"
 
 
-def with_size(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
-
-
 def quality_weight(text: str = "text"):
     """0.05 to 1: the share of a text's characters that aren't noise."""
     n = F.coalesce(F.length(text), F.lit(0))
@@ -66,46 +69,85 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS) -
     return s.select("source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("open_level") * F.col("w"), F.col("limit"))).alias("target"))
 
 
+def boundaries(keyed: DataFrame, weights, cap: float, bucket_rows: int) -> DataFrame:
+    """A row for each source: source, source_size, target, epochs, and the first of its (key, doc_id) that isn't taken whole: x (null: none), of whose ``c`` equal rows ``m`` are taken.
+
+    ``keyed``: (source, key, doc_id, size).
+    """
+    sources = source_targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    plan = sources.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    # the range of keys that holds the boundary, and the words of the source before it
+    plan = plan.withColumns({"low": F.lit(0.0), "high": F.lit(float("inf")), "before": F.lit(0).cast("long"), "n": F.lit(None).cast("long")})
+    plan = cut(plan)
+    while True:
+        s = small_enough(plan.select(F.col("source").alias("s"), "low", "high", "before", "budget", F.coalesce(F.col("n") > bucket_rows, F.lit(True)).alias("open")).where("open and low < high"))
+        inner = keyed.join(s, F.col("source").eqNullSafe(F.col("s"))).where("key >= low and key <= high")
+        # an open range is cut as if keys were exponential, others evenly
+        share = F.when(F.col("high") == float("inf"), 1 - F.exp(-F.col("key"))).otherwise((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")))
+        parts = inner.groupBy("source", F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).cast("int").alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("k0"), F.max("key").alias("k1"), F.first("before").alias("b"), F.first("budget").alias("g"))
+        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumn("upto", F.sum("words").over(upto) + F.col("b"))
+        ends = parts.where("upto >= g").groupBy("source").agg(F.min(F.struct("bucket", "k0", "k1", (F.col("upto") - F.col("words")).alias("before"), "rows")).alias("e"))
+        ends = ends.withColumnRenamed("source", "s2")
+        found = F.col("e").isNotNull()
+        plan = plan.join(small_enough(ends), F.col("source").eqNullSafe(F.col("s2")), "left").select(
+            "source", "source_size", "target", "epochs", "budget", *[F.when(found, F.col(f"e.{x}")).otherwise(F.col(y)).alias(y) for x, y in (("k0", "low"), ("k1", "high"), ("before", "before"))], F.when(found, F.col("e.rows")).otherwise(F.coalesce("n", F.lit(0))).alias("n"))
+        plan = cut(plan)
+        if plan.where((F.col("n") > bucket_rows) & (F.col("low") < F.col("high"))).limit(1).count() == 0:
+            break
+    s = small_enough(plan.where("n > 0").select(F.col("source").alias("s"), "low", "high", "before", "budget"))
+    inner = keyed.join(s, F.col("source").eqNullSafe(F.col("s"))).where("key >= low and key <= high")
+    ranked = inner.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("c"), F.first("before").alias("b"), F.first("budget").alias("g"))
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    room = F.col("g") - F.col("b") - (F.sum(F.col("size") * F.col("c")).over(order) - F.col("size") * F.col("c"))
+    ranked = ranked.withColumn("m", F.when(F.col("size") == 0, F.col("c")).otherwise(F.greatest(F.lit(0), F.least(F.col("c"), F.floor((room - F.col("size") / 2) / F.col("size")) + 1))))
+    first = ranked.where("m < c").groupBy("source").agg(F.min(F.struct("key", "doc_id", "size", "m", "c")).alias("f")).withColumnRenamed("source", "s2")
+    last = F.lit(2**63 - 1).cast("long")  # all within the range are taken, none after it
+    x = F.when(F.col("budget") <= 0, F.struct(F.lit(-1.0).alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"))).when(F.col("f").isNotNull(), F.struct("f.key", "f.doc_id", "f.size")).when(F.col("n") > 0, F.struct(F.col("high").alias("key"), last.alias("doc_id"), last.alias("size")))
+    return cut(plan.join(small_enough(first), F.col("source").eqNullSafe(F.col("s2")), "left").select("source", "source_size", "target", "epochs", x.alias("x"), F.coalesce("f.m", F.lit(0)).cast("long").alias("m"), F.coalesce("f.c", F.lit(0)).cast("long").alias("c")))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: float = MAX_EPOCHS, seed: str = SEED, weight=None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with size, source_size, target, copies (how often the mix takes the document) and taken (words: copies * size).
 
     ``weight``: a column expression of positive quality weights; quality_weight() if None.
     """
-    base = with_size(docs.drop("size", "source_size", "target", "copies", "taken"))
-    names = docs.drop("size", "source_size", "target", "copies", "taken").columns
-    key = -F.log(uniform(seed)) / (quality_weight() if weight is None else weight)
-    base = base.withColumn("_key", key)
-    # 1 - exp(-key) is near uniform; buckets in the order of keys
-    rows = docs.count()
-    buckets = int(max(16, min(1 << 20, rows // bucket_rows + 1)))
-    base = base.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("_key"))) * buckets)).cast("int"))
-    parts = base.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    sources = source_targets(parts.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, cap)
-    sources = sources.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    sources = sources.withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = parts.withColumn("_upto", F.sum("_words").over(upto))
-    cuts = (
-        ends.withColumnRenamed("source", "_s").join(sources, F.col("_s").eqNullSafe(F.col("source")))
-        .where((F.col("_upto") - F.col("_words") < F.col("_budget")) & (F.col("_upto") >= F.col("_budget")))
-        .groupBy("source").agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("before"))).alias("_cut"))
-    )
-    plan = sources.alias("x").join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("source").alias("_source"), "source_size", "target", "_epochs", "_budget", F.coalesce(F.col("_cut._bucket"), F.when(F.col("_budget") > 0, F.lit(buckets)).otherwise(F.lit(-1))).alias("_last"), F.coalesce(F.col("_cut.before"), F.lit(0)).alias("_before"))
-    plan = small_enough(cut(plan))
-    joined = base.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-    inner = joined.where(F.col("_bucket") == F.col("_last"))
-    order = Window.partitionBy("_source").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    inner = inner.withColumn("_end", F.sum("size").over(order) + F.col("_before"))
-    inner = inner.withColumn("_one", ((F.col("size") > 0) & (F.col("_end") - F.col("size") / 2 <= F.col("_budget"))).cast("int")).drop("_end")
-    outer = joined.where(F.col("_bucket") != F.col("_last")).withColumn("_one", ((F.col("size") > 0) & (F.col("_bucket") < F.col("_last"))).cast("int"))
-    both = outer.unionByName(inner).withColumn("copies", F.col("_epochs") + F.col("_one"))
-    return both.select(*names, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    kept = docs.drop("size", "source_size", "target", "copies", "taken")
+    names, own = kept.columns, own_prefix(docs)
+    w = quality_weight() if weight is None else F.when(F.coalesce(weight > 0, F.lit(False)) & ~F.isnan(weight.cast("double")), weight.cast("double")).otherwise(F.lit(LEAST_WEIGHT))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    parts = {"key": -F.log(uniform(seed)) / w, "id": F.col("doc_id").cast("long"), "size": size}
+    keyed = cut(docs.select("source", parts["key"].alias("key"), parts["id"].alias("doc_id"), parts["size"].alias("size")))
+    plan = boundaries(keyed, weights, cap, bucket_rows)
+    p = lambda c: F.col(f"{own}{c}")
+    base = docs.select(*names, *[e.alias(f"{own}{c}") for c, e in parts.items()])
+    joined = base.join(small_enough(plan.select(*[F.col(c).alias(f"{own}_{c}") for c in plan.columns])), F.col("source").eqNullSafe(p("_source")), "left")
+    here, x = F.struct(p("key").alias("key"), p("id").alias("doc_id"), p("size").alias("size")), p("_x")
+    known = F.when(x.isNull() | (here < x), F.lit(1)).when(here > x, F.lit(0)).when(p("_m") == 0, F.lit(0)).when(p("_m") == p("_c"), F.lit(1))
+    joined = joined.withColumn(f"{own}one", F.when(p("size") == 0, F.lit(0)).otherwise(known))
+
+    def finished(df: DataFrame) -> DataFrame:
+        copies = p("_epochs") + p("one")
+        return df.select(*names, p("size").alias("size"), p("_source_size").alias("source_size"), p("_target").alias("target"), copies.alias("copies"), (copies * p("size")).alias("taken"))
+
+    if plan.where("m > 0 and m < c").limit(1).count() == 0:
+        return finished(joined)
+    # equal rows of which some are taken: numbered within the partitions in which they were written
+    equal = cut(joined.where(p("one").isNull())).withColumn(f"{own}part", F.spark_partition_id())
+    per = equal.groupBy(f"{own}_source", f"{own}part").agg(F.count(F.lit(1)).alias(f"{own}n"))
+    earlier = Window.partitionBy(f"{own}_source").orderBy(f"{own}part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.withColumn(f"{own}start", F.coalesce(F.sum(f"{own}n").over(earlier), F.lit(0))).select(p("_source").alias(f"{own}s"), p("part").alias(f"{own}p"), f"{own}start")
+    within = Window.partitionBy(f"{own}_source", f"{own}part").orderBy(f"{own}key")
+    equal = equal.withColumn(f"{own}i", F.row_number().over(within)).join(small_enough(starts), p("_source").eqNullSafe(p("s")) & (p("part") == p("p")))
+    equal = equal.withColumn(f"{own}one", (p("i") + p("start") <= p("_m")).cast("int"))
+    return finished(joined.where(p("one").isNotNull())).unionByName(finished(equal))
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    copy = f"{own_prefix(mixed)}copy"
+    return mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).drop(copy)
 
 
 #: The same law in plain windows.

@@ -1,5 +1,9 @@
+import hashlib
+import math
 import re
 
+from pyspark.sql import functions as F
+
 from ploidyne.llm import mixing
 
 KIND = "doc_id long, text string, source string"
@@ -47,3 +51,47 @@ def test_targets_and_taken_words(spark):
 
 def test_empty(spark):
     assert mixing.mix_sources(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_equal_rows_across_a_boundary_and_odd_weights(spark):
+    rows = [(1, "a b c", "s")] * 700 + [(2, "d e", "s"), (3, "f", "t"), (4, "g h i j", "u")] + [(k, f"x{k} y", "t") for k in range(10, 60)]
+    frame = spark.createDataFrame(rows, KIND).repartition(7)
+    got = mixing.mix_sources(frame, bucket_rows=10).collect()
+    assert len(got) == len(rows)
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want, taken = reshare(sizes), {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - want[s]) <= 4 for s in sizes)
+    assert len({r.copies for r in got if r.doc_id == 1}) == 2
+    again = mixing.mix_sources(frame.repartition(3), bucket_rows=10).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    for w in (F.lit(1e6), F.lit(None).cast("double"), F.when(F.col("doc_id") == 1, 1e-6).otherwise(F.lit(50.0)), F.lit(0)):
+        taken = {}
+        for r in mixing.mix_sources(frame, weight=w, bucket_rows=10).collect():
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert all(abs(taken[s] - want[s]) <= 4 for s in sizes)
+
+
+def test_all_documents_by_hand(spark):
+    """Against plain Python: the same keys, sorted."""
+    rows = [(k, " ".join(["w"] * (k % 9)) + "|" * (k % 3), "ab"[k % 2]) for k in range(300)]
+    frame = spark.createDataFrame(rows, KIND)
+    got = {r.doc_id: r.copies for r in mixing.mix_sources(frame, bucket_rows=3).collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in rows}
+    want = reshare({s: sum(size[i] for i, _, x in rows if x == s) for s in "ab"})
+    for s in "ab":
+        mine = []
+        for i, t, x in rows:
+            if x == s:
+                u = (int(hashlib.md5(f"mix-1:{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                q = max(0.05, sum(c not in mixing.NOISE for c in t) / len(t)) if t else 1.0
+                mine.append((-math.log(u) / q, i))
+        total = sum(size[i] for _, i in mine)
+        epochs, before = int(want[s] // total), 0
+        for _, i in sorted(mine):
+            one = size[i] > 0 and before + size[i] / 2 <= want[s] - epochs * total
+            before += size[i]
+            assert got[i] == epochs + one
