@@ -4,13 +4,14 @@ A key is ``host/path``: a listed URL in canonical form (without scheme, query, f
 its host and all subdomains, on paths that start with the rule's. So the keys under which a URL can be listed are its host
 and the parents of that, each with its whole path and with the path's prefixes of the lengths that rules have. All
 of them are looked up in the filter: a table of 256-bit blocks, one bit in each of eight 32-bit words. Possible hits go to
-an exact join on the key, which removes false positives. Of the rules that fit, the longest host wins, then the longest path; a listed
-URL decides only where no rule fits, and a URL that nothing fits is allowed.
+an exact join on the key, which removes false positives; there a listed URL must be the whole URL, host and path, and holds for no subdomain. Of the rules that fit, the longest host
+wins, then the longest path; a listed URL decides only where no rule fits, and a URL that nothing fits is allowed.
 
 Each distinct URL is judged once, so a URL with a third of all rows costs as much as another; its verdict joins the pages by URL.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and is allowed; repeated pages give repeated results; empty
-tables give empty results; null or empty listed URLs are ignored; of equal rules with different verdicts, ``block`` wins.
+tables give empty results; null or empty listed URLs are ignored; of equal rules with different verdicts, ``block`` wins; a very long URL has as many keys as its host has
+parents; input columns named host, path, rule or verdict are replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ploidyne.llm.common import BROADCAST_ROWS, cut, small_enough
+from ploidyne.llm.common import BROADCAST_ROWS, cut, own_prefix, small_enough
 
 #: The rules of the query, as (verdict, host/path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -93,15 +94,18 @@ def judge_urls(pages: DataFrame, rules=RULES, listed: DataFrame | None = None) -
     whole = F.regexp_replace("path", r"/+$", "")
     prefixes = F.array_distinct(F.concat(F.array(F.when(whole == "", F.lit("/")).otherwise(whole)), *[F.when(F.length("path") >= n, F.array(F.substring("path", 1, n))).otherwise(F.array().cast("array<string>")) for n in lengths]))
     keys = F.flatten(F.transform(parents, lambda h: F.transform(prefixes, lambda p: F.struct(F.concat(h, p).alias("key"), F.length(h).alias("h"), F.length(p).alias("p")))))
-    candidates = urls.select("url", "path", F.explode(keys).alias("k")).select("url", "path", "k.*")
+    candidates = urls.select("url", "host", "path", F.explode(keys).alias("k")).select("url", "host", "path", "k.*")
     hits = possible(candidates, bloom, blocks)
     exact = hits.join(small_enough(table) if count <= BROADCAST_ROWS else table, "key")
-    # a rule must be a prefix of the path, which the '/' made for an empty path is not; a listed URL must be the whole of it
-    exact = exact.where((F.col("rule").isNotNull() & (F.length("path") >= F.col("p"))) | (F.col("rule").isNull() & (F.col("p") == F.length(F.when(F.regexp_replace("path", r"/+$", "") == "", F.lit("/")).otherwise(F.regexp_replace("path", r"/+$", ""))))))
-    best = exact.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.col("rule").isNotNull(), "h", "p")).alias("_best"))
-    out = pages.drop(*[c for c in added if c not in ("url",)])
-    joined = out.join(best.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")
-    return joined.withColumn("host", F.coalesce(host_of("url"), F.lit(""))).withColumn("path", F.coalesce(path_of("url"), F.lit(""))).withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit("allow"))).drop("_best", "_url")
+    # a rule must be a prefix of the path, which the '/' made for an empty path is not; a listed URL must be the whole of host and path
+    bare = F.regexp_replace("path", r"/+$", "")
+    complete = (F.col("h") == F.length("host")) & (F.col("p") == F.length(F.when(bare == "", F.lit("/")).otherwise(bare)))
+    exact = exact.where(F.when(F.col("rule").isNotNull(), F.length("path") >= F.col("p")).otherwise(complete))
+    own = own_prefix(pages)
+    best = exact.groupBy(F.col("url").alias(f"{own}url")).agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.col("rule").isNotNull(), "h", "p")).alias(f"{own}best"))
+    joined = pages.join(best, F.col("url") == F.col(f"{own}url"), "left")
+    kept = [c for c in pages.columns if c not in added]
+    return joined.select(*kept, F.coalesce(host_of("url"), F.lit("")).alias("host"), F.coalesce(path_of("url"), F.lit("")).alias("path"), F.col(f"{own}best.rule").alias("rule"), F.coalesce(F.col(f"{own}best.verdict"), F.lit("allow")).alias("verdict"))
 
 
 def production_list(spark) -> DataFrame:
@@ -109,7 +113,7 @@ def production_list(spark) -> DataFrame:
     return spark.range(1, 10_001).select(F.concat(F.lit("https://example.org/en/"), F.col("id") * 7).alias("url"))
 
 
-#: A key listed for example.org holds for its subdomains, as rules do.
+#: A URL listed for example.org holds for that host alone.
 ORACLE = r"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
@@ -120,7 +124,7 @@ x AS (SELECT *, CASE
     WHEN ends_with(h, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN ends_with(h, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN ends_with(h, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-    ends_with(h, '.example.org') AND regexp_full_match(whole, '/en/[1-9][0-9]{0,4}') AND coalesce(try_cast(substr(whole, 5) AS BIGINT), 1) % 7 = 0 AND coalesce(try_cast(substr(whole, 5) AS BIGINT), 1) BETWEEN 7 AND 70000 AS listed
+    host = 'example.org' AND regexp_full_match(whole, '/en/[1-9][0-9]{0,4}') AND coalesce(try_cast(substr(whole, 5) AS BIGINT), 1) % 7 = 0 AND coalesce(try_cast(substr(whole, 5) AS BIGINT), 1) BETWEEN 7 AND 70000 AS listed
   FROM q)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
