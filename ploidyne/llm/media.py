@@ -5,8 +5,10 @@ as an 8-bit BMP with a grey palette, by a checksum of the payload. Reading: a de
 an image is reduced to TILE by area, each cell being the mean over its exact, fractional rectangle, from an
 integral image; the tile is written as NPY, and a difference hash is taken from it (each cell against its right neighbour).
 
+Images and tiles are written as tables of blobs in the shared folder, a row for each, and read back from there; files by the million would swamp a file system. export() writes either as files.
+
 Defined cases: a null or empty text is a payload of 64 zeros; images smaller than a tile are enlarged by the same law; equal texts give equal values;
-a null doc_id is passed on; an empty table gives an empty result; bytes that aren't a valid image raise ValueError.
+a null doc_id is passed on; repeated rows are stored each; very long texts make tall images; columns beside doc_id and text are ignored; an empty table gives an empty result; bytes that aren't a valid image raise ValueError.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import io
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ploidyne.llm import textkernel as tk
-from ploidyne.llm.common import documents
+from ploidyne.llm.common import documents, new_path
 
 WIDTH = 64
 #: Rows and columns of a tile; one column more than the hash has bits in a row.
@@ -168,7 +171,25 @@ def read(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, FEATURES)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def export(blobs: DataFrame, folder: str, column: str, ending: str) -> list[str]:
+    """Write the blobs of a table as files ``doc_id.ending`` (numbered where doc_ids are null or repeat) in a folder of this process; rows pass one by one."""
+    paths = []
+    for i, row in enumerate(blobs.select("doc_id", column).toLocalIterator()):
+        path = Path(folder) / f"{row.doc_id}.{ending}"
+        path = Path(folder) / f"{row.doc_id}-{i}.{ending}" if path.exists() or row.doc_id is None else path
+        path.write_bytes(row[column])
+        paths.append(str(path))
+    return paths
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
-    found = read(store(documents(spark, sf_dir)))
+    found = written(read(written(store(documents(spark, sf_dir)), "media")), "tiles")
     feature = F.concat_ws(":", "kind", F.concat_ws("x", "width", "height"), "dhash", F.md5("tile"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
