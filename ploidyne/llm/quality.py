@@ -1,14 +1,15 @@
 """Quality classifier: Bradley-Terry ranking learned from preference pairs.
 
 Each pair holds a good and a bad labelled document. The chance that the good one is preferred is the logistic function of the difference of
-their scores, which are linear in features of the text; so weights come from a logistic regression, without intercept, on
+their scores, which are linear in features of the text: shares of kinds of characters, words and lines, and shares of its words by HASHED buckets of their hashes; so weights come from a logistic regression, without intercept, on
 differences of features. A quantile of the training scores is the threshold: that with the best balanced accuracy
 on the training rows. The published score is the logistic function of the score less the threshold.
 
 The fit takes TRAIN_ROWS labelled rows at most, those with the least hashes of doc_id; everything else covers all rows and whole texts.
 
-Defined cases: null and empty texts have zero features and get a score; labels that are null are ignored; a document labelled twice counts twice; if
-either class has no training rows every score is 0.5; an empty table gives an empty result; repeated rows are scored alike.
+Defined cases: null and empty texts have zero features and get a score; labels that are null are ignored; a document labelled twice with different labels counts twice; of rows that share a labelled doc_id the least text counts; if
+either class has no training rows every score is 0.5; an empty table gives an empty result; repeated rows are scored alike; very long texts count whole; an input column named like
+the score is replaced, others stay as they are; ties of the threshold go to the middle of equally good ones, and a score of 0.5 counts as good.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from ploidyne.llm.common import documents
 
 #: Labelled rows that the fit takes at most, and preference pairs drawn from them.
 TRAIN_ROWS = 12_000
-PAIRS = 200_000
+PAIRS = 100_000
 RIDGE = 1e-3
-NAMES = ("log_words", "word_length", "upper", "digit", "sign", "pipe", "shout", "non_ascii", "stop", "repeat", "distinct", "sign_end", "all_caps", "long_word", "lines", "twin_lines")
+#: Word hashes fall in so many buckets.
+HASHED = 128
+NAMES = ("log_words", "word_length", "upper", "digit", "sign", "shout", "non_ascii", "stop", "repeat", "distinct", "sign_end", "all_caps", "long_word", "lines", "twin_lines") + tuple(f"word_{k}" for k in range(HASHED))
 _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
     _c = chr(_b)
-    _CLASS[_b] = 1 if 65 <= _b <= 90 else 2 if 48 <= _b <= 57 else 4 if _c == "|" else 5 if _c in "!?" else 6 if _b >= 128 else 7 if _c in ".,;:" else 8 if 97 <= _b <= 122 else 0 if tk.SPACE[_b] else 3
+    _CLASS[_b] = 1 if 65 <= _b <= 90 else 2 if 48 <= _b <= 57 else 5 if _c in "!?" else 6 if _b >= 128 else 7 if _c in ".,;:" else 8 if 97 <= _b <= 122 else 0 if tk.SPACE[_b] else 3
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -54,10 +57,13 @@ def features(texts: pa.Array) -> np.ndarray:
     lines = tk.Words(data, offsets, _LINE)
     _, line_kinds = tk.distinct(lines.hashes, lines.offsets)
     twins = 1 - np.diff(line_kinds) / np.maximum(np.diff(lines.offsets), 1)
-    return np.stack([
-        np.log1p(n_words), per_word(length), share(1), share(2), share(3), share(4), share(5), share(6), share(7), per_word(again), np.diff(unique) / some / np.maximum(1, 6 / np.log2(some + 8)),
-        per_word(np.isin(last, (3, 4))), per_word(caps), per_word(length > 24), np.log1p(breaks), twins,
+    owner = np.repeat(np.arange(len(n_words)), n_words)
+    bags = np.bincount(owner * HASHED + (words.hashes % np.uint64(HASHED)).astype(np.int64), minlength=len(n_words) * HASHED).reshape(-1, HASHED) / some[:, None]
+    counts = np.stack([
+        np.log1p(n_words), per_word(length), share(1), share(2), share(3), share(5), share(6), share(7), per_word(again), np.diff(unique) / some / np.maximum(1, 6 / np.log2(some + 8)),
+        per_word(last == 3), per_word(caps), per_word(length > 24), np.log1p(breaks), twins,
     ], 1).astype(np.float64)
+    return np.concatenate([counts, np.sqrt(bags)], 1)
 
 
 _LINE = np.zeros(256, bool)
@@ -73,13 +79,17 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 5) ->
     model["mean"], model["sd"] = x.mean(0), x.std(0) + 1e-9
     z = np.clip((x - model["mean"]) / model["sd"], -8, 8)
     rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    first, second = rng.choice(good, pairs), rng.choice(bad, pairs)
     w = np.zeros(x.shape[1])
     for _ in range(25):  # Newton steps on the logistic loss
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(len(w)), d.T @ p / pairs - RIDGE * w)
+        slope, bend = -RIDGE * w, RIDGE * np.eye(len(w))
+        for s in range(0, pairs, 10_000):
+            d = z[first[s : s + 10_000]] - z[second[s : s + 10_000]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            slope, bend = slope + d.T @ p / pairs, bend + (d * (p * (1 - p))[:, None]).T @ d / pairs
+        step = np.linalg.solve(bend, slope)
         w += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     raw = z @ w
     cuts = np.quantile(raw, np.linspace(0.002, 0.998, 499))
@@ -102,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Fit on labelled rows that aren't held out. ``docs``: doc_id, text. ``labels``: doc_id, quality."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64(F.lit(3), "_id"), "_id", "_label").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "_label")
+    # a doc_id that many rows share must not bring them all to the driver: each label takes one text
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("_id", "_label").agg(F.min("text").alias("text")).select("text", "_label")
 
     def run(batches):
         for batch in batches:
