@@ -2,11 +2,12 @@
 
 A text is lower-cased; bytes other than letters count as one space; hashed byte trigrams, weighted by log counts and by inverse document
 frequency over all training rows, give a vector of length 1. Each language has several centroids, from spherical k-means on a bounded sample
-of its training rows. The language of the centroid with the highest cosine is predicted; a text further from it than nearly all training texts of
+of its training rows, which meets by language in a task; only centroids come to the driver. The language of the centroid with the highest cosine is predicted; a text further from it than nearly all training texts of
 that language is marked ``rejected``, which leaves the prediction as it is.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without lang aren't learned from; with nothing to learn from, every text
-is ``und``; empty tables give empty results; ties go to the language that sorts first.
+is ``und``; empty tables give empty results; ties go to the language that sorts first; equal training rows count as one in the clustering; very long texts count whole; input columns named
+lang_pred, score or rejected are replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ploidyne.llm import textkernel as tk
-from ploidyne.llm.common import documents
+from ploidyne.llm.common import cut, documents, small_enough
 from ploidyne.llm.quality import held_out
 
 DIMENSIONS = 2048
 CENTROIDS = 4
-#: About so many training rows of each language go to the clustering, by a hash of doc_id; the most languages that are learned.
+#: About so many training rows of each language, and one at least, go to the clustering, by a hash of doc_id and text.
 SAMPLE_ROWS = 1500
-LANGUAGES = 2000
 REJECT_QUANTILE = 0.002
 SLICE = 1 << 20
 _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -86,32 +86,29 @@ def cluster(x: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.ndarra
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, k: int = CENTROIDS) -> dict:
     """``docs``: doc_id, text, lang of training rows."""
-    known = docs.where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(17), "doc_id", "text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    sizes = cut(sizes.select(F.col("lang").alias("name"), "n", "least"))
+    if sizes.limit(1).count() == 0:
         return {"languages": []}
     df, n = document_frequencies(known)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    share = known.sparkSession.createDataFrame([(a, min(1.0, rows / b)) for a, b in sizes.items()], "_lang string, _share double")
-    u = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) / 1e6
-    sample = known.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(u < F.col("_share")).select("doc_id", "lang", "text")
-
-    def run(batches):
-        for batch in batches:
-            for part in tk.slices(batch, "text", SLICE):
-                v = vectors(part.column("text"), idf)
-                yield pa.record_batch([part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in v], pa.binary()), part.column("doc_id")], names=["lang", "v", "doc_id"])
-
-    got = sample.mapInArrow(run, "lang string, v binary, doc_id long").toArrow()
-    lang = np.array(got.column("lang").to_pylist(), object)
-    x = np.frombuffer(b"".join(got.column("v").to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
-    order = np.lexsort((x[:, 0], got.column("doc_id").fill_null(-1).to_numpy()))
-    lang, x = lang[order], x[order]
-    languages = sorted(set(lang))
-    centres = [cluster(x[lang == name], k) for name in languages]
-    owner = np.repeat(np.arange(len(languages)), [len(c) for c in centres])
-    near = [float(np.quantile((x[lang == name] @ c.T).max(1), REJECT_QUANTILE)) for name, c in zip(languages, centres, strict=True)]
-    return {"languages": languages, "idf": idf, "centres": np.concatenate(centres).astype(np.float32), "owner": owner, "near": np.array(near)}
+    # hashes fall evenly from -2^63 to 2^63
+    chosen = (F.col("h") / 2.0**64 + 0.5 < rows / F.col("n")) | (F.col("h") == F.col("least"))
+    sample = known.join(small_enough(sizes), F.col("lang") == F.col("name")).where(chosen).groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+    def centroids(table):
+        table = table.take(pc.sort_indices(table, sort_keys=[("h", "ascending")]))
+        x = np.concatenate([vectors(part.column("text"), idf) for batch in table.select(["text"]).combine_chunks().to_batches() for part in tk.slices(batch, "text", SLICE)])
+        c = cluster(x, k)
+        near = float(np.quantile((x @ c.T).max(1), REJECT_QUANTILE))
+        return pa.table({"lang": table.column("lang").slice(0, 1), "near": pa.array([near]), "c": pa.array([c.astype(np.float32).tobytes()], pa.binary())})
+
+    got = sample.groupBy("lang").applyInArrow(centroids, "lang string, near double, c binary").collect()
+    got.sort(key=lambda r: r.lang)
+    centres = [np.frombuffer(r.c, np.float32).reshape(-1, DIMENSIONS) for r in got]
+    owner = np.repeat(np.arange(len(got)), [len(c) for c in centres])
+    return {"languages": [r.lang for r in got], "idf": idf, "centres": np.concatenate(centres), "owner": owner, "near": np.array([r.near for r in got])}
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
