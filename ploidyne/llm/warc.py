@@ -7,11 +7,12 @@ fails is kept with its reason in ``error``.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, that with the largest page_id is the response; others become revisit records,
 which hold no payload, only headers with its length and digest. Equal payloads are found by SHA-1 and length over the whole table, as an
-aggregate and a join, so many copies of one page meet as partial counts. Archives are rows of at most ARCHIVE_BYTES and one record, since each task fills its own;
+aggregate and a join, so many copies of one page meet as partial counts, and meet the join's other side by broadcast. Archives are rows of at most ARCHIVE_BYTES and one record, since each task fills its own;
 export() writes them as files.
 
 Defined cases: null html is an empty payload; a null url becomes ``about:blank`` and is null again when read; a null page_id is lower than all others, and if no copy has
-one, all of them are responses; rows that repeat the largest page_id are all responses; an empty table gives no archive and no records.
+one, all of them are responses; rows that repeat the largest page_id are all responses; a very long page is one record of one frame; columns beside page_id, url and html are ignored; an
+empty table gives no archive and no records.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ploidyne.llm.common import cut
+from ploidyne.llm.common import cut, hot_rows, new_path
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 MIN_REVISIT = 1000
@@ -42,8 +43,12 @@ def with_duplicates(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, sha1, n_bytes, keep): keep is the page_id whose record holds the payload, null if it isn't shared."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
-    shared = p.where(F.col("n_bytes") >= MIN_REVISIT).groupBy("sha1", "n_bytes").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keep is not null").drop("copies")
-    return p.join(shared, ["sha1", "n_bytes"], "left")
+    shared = p.where(F.col("n_bytes") >= MIN_REVISIT).groupBy("sha1", "n_bytes").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keep is not null")
+    shared = cut(shared)
+    hot = hot_rows(pages.count())
+    few = F.broadcast(shared.where(F.col("copies") > hot).drop("copies"))
+    rest = p.join(few, ["sha1", "n_bytes"], "left_anti").join(shared.where(F.col("copies") <= hot).drop("copies"), ["sha1", "n_bytes"], "left")
+    return rest.unionByName(p.join(few, ["sha1", "n_bytes"]))
 
 
 def record_id(page_id) -> str:
@@ -66,8 +71,14 @@ def build_record(page_id, url, payload: bytes, keep) -> bytes:
 
 
 def train_dictionary(pages: DataFrame, rows: int = DICTIONARY_PAGES) -> bytes:
-    """A dictionary from the pages with the least hashes of page_id; raw content if there are too few to train on; may be empty."""
-    sample = [r.html.encode()[:DICTIONARY_PAGE_BYTES] for r in pages.select("page_id", F.substring("html", 1, DICTIONARY_PAGE_BYTES).alias("html")).where("html is not null and html != ''").orderBy(F.xxhash64("page_id"), "html").limit(rows).collect()]
+    """A dictionary from the pages with the least hashes of page_id and html; raw content if there are too few to train on; may be empty.
+
+    Tasks send hashes alone; then the html of those chosen is fetched, one of equal pages.
+    """
+    some = pages.where("html is not null and html != ''").select(F.xxhash64("page_id", "html").alias("h"), F.substring("html", 1, DICTIONARY_PAGE_BYTES).alias("html"))
+    chosen = pages.sparkSession.createDataFrame([(r.h,) for r in some.select("h").orderBy("h").limit(rows).collect()], "h long").distinct()
+    got = some.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("html").alias("html")).collect()
+    sample = [r.html.encode()[:DICTIONARY_PAGE_BYTES] for r in sorted(got)]
     if not sample:
         return b""
     try:
@@ -229,5 +240,10 @@ FROM r
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    archives = cut(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
-    return read_archives(archives).where("error is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    path = new_path(spark, "warc")
+    archives.write.option("compression", "none").parquet(path)
+    records = read_archives(spark.read.schema(archives.schema).parquet(path))
+    # a record that fails stops the query: every page has its row or there is no result
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("not a valid record: "), "error")).cast("string")).otherwise(F.col("payload_digest"))
+    return records.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
