@@ -13,8 +13,8 @@ of its words is within floor(0.2 n) edits of the item.
 
 The benchmark is the stated query set; it goes to the tasks in parts of at most ITEM_WORDS words, one pass over the documents for each.
 
-Defined cases: null and empty texts and items match nothing; equal items are all reported; repeated rows are reported each; a null doc_id is passed on; empty tables
-give empty results; of the matches of one item in a document the best is reported, the first of equals.
+Defined cases: null and empty texts and items match nothing; equal items are all reported; repeated rows are reported each; null ids of documents and items are passed on; very long texts are searched whole; other columns of the input stay as they are in
+decontaminate(); empty tables give empty results; of the matches of one item in a document the best is reported, the first of equals.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ploidyne.llm import textkernel as tk
-from ploidyne.llm.common import cut, documents
+from ploidyne.llm.common import cut, documents, small_enough
 
 EDIT_SHARE = 0.2
 WALKS, SAMPLES, BITS = 8, 8, 3
@@ -228,18 +228,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_words: int =
     out = None
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        found = search(Index(sorted((-1 if r.item_id is None else r.item_id, r.text) for r in mine.collect())))
+        found = search(Index(sorted(((r.item_id, r.text) for r in mine.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))))
         out = found if out is None else out.unionByName(cut(found))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose texts hold no passage of the benchmark."""
-    index_column = "_hit_id"
     # by text, so that null and repeated ids don't matter
-    keyed = docs.withColumn(index_column, F.xxhash64("text"))
-    found = find_contamination(keyed.select(F.col(index_column).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return keyed.join(found, F.col(index_column) == F.col("_hit"), "left_anti").select(*docs.columns)
+    found = cut(find_contamination(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("hit")).distinct())
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"))
+    return packed.join(small_enough(found), F.col("h") == F.col("hit"), "left_anti").select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
