@@ -28,6 +28,8 @@ PAIRS = 100_000
 RIDGE = 1e-3
 #: Word hashes fall in so many buckets.
 HASHED = 128
+#: Words added to a text's number in those shares, so that few words say little.
+PRIOR = 50
 NAMES = ("log_words", "word_length", "upper", "digit", "sign", "shout", "non_ascii", "stop", "repeat", "distinct", "sign_end", "all_caps", "long_word", "lines", "twin_lines") + tuple(f"word_{k}" for k in range(HASHED))
 _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -58,12 +60,12 @@ def features(texts: pa.Array) -> np.ndarray:
     _, line_kinds = tk.distinct(lines.hashes, lines.offsets)
     twins = 1 - np.diff(line_kinds) / np.maximum(np.diff(lines.offsets), 1)
     owner = np.repeat(np.arange(len(n_words)), n_words)
-    bags = np.bincount(owner * HASHED + (words.hashes % np.uint64(HASHED)).astype(np.int64), minlength=len(n_words) * HASHED).reshape(-1, HASHED) / some[:, None]
+    bags = np.bincount(owner * HASHED + (words.hashes % np.uint64(HASHED)).astype(np.int64), minlength=len(n_words) * HASHED).reshape(-1, HASHED) / (n_words[:, None] + PRIOR)
     counts = np.stack([
         np.log1p(n_words), per_word(length), share(1), share(2), share(3), share(5), share(6), share(7), per_word(again), np.diff(unique) / some / np.maximum(1, 6 / np.log2(some + 8)),
         per_word(last == 3), per_word(caps), per_word(length > 24), np.log1p(breaks), twins,
     ], 1).astype(np.float64)
-    return np.concatenate([counts, np.sqrt(bags)], 1)
+    return np.concatenate([counts, bags], 1)
 
 
 _LINE = np.zeros(256, bool)
