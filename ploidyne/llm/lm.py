@@ -8,17 +8,20 @@ and a bias of its own, as has one unseen word for each class: its probability wi
 predicted vector. So probabilities sum to one over the training words and one unseen word for each class.
 
 Counting: a pass over the training texts counts words; the counts are summed by word, and stay a table. Only the head, at most MODEL_WORDS
-words, goes to the tasks. Words of the tail meet their counts by tail class, on rows (document, word, context) without the head.
+words, goes to the tasks.
 
-Training: each task reads its share of the training texts and runs NCE over every position in numpy minibatches, from a start that is the unigram model;
-the tasks' parameters are averaged, weighted by positions, as sums by block of rows. Then each tail class runs NCE over all of its own training positions, with the context vectors as they are; a task holds the
-positions and words of one class, whose share of the input falls as classes grow.
+Training of the classes: texts become sequences of class numbers and are dealt, by a hash of doc_id and text, to shards of about SHARD tokens. A shard sorts its texts by that hash and
+runs NCE over every position in numpy minibatches, from a start that is the unigram model; the shards' parameters are averaged, weighted by positions. So the
+result depends neither on how the input is partitioned nor on the number of tasks.
 
-Scoring: texts are read once, and their words of the tail are scored by tail class. Each distinct context of a task is normalised once, by a matrix product over all classes.
+Scoring: a pass over the texts scores classes; each distinct context of a task is normalised once, by a matrix product over all classes. Words of the tail leave their texts in
+packed arrays, a row for each lot of texts and group of tail classes. A group takes about GROUP words: tail classes with few words share one, a tail class with more is dealt by lots of
+texts over several groups. For each tail class a group runs NCE over all its training words, with the context vectors as they are, and scores all its words; the sums go back by
+lot. No task holds more than a group, however frequent a word or a text may be; a tail class in several groups has a replica of its words' vectors in each, trained on that group's share.
 
-Words are told apart by a 64-bit hash of their bytes. Defined cases: a null or empty text is one end token; repeated rows score alike; with no training
-documents the base is log10 of 1 over V + 1 = 1, and the model is uniform over its classes; an empty table gives an empty result; a null doc_id is passed on and
-is not held out.
+Words are told apart by a 64-bit hash of their bytes. Defined cases: a null or empty text is one end token; repeated rows score alike, but for which replica they meet; with no training
+documents the base is log10 of 1 over V + 1 = 1, and the model is uniform over its classes; very long texts are scored whole, each a lot of its own if it must; columns beside doc_id
+and text are ignored; an empty table gives an empty result; a null doc_id is passed on and is not held out.
 """
 
 from __future__ import annotations
@@ -26,18 +29,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ploidyne.llm import textkernel as tk
-from ploidyne.llm.common import cut, documents
+from ploidyne.llm.common import cut, documents, small_enough
 from ploidyne.llm.quality import held_out
 
 MODEL_WORDS, TAIL = 1500, 96
 DIMENSIONS, CONTEXT = 24, 2
-NOISE, BATCH, RATE = 8, 2048, 0.15
+NOISE, BATCH, RATE = 8, 1024, 0.15
 #: A minibatch draws so many times NOISE noise words, each weighing as much less.
-SHARED = 64
+SHARED = 16
+#: Training tokens of a shard; words of a group; tokens and texts of a lot.
+SHARD, GROUP, LOT, LOT_TEXTS = 2_000_000, 1_000_000, 2_000_000, 60_000
 #: A task holds the normalisers of at most about so many contexts.
 CONTEXTS = 4_000_000
 #: Rows of parameters that are averaged together.
@@ -206,42 +211,83 @@ def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
         adagrad(p, g2, grads, len(t))
 
 
-def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters averaged over the tasks, each of which has read its part of ``docs``."""
-    start = initial(v)
-    if not v.total:
-        return start
-    share = (v.counts + 0.5) / (v.counts.sum() + 0.5 * v.size)
-    cdf, log_noise = np.cumsum(share), np.log(share).astype(np.float32)
-    shapes = {k: x.shape for k, x in start.items()}
+def number_type(n: int) -> type:
+    """The unsigned type that numbers below ``n`` are packed in."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def class_sequences(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
+    """(shard, key, length, class): texts of ``docs`` (doc_id, text) as packed sequences of classes, in lots."""
+    kind = number_type(v.size + 1)
 
     def run(batches):
-        p = {k: x.copy() for k, x in start.items()}
-        seen = 0
-        rng = np.random.default_rng(9)
-        held, n = [], 0
+        held: list[tuple] = []
+        n = 0
 
-        def learn():
-            t, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = rng.permutation(len(t))
-            nce_steps(p, t[order], a[order], b[order], cdf, log_noise, rng)
+        def emit():
+            key, length, seq = (np.concatenate(x) for x in zip(*held, strict=True))
+            # rows that repeat would all meet in one shard: each goes on to the next
+            order = np.argsort(key, kind="stable")
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], key[order][1:] != key[order][:-1]]), np.arange(len(key)), 0))
+            again = np.empty(len(key), np.int64)
+            again[order] = np.arange(len(key)) - first
+            shard = ((key.view(np.uint64) % np.uint64(shards)).astype(np.int64) + again) % shards
+            ends = np.cumsum(length)
+            for k in np.unique(shard):
+                mine = np.flatnonzero(shard == k)
+                parts = [seq[ends[i] - length[i] : ends[i]] for i in mine]
+                yield pa.record_batch([pa.array([k], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (key[mine], length[mine], np.concatenate(parts))]], names=["shard", "key", "length", "class"])
 
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                t, a, b, _ = v.sequence(*tokens(part.column("text")))
-                held.append((t, a, b))
-                n, seen = n + len(t), seen + len(t)
-                if n > 500_000:
-                    learn()
+                t, _, _, offsets = v.sequence(*tokens(part.column("text")))
+                held.append((part.column("key").to_numpy(), np.diff(offsets), t.astype(kind)))
+                n += len(t)
+                if n > LOT:
+                    yield from emit()
                     held, n = [], 0
         if held:
-            learn()
-        if seen:
-            for k, x in p.items():
-                for i in range(0, len(x), BLOCK):
-                    yield pa.record_batch([pa.array([k]), pa.array([i], pa.int32()), pa.array([seen]), pa.array([(x[i : i + BLOCK].astype(np.float64) * seen).ravel()], pa.list_(pa.float64()))], names=["name", "row", "n", "sums"])
+            yield from emit()
+
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "shard int, key binary, length binary, class binary")
+
+
+def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The numbers packed in the blobs of a column, one after another."""
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid]])
 
-    rows = docs.select("text").mapInArrow(run, "name string, row int, n long, sums array<double>")
+
+def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
+    """Parameters averaged over shards of ``docs`` (doc_id, text)."""
+    start = initial(v)
+    if not v.total:
+        return start
+    share = (v.counts + 0.5) / (v.counts.sum() + 0.5 * v.size)
+    cdf, log_noise = np.cumsum(share), np.log(share).astype(np.float32)
+    shapes, kind = {k: x.shape for k, x in start.items()}, number_type(v.size + 1)
+    shards = max(1, round(v.total / SHARD))
+
+    def learn(table):
+        p = {k: x.copy() for k, x in start.items()}
+        key, length, seq = joined(table.column("key"), np.int64), joined(table.column("length"), np.int64), joined(table.column("class"), kind)
+        starts = np.cumsum(length) - length
+        order = np.lexsort((length, key))  # the same order however the rows came
+        length = length[order]
+        at = np.repeat(starts[order] - (np.cumsum(length) - length), length) + np.arange(len(seq))
+        t = seq[at].astype(np.int64)
+        first = np.cumsum(length) - length
+        one, two = np.full(len(t), v.start), np.full(len(t), v.start)
+        one[1:], two[2:] = t[:-1], t[:-2]
+        one[first] = two[first] = v.start
+        second = first[length > 1] + 1
+        two[second] = v.start
+        order = np.random.default_rng(9).permutation(len(t))
+        nce_steps(p, t[order], one[order], two[order], cdf, log_noise, np.random.default_rng(10))
+        rows = [(k, i, (x[i : i + BLOCK].astype(np.float64) * len(t)).ravel()) for k, x in p.items() for i in range(0, len(x), BLOCK)]
+        return pa.table({"name": pa.array([r[0] for r in rows]), "row": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([len(t)] * len(rows)), "sums": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
+
+    kinds = "name string, row int, n long, sums array<double>"
+    rows = class_sequences(docs, v, shards).groupBy("shard").applyInArrow(learn, kinds)
     # two levels, so that no task adds up the blocks of very many others
     rows = rows.withColumn("lane", F.pmod(F.xxhash64("n", "sums"), F.lit(16)).cast("int"))
 
@@ -250,7 +296,6 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         first = table.slice(0, 1)
         return pa.table({"name": first.column("name"), "row": first.column("row"), "n": pa.array([sum(table.column("n").to_pylist())]), "sums": pa.array([total], pa.list_(pa.float64()))})
 
-    kinds = "name string, row int, n long, sums array<double>"
     rows = rows.groupBy("name", "row", "lane").applyInArrow(add, kinds).groupBy("name", "row").applyInArrow(add, kinds)
     out = start
     for r in rows.collect():
@@ -313,70 +358,88 @@ def log_probabilities(p: dict, target, one, two, normaliser: Normaliser | None =
     return out
 
 
-FOUND = "struct<doc_id: long, n_tokens: long, n_head: long, base_head: double, total: double>"
-SPOTS = f"grp int, text_key long, word long, code long, row {FOUND}"
-FOUND_TYPE = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base_head", pa.float64()), ("total", pa.float64())])
+def groups_of(v: Vocabulary, group: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """The first group of each tail class, and over how many groups it is dealt."""
+    first, lanes = np.zeros(v.groups, np.int64), np.maximum(1, np.ceil(v.tail_counts / group)).astype(np.int64)
+    number, room = -1, 0.0
+    for k, c in enumerate(v.tail_counts):
+        if lanes[k] > 1 or c > room:
+            number, room = number + 1, float(group)
+        first[k] = number
+        room -= c
+        if lanes[k] > 1:
+            number, room = number + lanes[k] - 1, 0.0
+    return first, lanes
 
 
-def tail_spots(v: Vocabulary, hashes, tail, offsets, known, one, two):
-    """Of the words of the tail: their text, tail class, hash and context."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    rest = np.flatnonzero(~known)
-    at = rest + doc[rest]
-    return doc[rest], v.group(hashes[rest], tail[rest]), hashes[rest], one[at] * (v.size + 1) + two[at]
-
-
-def training_spots(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """SPOTS of the tail's words in the training texts; text_key and row are null."""
-
-    def run(batches):
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                h, tail, offsets = tokens(part.column("text"))
-                _, one, two, _ = v.sequence(h, tail, offsets)
-                _, known = v.classes(h, tail)
-                _, grp, word, code = tail_spots(v, h, tail, offsets, known, one, two)
-                yield pa.record_batch([pa.array(grp.astype(np.int32)), pa.nulls(len(grp), pa.int64()), pa.array(word.view(np.int64)), pa.array(code), pa.nulls(len(grp), FOUND_TYPE)], names=["grp", "text_key", "word", "code", "row"])
-
-    return docs.select("text").mapInArrow(run, SPOTS)
+SPOTS = "grp int, lot long, class binary, trained binary, other binary, word binary, code binary, text binary, head binary"
+#: What the classes' model finds for each text of a lot: doc_id, whether that is null, tokens, known tokens of the head, base and score without the tail.
+HEAD = np.dtype([("doc_id", np.int64), ("null_id", bool), ("n_tokens", np.int64), ("n_head", np.int64), ("base", np.float64), ("score", np.float64)])
+#: What a group finds for a text of a lot.
+SUMS = np.dtype([("text", np.uint16), ("known", np.int32), ("share", np.float32), ("base", np.float64)])
 
 
 def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
-    """SPOTS of the tail's words in ``docs`` (doc_id, text); the first of a text carries what the classes' model found, with a null word if there is none."""
+    """SPOTS of ``docs`` (doc_id, text, learn: whether the text trains): in lots, the tail's words by group, and a row with HEAD."""
+    from pyspark import TaskContext
+
     denominator = v.total + 0.5 * (v.distinct + 1)
     base = lambda c: np.log10((c + 0.5) / denominator)
+    first, lanes = groups_of(v)
+    kind, names = number_type(v.size + 1), [c.strip().split()[0] for c in SPOTS.split(",")]
+    schema = pa.schema([("grp", pa.int32()), ("lot", pa.int64()), *[(c, pa.binary()) for c in names[2:]]])
 
     def run(batches):
-        normaliser = Normaliser(p)
+        normaliser, lot = Normaliser(p), TaskContext.get().partitionId() << 32
+        heads: list[np.ndarray] = []
+        held: list[tuple] = []
+        n = texts = 0
+
+        def emit():
+            rows = [[int(first[lot % v.groups]), lot, *[None] * 6, np.concatenate(heads).tobytes()]]
+            text, grp, word, code, learn = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((text, ~learn, grp))
+            text, grp, word, code, learn = text[order], grp[order], word[order], code[order], learn[order]
+            kinds, at, count = np.unique(grp, return_index=True, return_counts=True)
+            trained = np.add.reduceat(learn.astype(np.int64), at) if len(at) else at
+            group = first[kinds] + lot % lanes[kinds]
+            steps = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(kinds) else []
+            for a, b in zip(steps, [*steps[1:], len(kinds)], strict=True):
+                e = slice(at[a], at[b - 1] + count[b - 1])
+                blobs = kinds[a:b].astype(np.int32), trained[a:b].astype(np.int32), (count - trained)[a:b].astype(np.int32), word[e], code[e].astype(kind).T, text[e].astype(np.uint16)
+                rows.append([int(group[a]), lot, *[np.ascontiguousarray(x).tobytes() for x in blobs], None])
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
             for part in tk.slices(batch, "text"):
+                if held and (n > LOT or texts + part.num_rows > LOT_TEXTS):
+                    yield emit()
+                    heads, held, n, texts, lot = [], [], 0, 0, lot + 1
                 h, tail, offsets = tokens(part.column("text"))
-                n = len(offsets) - 1
+                m = len(offsets) - 1
                 target, one, two, ends = v.sequence(h, tail, offsets)
-                total = tk.sums(log_probabilities(p, target, one, two, normaliser), ends) / np.log(10)
                 c, known = v.classes(h, tail)
-                head = np.where(known, base(v.counts[np.minimum(c, v.size - 1)]), 0.0)
-                base_head = tk.sums(head, offsets) + base(v.end_count)
-                n_head = tk.sums(known.astype(np.int64), offsets) + (v.end_count > 0)
-                doc, grp, word, code = tail_spots(v, h, tail, offsets, known, one, two)
-                key = part.column("text_key").to_numpy()
-                per = np.bincount(doc, minlength=n)
-                rows = np.maximum(per, 1)
-                of = np.repeat(np.arange(n), rows)
-                real = np.repeat(per > 0, rows)
-                groups, words, codes = (key[of] % v.groups).astype(np.int32), np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
-                groups[real], words[real], codes[real] = grp, word.view(np.int64), code
-                first = np.ones(len(of), bool)
-                first[1:] = of[1:] != of[:-1]
-                row = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets) + 1), pa.array(n_head.astype(np.int64)), pa.array(base_head), pa.array(total)], fields=list(FOUND_TYPE))
-                yield pa.record_batch([pa.array(groups), pa.array(key[of]), pa.array(words, mask=~real), pa.array(codes), row.take(pa.array(of, mask=~first))], names=["grp", "text_key", "word", "code", "row"])
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, SPOTS)
-
-
-def word_model(counts: np.ndarray, target: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
-    """Vectors and biases of a tail class's words and, last, of its unseen word, by NCE from the class's unigram model."""
+                head, ids = np.zeros(m, HEAD), part.column("doc_id")
+                head["doc_id"], head["null_id"] = pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False)
+                head["n_tokens"] = np.diff(offsets) + 1
+                head["n_head"] = tk.sums(known.astype(np.int64), offsets) + (v.end_count > 0)
+                head["base"] = tk.sums(np.where(known, base(v.counts[np.minimum(c, v.size - 1)]), 0.0), offsets) + base(v.end_count)
+                head["score"] = tk.sums(log_probabilities(p, target, one, two, normaliser), ends) / np.log(10)
+                heads.append(head)
+                doc = np.repeat(np.arange(m), np.diff(offsets))
+                rest = np.flatnonzero(~known)
+                at = rest + doc[rest]
+                learn = part.column("learn").to_numpy(zero_copy_only=False)
+                held.append((texts + doc[rest], v.group(h[rest], tail[rest]), h[rest], np.stack([one[at], two[at]], 1).astype(kind), learn[doc[rest]]))
+                n, texts = n + len(target), texts + m
+        if held:
+            yield emit()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learn").mapInArrow(run, SPOTS)
+
+
+def word_model(counts: np.ndarray, target: np.ndarray, h) -> dict[str, np.ndarray]:
+    """Vectors and biases of a tail class's words and, last, of its unseen word, by NCE from the class's unigram model; ``h`` gives the predicted vectors at places."""
     share = (np.append(counts, 0) + 0.5) / (counts.sum() + 0.5 * (len(counts) + 1))
     p = {"r": np.zeros((len(share), DIMENSIONS), np.float32), "b": np.log(share).astype(np.float32)[:, None]}
     g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
@@ -385,80 +448,123 @@ def word_model(counts: np.ndarray, target: np.ndarray, h: np.ndarray) -> dict[st
     order = rng.permutation(len(target))
     sn = np.empty((BATCH, NOISE * SHARED), np.float32)
     for s in range(0, len(target), BATCH):
-        t, x = target[order[s : s + BATCH]], h[order[s : s + BATCH]]
+        mine = order[s : s + BATCH]
+        t, x = target[mine], h(mine)
         drawn = np.searchsorted(cdf, rng.random(NOISE * SHARED)).clip(0, len(share) - 1)
         et, en, _ = errors(p, x, t, drawn, log_noise, sn)
         adagrad(p, g2, target_gradients(p, x, t, drawn, et, en), len(t))
     return p
 
 
-def score_group(spots: pa.Table, words: pa.Table, p: dict, denominator: float) -> pa.Table:
-    """Train the words of a tail class on its spots without a text_key, score the others; sums by text_key, and the rows carried."""
-    word, c = words.column("word").to_numpy().view(np.uint64), words.column("c").to_numpy().astype(np.float64)
-    order = np.argsort(word)
-    word, c = word[order], c[order]
-
-    def places(table):
-        w = table.column("word").to_numpy().view(np.uint64)
-        at = np.minimum(np.searchsorted(word, w), max(len(word) - 1, 0))
-        return np.where(word[at] == w, at, len(word)) if len(word) else np.zeros(len(w), np.int64)
-
-    width = len(p["q"])
-    vectors = lambda code: p["q"][code // width] * p["c"][0] + p["q"][code % width] * p["c"][1]
-    lone = pc.is_null(spots.column("text_key"))
-    learn = spots.filter(lone)
-    t, code = places(learn), learn.column("code").to_numpy()
+def score_class(word: np.ndarray, count: np.ndarray, seen, learn: int, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Train the words of a tail class on the first ``learn`` of the places ``seen`` (word, context), and score all: log10 of the share and the training count at each place.
+
+    ``word`` is sorted; what it lacks counts as the unseen word.
+    """
+    asked, code = seen
+    at = np.minimum(np.searchsorted(word, asked), max(len(word) - 1, 0))
+    t = np.where(word[at] == asked, at, len(word)) if len(word) else np.zeros(len(asked), np.int64)
+    vectors = lambda c: p["q"][c[:, 0]] * p["c"][0] + p["q"][c[:, 1]] * p["c"][1]
     # the same order however the rows came
-    order = np.lexsort((code, t))
-    mine = word_model(c, t[order], vectors(code[order]))
-    ask = spots.filter(pc.and_(pc.invert(lone), pc.is_valid(spots.column("word"))))
-    t, key = places(ask), ask.column("text_key").to_numpy()
-    code, back = np.unique(ask.column("code").to_numpy(), return_inverse=True)
-    h = vectors(code)
-    found = np.einsum("ij,ij->i", h[back], mine["r"][t]) + mine["b"][t, 0] - Normaliser(mine).compute(h)[back]
-    key, back = np.unique(key, return_inverse=True)
-    counted = np.append(c, 0.0)[t]
-    add = lambda x: np.bincount(back, x, minlength=len(key))
-    carried = spots.filter(pc.is_valid(spots.column("row")))
-    zero = np.zeros(carried.num_rows)
-    return pa.table({
-        "text_key": pa.chunked_array([pa.array(key), *carried.column("text_key").chunks], pa.int64()),
-        "base_tail": np.concatenate([add(np.log10((counted + 0.5) / denominator)), zero]),
-        "share": np.concatenate([add(found / np.log(10)), zero]),
-        "known": np.concatenate([add((counted > 0).astype(np.float64)), zero]).astype(np.int64),
-        "row": pa.chunked_array([pa.nulls(len(key), FOUND_TYPE), *carried.column("row").chunks], FOUND_TYPE),
-    })
-
-
-def score_documents(docs: DataFrame, training: DataFrame, model_words: int = MODEL_WORDS) -> DataFrame:
-    """Train on ``training`` (text) and score ``docs`` (doc_id, text).
-
-    The tail's words leave their documents as (tail class, text_key, word, context), meet the class's training positions and counts and come back as sums by
-    document. The first of them carries what the classes' model found, so that the texts are scored in one pass. Of rows equal in doc_id and text all get the same values.
+    order = np.lexsort((code[:learn, 1], code[:learn, 0], t[:learn]))
+    model = word_model(count, t[order], lambda k: vectors(code[order[k]]))
+    flat, back = np.unique(code[:, 0].astype(np.int64) * len(p["q"]) + code[:, 1], return_inverse=True)
+    norm, found = np.empty(len(flat), np.float32), np.empty(len(t))
+    normaliser = Normaliser(model)
+    for s in range(0, len(flat), 1 << 15):
+        part = flat[s : s + (1 << 15)]
+        norm[s : s + len(part)] = normaliser.compute(vectors(np.stack([part // len(p["q"]), part % len(p["q"])], 1)))
+    for s in range(0, len(t), 1 << 15):
+        e = slice(s, s + (1 << 15))
+        found[e] = np.einsum("ij,ij->i", vectors(code[e]), model["r"][t[e]]) + model["b"][t[e], 0] - norm[back[e]]
+    return found / np.log(10), np.append(count, 0.0)[t]
+
+
+def score_group(spots: pa.Table, words: pa.Table, p: dict, denominator: float) -> pa.Table:
+    """(lot, sums, head): for each lot SUMS of the words of this group's tail classes; rows with a head go on as they are."""
+    heads = spots.filter(pc.is_valid(spots.column("head")))
+    spots = spots.filter(pc.is_null(spots.column("head")))
+    sums = []
+    if spots.num_rows:
+        kind, lots = number_type(len(p["q"])), spots.column("lot").to_numpy()
+        blobs = {c: [np.frombuffer(x.as_buffer(), k) for x in spots.column(c)] for c, k in (("class", np.int32), ("trained", np.int32), ("other", np.int32), ("word", np.uint64), ("text", np.uint16))}
+        codes = [np.frombuffer(x.as_buffer(), kind).reshape(2, -1).T for x in spots.column("code")]
+        # where each tail class lies in each lot
+        pieces: dict = {}
+        for i in range(len(lots)):
+            trained, other = blobs["trained"][i], blobs["other"][i]
+            ends = np.cumsum(trained.astype(np.int64) + other)
+            for k, e, a, b in zip(blobs["class"][i].tolist(), ends.tolist(), trained.tolist(), other.tolist(), strict=True):
+                pieces.setdefault(k, []).append((i, e - a - b, e - b, e))
+        known = {c: words.column(c).to_numpy() for c in ("cls", "word", "c")}
+        order = np.lexsort((known["word"].view(np.uint64), known["cls"]))
+        known = {c: x[order] for c, x in known.items()}
+        result = [(np.empty(len(w)), np.empty(len(w))) for w in blobs["word"]]
+        for k, mine in sorted(pieces.items()):
+            low, high = np.searchsorted(known["cls"], [k, k + 1])
+            spans = [(i, a, m) for i, a, m, _ in mine] + [(i, m, e) for i, _, m, e in mine]
+            asked = np.concatenate([blobs["word"][i][a:e] for i, a, e in spans])
+            code = np.concatenate([codes[i][a:e] for i, a, e in spans])
+            share, c = score_class(known["word"][low:high].view(np.uint64), known["c"][low:high].astype(np.float64), (asked, code), sum(m - a for _, a, m, _ in mine), p)
+            at = 0
+            for i, a, e in spans:
+                result[i][0][a:e], result[i][1][a:e] = share[at : at + e - a], c[at : at + e - a]
+                at += e - a
+        for (share, c), text in zip(result, blobs["text"], strict=True):
+            found, back = np.unique(text, return_inverse=True)
+            row = np.zeros(len(found), SUMS)
+            row["text"], row["share"], row["known"], row["base"] = found, np.bincount(back, share), np.bincount(back, c > 0), np.bincount(back, np.log10((c + 0.5) / denominator))
+            sums.append(row.tobytes())
+    empty = pa.nulls(heads.num_rows, pa.binary())
+    return pa.table({"lot": pa.chunked_array([spots.column("lot").combine_chunks(), heads.column("lot").combine_chunks()], pa.int64()), "sums": pa.chunked_array([pa.array(sums, pa.binary()), empty]), "head": pa.chunked_array([pa.nulls(len(sums), pa.binary()), heads.column("head").combine_chunks()], pa.binary())})
+
+
+def add_up(table: pa.Table) -> pa.Table:
+    """The texts of a lot with what the classes and the groups found."""
+    head = joined(table.column("head"), HEAD)
+    sums = joined(table.column("sums"), SUMS)
+    add = lambda c: np.bincount(sums["text"], sums[c], minlength=len(head))
+    return pa.table({"doc_id": pa.array(head["doc_id"], mask=head["null_id"]), "n_tokens": head["n_tokens"], "n_known": head["n_head"] + add("known").astype(np.int64), "base_score": head["base"] + add("base"), "score": head["score"] + add("share")})
+
+
+def score_documents(docs: DataFrame, training: DataFrame | Column, model_words: int = MODEL_WORDS) -> DataFrame:
+    """Score ``docs`` (doc_id, text) by a model of ``training``: a condition on the rows of ``docs``, or a table (doc_id, text) of its own.
+
+    A table of its own passes through the scoring as well, for its words of the tail, and leaves no rows in the result.
     """
-    counts = cut(word_counts(training))
+    if isinstance(training, Column):
+        learn = F.coalesce(training, F.lit(False))
+        every = docs.select("doc_id", "text", learn.alias("learn"), F.lit(True).alias("wanted"))
+    else:
+        every = docs.select("doc_id", "text", F.lit(False).alias("learn"), F.lit(True).alias("wanted")).unionByName(training.select("doc_id", "text", F.lit(True).alias("learn"), F.lit(False).alias("wanted")))
+    source = every.where("learn").select("doc_id", "text")
+    counts = cut(word_counts(source))
     v = vocabulary(counts, model_words)
-    p = train(training, v)
+    p = train(source, v)
     denominator = v.total + 0.5 * (v.distinct + 1)
-    head = docs.sparkSession.createDataFrame([(int(w),) for w in v.words.view(np.int64)], "word long")
-    words = counts.where("tail >= 0").join(F.broadcast(head), "word", "left_anti").select(group_column(v.split).alias("grp"), "word", "c")
-    spots = score_texts(docs, v, p).unionByName(training_spots(training, v))
-    met = spots.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(lambda a, b: score_group(a, b, p, denominator), f"text_key long, base_tail double, share double, known long, row {FOUND}")
-    per = met.groupBy("text_key").agg(
-        F.sum("base_tail").alias("base_tail"),
-        F.sum("share").alias("share"),
-        F.sum("known").alias("known"),
-        F.count("row").alias("copies"),
-        *[F.max(f"row.{x}").alias(x) for x in ("doc_id", "n_tokens", "n_head", "base_head", "total")],
-    )
-    # copies of a row add up: take their number out, and give each its row, in blocks so that no array grows with it
-    block = 1 << 16
-    per = per.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / block))))
-    per = per.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(block), F.col("copies") - F.col("_block") * block))))
-    return per.select("doc_id", "n_tokens", (F.col("n_head") + F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base_head") + F.col("base_tail") / F.col("copies")).alias("base_score"), (F.col("total") + F.col("share") / F.col("copies")).alias("score"))
+    spark = docs.sparkSession
+    head = spark.createDataFrame([(int(w),) for w in v.words.view(np.int64)], "word long")
+    first, lanes = groups_of(v)
+    # a row for each tail class, whose number grows as the root of that of words
+    dealt = spark.createDataFrame([(k, int(f), int(n)) for k, (f, n) in enumerate(zip(first, lanes, strict=True))], "cls int, first int, lanes int")
+    words = counts.where("tail >= 0").join(F.broadcast(head), "word", "left_anti").select(group_column(v.split).alias("cls"), "word", "c").join(small_enough(dealt), "cls")
+    words = words.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("lanes") - 1)).alias("grp"), "cls", "word", "c")
+
+    def scored(part: DataFrame) -> DataFrame:
+        met = score_texts(part, v, p).groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(lambda a, b: score_group(a, b, p, denominator), "lot long, sums binary, head binary")
+        return met.groupBy("lot").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+    if isinstance(training, Column):
+        out = scored(every)
+    else:
+        # rows are told apart by a flag in place of the doc_id, and come back with it
+        own = cut(every.select(F.monotonically_increasing_id().alias("i"), "doc_id", "text", "learn", "wanted"))
+        found = scored(own.select(F.col("i").alias("doc_id"), "text", "learn")).withColumnRenamed("doc_id", "i")
+        out = own.where("wanted").select("i", "doc_id").join(found, "i").drop("i")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    scored = score_documents(docs, docs.where(~held_out(5, 1)).select("text"))
+    scored = score_documents(docs, ~held_out(5, 1))
     return scored.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -227,7 +227,7 @@ def test_decontamination_recall(spark):
 
 def test_lm_scores(spark, rows):
     frame = spark.createDataFrame(rows, DOCS)
-    got = lm.score_documents(frame, frame.where(~quality.held_out(5, 1)).select("text"), model_words=50).collect()
+    got = lm.score_documents(frame, ~quality.held_out(5, 1), model_words=50).collect()
     tokens = [WORD.findall((t or "").translate(LOWER)) + [None] for _, t in rows]
     c = collections.Counter()
     for (i, _), w in zip(rows, tokens, strict=True):
@@ -259,8 +259,9 @@ def test_lm_words_of_the_tail_have_vectors_of_their_own(spark):
     # aazz and bbzz share a tail class and are as frequent; only what comes before tells them apart
     train = spark.createDataFrame([(i, "pp aazz" if i % 2 else "qq bbzz") for i in range(20000)] + [(20000, "pp qq")], DOCS)
     asked = [(0, "pp aazz"), (1, "pp bbzz"), (2, "qq aazz"), (3, "qq bbzz")]
-    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(asked, DOCS), train.select("text"), model_words=2).collect()}
-    assert got[0] > got[1] + 0.1 and got[3] > got[2] + 0.1
+    scored = lm.score_documents(spark.createDataFrame(asked, DOCS), train, model_words=2)
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert len(got) == 4 and got[0] > got[1] + 0.1 and got[3] > got[2] + 0.1
 
 
 def test_lm_tail_class_sums_to_one_and_classes_grow(spark):
@@ -274,13 +275,59 @@ def test_lm_tail_class_sums_to_one_and_classes_grow(spark):
     assert [r.grp for r in words] == v.group(np.array([r.word for r in words], np.int64).view(np.uint64), np.array([r.tail for r in words])).tolist()
     assert v.tail_counts.tolist() == [sum(c) for c in ([r.c for r in words if r.grp == g] for g in range(v.groups))]
     p = lm.train(docs, v)
-    mine = pa.table({"word": [r.word for r in words if r.grp == 3], "c": [r.c for r in words if r.grp == 3]})
-    seen = lm.training_spots(docs, v).where("grp = 3").collect()
-    asked = [*mine.column("word").to_pylist(), 5]  # 5 stands for a word that wasn't seen
-    n, m = len(seen), len(asked)
-    spots = pa.table([pa.array([None] * n + list(range(m)), pa.int64()), pa.array([r.word for r in seen] + asked), pa.array([r.code for r in seen] + [seen[0].code] * m), pa.nulls(n + m, lm.FOUND_TYPE)], names=["text_key", "word", "code", "row"])
-    found = lm.score_group(spots, mine, p, 1.0)
-    assert found.num_rows == m and abs((10 ** found.column("share").to_numpy()).sum() - 1) < 1e-4
+    mine = sorted((r.word % 2**64, r.c) for r in words if r.grp == 3)
+    word, c = np.array([w for w, _ in mine], np.uint64), np.array([n for _, n in mine], np.float64)
+    asked = np.append(word, np.uint64(5))  # 5 stands for a word that wasn't seen
+    learn = np.repeat(word, c.astype(int))
+    code = np.concatenate([np.random.default_rng(1).integers(0, v.size, (len(learn), 2)), np.tile([[4, 7]], (len(asked), 1))])
+    share, counted = lm.score_class(word, c, (np.concatenate([learn, asked]), code), len(learn), p)
+    assert abs((10 ** share[len(learn) :]).sum() - 1) < 1e-4 and counted[len(learn) :].tolist() == [*c, 0]
+    first, lanes = lm.groups_of(v, 500)
+    assert lanes.tolist() == [max(1, -(-int(n) // 500)) for n in v.tail_counts]
+    load = collections.Counter()
+    for f, n, k in zip(first.tolist(), lanes.tolist(), v.tail_counts, strict=True):
+        for lane in range(n):
+            load[f + lane] += k / n
+    assert max(load.values()) <= 500 and sorted(load) == list(range(max(load) + 1))
+
+
+def test_lm_score_against_plain_python(spark, rows, monkeypatch):
+    """The score of each text from the trained parameters, token by token; lots and groups are small, and the layout of the rows doesn't matter."""
+    monkeypatch.setattr(lm, "LOT", 300)
+    monkeypatch.setattr(lm, "SHARD", 2000)
+    named = [(i, t) for i, t in rows if i is not None and i != 208]
+    frame = spark.createDataFrame(named, DOCS)
+    learn = ~quality.held_out(5, 1)
+    got = {r.doc_id: r.score for r in lm.score_documents(frame.coalesce(1), learn, model_words=30).collect()}
+    again = {r.doc_id: r.score for r in lm.score_documents(frame.repartition(9), learn, model_words=30).collect()}
+    assert got.keys() == again.keys() and max(abs(got[i] - again[i]) for i in got) < 1e-4
+    counts = lm.word_counts(frame.where(learn)).collect()
+    v = lm.vocabulary(lm.word_counts(frame.where(learn)), 30)
+    p = lm.train(frame.where(learn).select("doc_id", "text"), v)
+    known: dict = collections.defaultdict(list)
+    for r in counts:
+        if r.tail >= 0 and np.uint64(r.word % 2**64) not in v.words:
+            known[int(v.group(np.array([r.word % 2**64], np.uint64), np.array([r.tail]))[0])].append((r.word % 2**64, r.c))
+    spots: dict = collections.defaultdict(list)
+    plain = collections.Counter()
+    for i, t in named:
+        h, tail, offsets = lm.tokens(pa.array([t], pa.string()))
+        target, one, two, _ = v.sequence(h, tail, offsets)
+        cls, head = v.classes(h, tail)
+        for k, (c, a, b) in enumerate(zip(target, one, two, strict=True)):
+            ctx = p["q"][a] * p["c"][0] + p["q"][b] * p["c"][1]
+            z = p["r"].astype(float) @ ctx + p["b"][:, 0]
+            plain[i] += (z[c] - np.log(np.exp(z).sum())) / np.log(10)
+            if k < len(h) and not head[k]:
+                spots[int(c) - 1 - len(v.words)].append((zlib.crc32(str(i).encode()) % 5 != 1, int(h[k]), int(a), int(b), i))
+    for k, mine in spots.items():
+        mine.sort(key=lambda x: not x[0])
+        words = sorted(known[k])
+        share, _ = lm.score_class(np.array([w for w, _ in words], np.uint64), np.array([c for _, c in words], float), (np.array([x[1] for x in mine], np.uint64), np.array([x[2:4] for x in mine])), sum(x[0] for x in mine), p)
+        for x, s in zip(mine, share, strict=True):
+            plain[x[4]] += s
+    times = collections.Counter(i for i, _ in named)  # one row is there twice
+    assert max(abs(got[i] - plain[i] / times[i]) / (1 + abs(got[i])) for i in got) < 1e-4
 
 
 def test_kernel_tells_words_apart():
