@@ -39,6 +39,8 @@ from ploidyne.llm.quality import held_out
 MODEL_WORDS, TAIL = 1500, 96
 DIMENSIONS, CONTEXT = 24, 2
 NOISE, BATCH, RATE = 8, 1024, 0.15
+#: Words of the tail are rare, so their vectors take smaller steps.
+TAIL_RATE = 0.05
 #: A minibatch draws so many times NOISE noise words, each weighing as much less.
 SHARED = 16
 #: Training tokens of a shard; words of a group; tokens and texts of a lot.
@@ -186,11 +188,11 @@ def target_gradients(p: dict, h, t, drawn, et, en) -> dict[str, np.ndarray]:
     return grads
 
 
-def adagrad(p: dict, g2: dict, grads: dict, m: int) -> None:
+def adagrad(p: dict, g2: dict, grads: dict, m: int, rate: float = RATE) -> None:
     for k, g in grads.items():
         g = g / np.float32(m ** 0.5)
         g2[k] += g * g
-        p[k] += np.float32(RATE) * g / np.sqrt(g2[k])
+        p[k] += np.float32(rate) * g / np.sqrt(g2[k])
 
 
 def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
@@ -452,7 +454,7 @@ def word_model(counts: np.ndarray, target: np.ndarray, h) -> dict[str, np.ndarra
         t, x = target[mine], h(mine)
         drawn = np.searchsorted(cdf, rng.random(NOISE * SHARED)).clip(0, len(share) - 1)
         et, en, _ = errors(p, x, t, drawn, log_noise, sn)
-        adagrad(p, g2, target_gradients(p, x, t, drawn, et, en), len(t))
+        adagrad(p, g2, target_gradients(p, x, t, drawn, et, en), len(t), TAIL_RATE)
     return p
 
 
