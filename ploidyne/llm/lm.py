@@ -2,8 +2,8 @@
 
 Vocabulary: a tree of two levels. Classes are the MODEL_WORDS most frequent training words, the end of a text, and tail classes for all
 other words: TAIL by a hash of their last two bytes, each split by the word's hash so that their number grows as the root of that of the tail's
-words. The model predicts a token's class from the classes of the two before it: the predicted vector is the sum of the context vectors,
-each scaled by position, and a class's score is its product with the class's vector plus a bias. Each training word of a tail class has a vector
+words. The model predicts a token's class from the two tokens before it, each a word of the head, the end, or one of the TAIL unsplit tail classes: the predicted vector is the sum of
+the context vectors, each scaled by position, and a class's score is its product with the class's vector plus a bias. Each training word of a tail class has a vector
 and a bias of its own, as has one unseen word for each class: its probability within the class is again log-bilinear, from the same
 predicted vector. So probabilities sum to one over the training words and one unseen word for each class.
 
@@ -92,7 +92,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Classes: 0 is the end, then the head's words, then the tail classes; ``start`` pads contexts."""
+    """Classes: 0 is the end, then the head's words, then the tail classes. Contexts are the same with unsplit tail classes; ``start`` pads them."""
 
     def __init__(self, head: list, end_count: int, tail: dict[int, tuple[int, int]], total: int, distinct: int, split: int = 1):
         order = np.argsort(np.array([h.word for h in head], np.int64).view(np.uint64)) if head else np.zeros(0, np.int64)
@@ -102,7 +102,8 @@ class Vocabulary:
         self.split, self.groups = split, TAIL * split
         self.tail_counts = np.array([tail.get(k, (0, 0))[0] for k in range(self.groups)], np.float64)
         self.size = 1 + len(head) + self.groups
-        self.start = self.size
+        # contexts: the end and the head as they are, tail classes without their split, and one that pads
+        self.first_tail, self.start = 1 + len(head), 1 + len(head) + TAIL
         self.counts = np.concatenate([[end_count], self.head_counts, self.tail_counts]).astype(np.float64)
 
     def group(self, hashes: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -117,9 +118,19 @@ class Vocabulary:
         known = self.words[at] == hashes
         return np.where(known, 1 + at, 1 + len(self.words) + self.group(hashes, tail)), known
 
-    def sequence(self, hashes, tail, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Classes with an end after each text, the two classes before each, and the texts' offsets in them."""
-        c, _ = self.classes(hashes, tail)
+    def contexts(self, classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts one and two places before each class of texts that begin at ``starts``."""
+        c = np.where(classes < self.first_tail, classes, self.first_tail + (classes - self.first_tail) // self.split).astype(np.uint16)
+        one, two = np.full(len(c), self.start, np.uint16), np.full(len(c), self.start, np.uint16)
+        one[1:], two[2:] = c[:-1], c[:-2]
+        one[starts] = two[starts] = self.start
+        second = starts + 1
+        two[second[second < np.append(starts[1:], len(c))]] = self.start
+        return one, two
+
+    def sequence(self, hashes, tail, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes with an end after each text, the two contexts before each, the texts' offsets in them, and whether each word is in the head."""
+        c, known = self.classes(hashes, tail)
         n = len(offsets) - 1
         ends = offsets[1:] + np.arange(n)
         out = np.zeros(len(c) + n, np.int64)
@@ -127,12 +138,7 @@ class Vocabulary:
         place[ends] = False
         out[place] = c
         starts = offsets[:-1] + np.arange(n)
-        one, two = np.full(len(out), self.start), np.full(len(out), self.start)
-        one[1:], two[2:] = out[:-1], out[:-2]
-        one[starts] = two[starts] = self.start
-        second = starts + 1
-        two[second[second < np.append(starts[1:], len(out))]] = self.start
-        return out, one, two, np.append(starts, len(out))
+        return out, *self.contexts(out, starts), np.append(starts, len(out)), known
 
 
 def group_column(split: int):
@@ -154,45 +160,54 @@ def vocabulary(counts: DataFrame, model_words: int = MODEL_WORDS) -> Vocabulary:
 
 
 def initial(v: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
+    """Start of training: ``r`` holds the classes' vectors and, last, their biases, ``q`` the contexts' vectors, ``c`` the scales of the two positions."""
     rng = np.random.default_rng(seed)
     share = (v.counts + 0.5) / (v.counts.sum() + 0.5 * v.size)
-    return {"r": rng.normal(0, 0.1, (v.size, DIMENSIONS)).astype(np.float32), "q": rng.normal(0, 0.1, (v.size + 1, DIMENSIONS)).astype(np.float32), "c": np.ones((CONTEXT, DIMENSIONS), np.float32) * 0.5, "b": np.log(share).astype(np.float32)[:, None]}
+    r = rng.normal(0, 0.1, (v.size, DIMENSIONS)).astype(np.float32)
+    return {"r": np.concatenate([r, np.log(share).astype(np.float32)[:, None]], 1), "q": rng.normal(0, 0.1, (v.start + 1, DIMENSIONS)).astype(np.float32), "c": np.ones((CONTEXT, DIMENSIONS), np.float32) * 0.5}
+
+
+def predicted(p: dict, one, two) -> np.ndarray:
+    """The vectors that contexts predict, with a last column of ones for the biases."""
+    out = np.ones((len(one), DIMENSIONS + 1), np.float32)
+    np.multiply(p["q"][one], p["c"][0], out=out[:, :-1])
+    out[:, :-1] += p["q"][two] * p["c"][1]
+    return out
+
+
+def scores(h: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", h, rows[of])
 
 
-def errors(p: dict, h, t, drawn, log_noise, sn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """1 - P(data) of the targets, -P(data) of the noise by its weight, and the noise's vectors."""
+def errors(rows: np.ndarray, h, t, drawn, log_noise, sn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """1 - P(data) of the targets, -P(data) of the noise by its weight, and the noise's rows."""
     log_k, weight = np.float32(np.log(NOISE)), np.float32(1 / SHARED)
-    rd = p["r"][drawn]
-    st = (h * p["r"][t]).sum(1) + p["b"][t, 0] - log_noise[t] - log_k
+    rd = rows[drawn]
+    st = scores(h, rows, t) - log_noise[t] - log_k
     et = 1 / (1 + np.exp(np.clip(st, -30, 30)))
     # in one buffer: exp(-score), plus one, inverted
+    rd[:, -1] -= log_noise[drawn] + log_k
     en = np.matmul(h, -rd.T, out=sn[: len(t)])
-    en -= p["b"][drawn, 0] - log_noise[drawn] - log_k
     np.exp(np.minimum(en, np.float32(60), out=en), out=en)
     en += 1
     np.divide(-weight, en, out=en)
     return et, en, rd
 
 
-def add_rows(out: np.ndarray, idx: np.ndarray, val: np.ndarray) -> None:
+def ascend(x: np.ndarray, g2: np.ndarray, idx: np.ndarray, grads: np.ndarray, m: int, rate: float) -> None:
+    """An Adagrad step of the rows ``idx`` of ``x``, which may repeat, over ``m`` positions."""
     order = np.argsort(idx, kind="stable")
-    rows, at = np.unique(idx[order], return_index=True)
-    out[rows] += np.add.reduceat(val[order], at, 0)
+    ordered = idx[order]
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    rows, g = ordered[at], np.add.reduceat(grads[order], at, 0)
+    g *= np.float32(m**-0.5)
+    now = g2[rows] + g * g
+    g2[rows] = now
+    x[rows] += np.float32(rate) * g / np.sqrt(now)
 
 
-def target_gradients(p: dict, h, t, drawn, et, en) -> dict[str, np.ndarray]:
-    grads = {"r": np.zeros_like(p["r"]), "b": np.zeros_like(p["b"])}
-    add_rows(grads["r"], t, et[:, None] * h)
-    add_rows(grads["r"], drawn, en.T @ h)
-    grads["b"][:, 0] = np.bincount(t, et, minlength=len(grads["b"])) + np.bincount(drawn, en.sum(0), minlength=len(grads["b"]))
-    return grads
-
-
-def adagrad(p: dict, g2: dict, grads: dict, m: int, rate: float = RATE) -> None:
-    for k, g in grads.items():
-        g = g / np.float32(m ** 0.5)
-        g2[k] += g * g
-        p[k] += np.float32(rate) * g / np.sqrt(g2[k])
+def draw(noise_cdf: np.ndarray, rng, kind: type) -> np.ndarray:
+    return np.minimum(np.searchsorted(noise_cdf, rng.random(NOISE * SHARED)), len(noise_cdf) - 1).astype(kind)
 
 
 def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
@@ -201,16 +216,14 @@ def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
     sn = np.empty((BATCH, NOISE * SHARED), np.float32)
     for s in range(0, len(target), BATCH):
         t, a, b = target[s : s + BATCH], one[s : s + BATCH], two[s : s + BATCH]
-        drawn = np.searchsorted(noise_cdf, rng.random(NOISE * SHARED)).clip(0, len(log_noise) - 1)
-        qa, qb = p["q"][a], p["q"][b]
-        h = qa * p["c"][0] + qb * p["c"][1]
-        et, en, rd = errors(p, h, t, drawn, log_noise, sn)
-        dh = et[:, None] * p["r"][t] + en @ rd
-        grads = target_gradients(p, h, t, drawn, et, en) | {"q": np.zeros_like(p["q"])}
-        add_rows(grads["q"], a, dh * p["c"][0])
-        add_rows(grads["q"], b, dh * p["c"][1])
-        grads["c"] = np.stack([(dh * qa).sum(0), (dh * qb).sum(0)])
-        adagrad(p, g2, grads, len(t))
+        drawn = draw(noise_cdf, rng, target.dtype)
+        h = predicted(p, a, b)
+        et, en, rd = errors(p["r"], h, t, drawn, log_noise, sn)
+        dh = (et[:, None] * p["r"][t] + en @ rd)[:, :-1]
+        g = dh * p["q"][a], dh * p["q"][b]
+        ascend(p["r"], g2["r"], np.concatenate([t, drawn]), np.concatenate([et[:, None] * h, en.T @ h]), len(t), RATE)
+        ascend(p["q"], g2["q"], np.concatenate([a, b]), np.concatenate([dh * p["c"][0], dh * p["c"][1]]), len(t), RATE)
+        ascend(p["c"], g2["c"], np.arange(CONTEXT), np.stack([x.sum(0) for x in g]), len(t), RATE)
 
 
 def number_type(n: int) -> type:
@@ -220,7 +233,7 @@ def number_type(n: int) -> type:
 
 def class_sequences(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
     """(shard, key, length, class): texts of ``docs`` (doc_id, text) as packed sequences of classes, in lots."""
-    kind = number_type(v.size + 1)
+    kind = number_type(v.size)
 
     def run(batches):
         held: list[tuple] = []
@@ -242,7 +255,7 @@ def class_sequences(docs: DataFrame, v: Vocabulary, shards: int) -> DataFrame:
 
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                t, _, _, offsets = v.sequence(*tokens(part.column("text")))
+                t, _, _, offsets, _ = v.sequence(*tokens(part.column("text")))
                 held.append((part.column("key").to_numpy(), np.diff(offsets), t.astype(kind)))
                 n += len(t)
                 if n > LOT:
@@ -266,7 +279,7 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         return start
     share = (v.counts + 0.5) / (v.counts.sum() + 0.5 * v.size)
     cdf, log_noise = np.cumsum(share), np.log(share).astype(np.float32)
-    shapes, kind = {k: x.shape for k, x in start.items()}, number_type(v.size + 1)
+    shapes, kind = {k: x.shape for k, x in start.items()}, number_type(v.size)
     shards = max(1, round(v.total / SHARD))
 
     def learn(table):
@@ -276,13 +289,8 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         order = np.lexsort((length, key))  # the same order however the rows came
         length = length[order]
         at = np.repeat(starts[order] - (np.cumsum(length) - length), length) + np.arange(len(seq))
-        t = seq[at].astype(np.int64)
-        first = np.cumsum(length) - length
-        one, two = np.full(len(t), v.start), np.full(len(t), v.start)
-        one[1:], two[2:] = t[:-1], t[:-2]
-        one[first] = two[first] = v.start
-        second = first[length > 1] + 1
-        two[second] = v.start
+        t = seq[at]
+        one, two = v.contexts(t.astype(np.int64), np.cumsum(length) - length)
         order = np.random.default_rng(9).permutation(len(t))
         nce_steps(p, t[order], one[order], two[order], cdf, log_noise, np.random.default_rng(10))
         rows = [(k, i, (x[i : i + BLOCK].astype(np.float64) * len(t)).ravel()) for k, x in p.items() for i in range(0, len(x), BLOCK)]
@@ -312,51 +320,48 @@ class Normaliser:
     def __init__(self, p: dict):
         self.p = p
         self.codes, self.norms = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        self.rows = np.ascontiguousarray(np.concatenate([p["r"], p["b"]], 1).T)
-        self.reach = np.linalg.norm(p["r"], axis=1).max(), np.abs(p["b"]).max()
-
-    def vectors(self, code: np.ndarray) -> np.ndarray:
-        p, width = self.p, len(self.p["q"])
-        return p["q"][code // width] * p["c"][0] + p["q"][code % width] * p["c"][1]
+        self.columns = np.ascontiguousarray(p["r"].T)
+        self.reach = np.linalg.norm(p["r"][:, :-1], axis=1).max(), np.abs(p["r"][:, -1]).max()
 
     def __call__(self, code: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Of sorted distinct contexts with their predicted vectors."""
         if len(self.codes) > CONTEXTS:
             self.codes, self.norms = self.codes[:0], self.norms[:0]
         at = np.searchsorted(self.codes, code)
-        if len(self.codes):
-            new = self.codes[np.minimum(at, len(self.codes) - 1)] != code
-        else:
-            new = np.ones(len(code), bool)
-        self.norms = np.insert(self.norms, at[new], self.compute(h[new]))
+        new = self.codes[np.minimum(at, len(self.codes) - 1)] != code if len(self.codes) else np.ones(len(code), bool)
+        out = np.empty(len(code), np.float32)
+        out[~new] = self.norms[at[~new]]
+        out[new] = self.compute(h[new])
+        self.norms = np.insert(self.norms, at[new], out[new])
         self.codes = np.insert(self.codes, at[new], code[new])
-        return self.norms[np.searchsorted(self.codes, code)]
+        return out
 
     def compute(self, h: np.ndarray) -> np.ndarray:
-        out = np.empty(len(h), np.float32)
-        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+        out, ones = np.empty(len(h), np.float32), np.ones(self.columns.shape[1], np.float32)
+        z = np.empty((128, len(ones)), np.float32)
         for s in range(0, len(h), 128):
             part = h[s : s + 128]
-            z = part @ self.rows
+            x = np.matmul(part, self.columns, out=z[: len(part)])
             # no score is beyond this, so exp needs no shift
-            plain = np.linalg.norm(part, axis=1).max() * self.reach[0] + self.reach[1] < 60
-            top = np.float32(0) if plain else z.max(1)
+            plain = np.linalg.norm(part[:, :-1], axis=1).max() * self.reach[0] + self.reach[1] < 60
+            top = np.float32(0) if plain else x.max(1)
             if not plain:
-                z -= top[:, None]
-            out[s : s + 128] = np.log(np.exp(z, out=z).sum(1)) + top
+                x -= top[:, None]
+            out[s : s + 128] = np.log(np.exp(x, out=x) @ ones) + top
         return out
 
 
 def log_probabilities(p: dict, target, one, two, normaliser: Normaliser | None = None) -> np.ndarray:
     """Natural log of the normalised probability of each target class."""
-    normaliser = normaliser or Normaliser(p)
-    code, back = np.unique(one * len(p["q"]) + two, return_inverse=True)
-    h = normaliser.vectors(code)
-    norm, bias = normaliser(code, h), p["b"][:, 0]
+    normaliser, width = normaliser or Normaliser(p), len(p["q"])
+    code = one.astype(np.int64) * width + two
+    distinct, back = np.unique(code, return_inverse=True)
+    h = predicted(p, distinct // width, distinct % width)
+    norm = normaliser(distinct, h)
     out = np.empty(len(target))
-    for s in range(0, len(target), 1 << 16):
-        e = slice(s, s + (1 << 16))
-        out[e] = np.einsum("ij,ij->i", h[back[e]], p["r"][target[e]]) + bias[target[e]] - norm[back[e]]
+    for s in range(0, len(target), 1 << 14):
+        e = slice(s, s + (1 << 14))
+        out[e] = scores(h[back[e]], p["r"], target[e]) - norm[back[e]]
     return out
 
 
@@ -388,7 +393,7 @@ def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
     denominator = v.total + 0.5 * (v.distinct + 1)
     base = lambda c: np.log10((c + 0.5) / denominator)
     first, lanes = groups_of(v)
-    kind, names = number_type(v.size + 1), [c.strip().split()[0] for c in SPOTS.split(",")]
+    names = [c.strip().split()[0] for c in SPOTS.split(",")]
     schema = pa.schema([("grp", pa.int32()), ("lot", pa.int64()), *[(c, pa.binary()) for c in names[2:]]])
 
     def run(batches):
@@ -399,16 +404,17 @@ def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
 
         def emit():
             rows = [[int(first[lot % v.groups]), lot, *[None] * 6, np.concatenate(heads).tobytes()]]
-            text, grp, word, code, learn = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((text, ~learn, grp))
-            text, grp, word, code, learn = text[order], grp[order], word[order], code[order], learn[order]
+            text, grp, word, code, learn = (np.concatenate(x, -1) for x in zip(*held, strict=True))
+            # texts are in order already
+            order = np.argsort(grp * 2 + ~learn, kind="stable")
+            text, grp, word, code, learn = text[order], grp[order], word[order], code[:, order], learn[order]
             kinds, at, count = np.unique(grp, return_index=True, return_counts=True)
             trained = np.add.reduceat(learn.astype(np.int64), at) if len(at) else at
             group = first[kinds] + lot % lanes[kinds]
             steps = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(kinds) else []
             for a, b in zip(steps, [*steps[1:], len(kinds)], strict=True):
                 e = slice(at[a], at[b - 1] + count[b - 1])
-                blobs = kinds[a:b].astype(np.int32), trained[a:b].astype(np.int32), (count - trained)[a:b].astype(np.int32), word[e], code[e].astype(kind).T, text[e].astype(np.uint16)
+                blobs = kinds[a:b].astype(np.int32), trained[a:b].astype(np.int32), (count - trained)[a:b].astype(np.int32), word[e], code[:, e], text[e].astype(np.uint16)
                 rows.append([int(group[a]), lot, *[np.ascontiguousarray(x).tobytes() for x in blobs], None])
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -419,20 +425,19 @@ def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
                     heads, held, n, texts, lot = [], [], 0, 0, lot + 1
                 h, tail, offsets = tokens(part.column("text"))
                 m = len(offsets) - 1
-                target, one, two, ends = v.sequence(h, tail, offsets)
-                c, known = v.classes(h, tail)
+                doc = np.repeat(np.arange(m), np.diff(offsets))
+                target, one, two, ends, known = v.sequence(h, tail, offsets)
                 head, ids = np.zeros(m, HEAD), part.column("doc_id")
                 head["doc_id"], head["null_id"] = pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False)
                 head["n_tokens"] = np.diff(offsets) + 1
                 head["n_head"] = tk.sums(known.astype(np.int64), offsets) + (v.end_count > 0)
-                head["base"] = tk.sums(np.where(known, base(v.counts[np.minimum(c, v.size - 1)]), 0.0), offsets) + base(v.end_count)
+                head["base"] = tk.sums(np.where(known, base(v.counts[target[np.arange(len(h)) + doc]]), 0.0), offsets) + base(v.end_count)
                 head["score"] = tk.sums(log_probabilities(p, target, one, two, normaliser), ends) / np.log(10)
                 heads.append(head)
-                doc = np.repeat(np.arange(m), np.diff(offsets))
                 rest = np.flatnonzero(~known)
                 at = rest + doc[rest]
                 learn = part.column("learn").to_numpy(zero_copy_only=False)
-                held.append((texts + doc[rest], v.group(h[rest], tail[rest]), h[rest], np.stack([one[at], two[at]], 1).astype(kind), learn[doc[rest]]))
+                held.append((texts + doc[rest], v.group(h[rest], tail[rest]), h[rest], np.stack([one[at], two[at]]), learn[doc[rest]]))
                 n, texts = n + len(target), texts + m
         if held:
             yield emit()
@@ -440,45 +445,41 @@ def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "learn").mapInArrow(run, SPOTS)
 
 
-def word_model(counts: np.ndarray, target: np.ndarray, h) -> dict[str, np.ndarray]:
-    """Vectors and biases of a tail class's words and, last, of its unseen word, by NCE from the class's unigram model; ``h`` gives the predicted vectors at places."""
+def word_model(counts: np.ndarray, target: np.ndarray, code: np.ndarray, p: dict) -> np.ndarray:
+    """Vectors and biases of a tail class's words and, last, of its unseen word, by NCE from the class's unigram model on places with contexts ``code``."""
     share = (np.append(counts, 0) + 0.5) / (counts.sum() + 0.5 * (len(counts) + 1))
-    p = {"r": np.zeros((len(share), DIMENSIONS), np.float32), "b": np.log(share).astype(np.float32)[:, None]}
-    g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
+    rows = np.zeros((len(share), DIMENSIONS + 1), np.float32)
+    rows[:, -1] = np.log(share)
+    g2 = np.full(rows.shape, 1e-3, np.float32)
     cdf, log_noise = np.cumsum(share), np.log(share).astype(np.float32)
     rng = np.random.default_rng(9)
-    order = rng.permutation(len(target))
+    # the same order however the rows came
+    order = np.lexsort((code[1], code[0], target))
+    order = order[rng.permutation(len(order))]
     sn = np.empty((BATCH, NOISE * SHARED), np.float32)
-    for s in range(0, len(target), BATCH):
+    for s in range(0, len(order), BATCH):
         mine = order[s : s + BATCH]
-        t, x = target[mine], h(mine)
-        drawn = np.searchsorted(cdf, rng.random(NOISE * SHARED)).clip(0, len(share) - 1)
-        et, en, _ = errors(p, x, t, drawn, log_noise, sn)
-        adagrad(p, g2, target_gradients(p, x, t, drawn, et, en), len(t), TAIL_RATE)
-    return p
+        t, h = target[mine], predicted(p, code[0, mine], code[1, mine])
+        drawn = draw(cdf, rng, target.dtype)
+        et, en, _ = errors(rows, h, t, drawn, log_noise, sn)
+        ascend(rows, g2, np.concatenate([t, drawn]), np.concatenate([et[:, None] * h, en.T @ h]), len(t), TAIL_RATE)
+    return rows
 
 
 def score_class(word: np.ndarray, count: np.ndarray, seen, learn: int, p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Train the words of a tail class on the first ``learn`` of the places ``seen`` (word, context), and score all: log10 of the share and the training count at each place.
+    """Train the words of a tail class on the first ``learn`` of the places ``seen`` (words, contexts one and two before), and score all: log10 of the share and the training
+    count at each place.
 
     ``word`` is sorted; what it lacks counts as the unseen word.
     """
     asked, code = seen
     at = np.minimum(np.searchsorted(word, asked), max(len(word) - 1, 0))
-    t = np.where(word[at] == asked, at, len(word)) if len(word) else np.zeros(len(asked), np.int64)
-    vectors = lambda c: p["q"][c[:, 0]] * p["c"][0] + p["q"][c[:, 1]] * p["c"][1]
-    # the same order however the rows came
-    order = np.lexsort((code[:learn, 1], code[:learn, 0], t[:learn]))
-    model = word_model(count, t[order], lambda k: vectors(code[order[k]]))
-    flat, back = np.unique(code[:, 0].astype(np.int64) * len(p["q"]) + code[:, 1], return_inverse=True)
-    norm, found = np.empty(len(flat), np.float32), np.empty(len(t))
-    normaliser = Normaliser(model)
-    for s in range(0, len(flat), 1 << 15):
-        part = flat[s : s + (1 << 15)]
-        norm[s : s + len(part)] = normaliser.compute(vectors(np.stack([part // len(p["q"]), part % len(p["q"])], 1)))
-    for s in range(0, len(t), 1 << 15):
-        e = slice(s, s + (1 << 15))
-        found[e] = np.einsum("ij,ij->i", vectors(code[e]), model["r"][t[e]]) + model["b"][t[e], 0] - norm[back[e]]
+    t = (np.where(word[at] == asked, at, len(word)) if len(word) else np.zeros(len(asked), np.int64)).astype(number_type(len(word) + 1))
+    model = {"q": p["q"], "c": p["c"], "r": word_model(count, t[:learn], code[:, :learn], p)}
+    found, normaliser = np.empty(len(t)), Normaliser(model)
+    for s in range(0, len(t), 1 << 20):
+        e = slice(s, s + (1 << 20))
+        found[e] = log_probabilities(model, t[e], code[0, e], code[1, e], normaliser)
     return found / np.log(10), np.append(count, 0.0)[t]
 
 
@@ -488,9 +489,9 @@ def score_group(spots: pa.Table, words: pa.Table, p: dict, denominator: float) -
     spots = spots.filter(pc.is_null(spots.column("head")))
     sums = []
     if spots.num_rows:
-        kind, lots = number_type(len(p["q"])), spots.column("lot").to_numpy()
+        lots = spots.column("lot").to_numpy()
         blobs = {c: [np.frombuffer(x.as_buffer(), k) for x in spots.column(c)] for c, k in (("class", np.int32), ("trained", np.int32), ("other", np.int32), ("word", np.uint64), ("text", np.uint16))}
-        codes = [np.frombuffer(x.as_buffer(), kind).reshape(2, -1).T for x in spots.column("code")]
+        codes = [np.frombuffer(x.as_buffer(), np.uint16).reshape(2, -1) for x in spots.column("code")]
         # where each tail class lies in each lot
         pieces: dict = {}
         for i in range(len(lots)):
@@ -506,7 +507,7 @@ def score_group(spots: pa.Table, words: pa.Table, p: dict, denominator: float) -
             low, high = np.searchsorted(known["cls"], [k, k + 1])
             spans = [(i, a, m) for i, a, m, _ in mine] + [(i, m, e) for i, _, m, e in mine]
             asked = np.concatenate([blobs["word"][i][a:e] for i, a, e in spans])
-            code = np.concatenate([codes[i][a:e] for i, a, e in spans])
+            code = np.concatenate([codes[i][:, a:e] for i, a, e in spans], 1)
             share, c = score_class(known["word"][low:high].view(np.uint64), known["c"][low:high].astype(np.float64), (asked, code), sum(m - a for _, a, m, _ in mine), p)
             at = 0
             for i, a, e in spans:

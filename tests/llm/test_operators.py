@@ -243,7 +243,7 @@ def test_lm_probabilities_sum_to_one():
     v = lm.Vocabulary([], 3, {0: (5, 2)}, 8, 3)
     p = lm.initial(v)
     k = np.arange(v.size)
-    assert abs(np.exp(lm.log_probabilities(p, k, np.full(v.size, 2), np.full(v.size, v.start))).sum() - 1) < 1e-5
+    assert abs(np.exp(lm.log_probabilities(p, k, np.full(v.size, 2, np.uint16), np.full(v.size, v.start, np.uint16))).sum() - 1) < 1e-5
 
 
 def test_lm_trains_on_every_position(spark):
@@ -251,7 +251,7 @@ def test_lm_trains_on_every_position(spark):
     docs = spark.createDataFrame([(i, "aa bb cc dd") for i in range(4000)], DOCS).coalesce(1)
     v = lm.vocabulary(lm.word_counts(docs), 4)
     p = lm.train(docs, v)
-    t, one, two, _ = v.sequence(*lm.tokens(pa.array(["aa bb cc dd"])))
+    t, one, two, _, _ = v.sequence(*lm.tokens(pa.array(["aa bb cc dd"])))
     assert np.exp(lm.log_probabilities(p, t, one, two)).min() > 0.5
 
 
@@ -279,7 +279,7 @@ def test_lm_tail_class_sums_to_one_and_classes_grow(spark):
     word, c = np.array([w for w, _ in mine], np.uint64), np.array([n for _, n in mine], np.float64)
     asked = np.append(word, np.uint64(5))  # 5 stands for a word that wasn't seen
     learn = np.repeat(word, c.astype(int))
-    code = np.concatenate([np.random.default_rng(1).integers(0, v.size, (len(learn), 2)), np.tile([[4, 7]], (len(asked), 1))])
+    code = np.concatenate([np.random.default_rng(1).integers(0, v.start, (2, len(learn))), np.tile([[4], [7]], (1, len(asked)))], 1).astype(np.uint16)
     share, counted = lm.score_class(word, c, (np.concatenate([learn, asked]), code), len(learn), p)
     assert abs((10 ** share[len(learn) :]).sum() - 1) < 1e-4 and counted[len(learn) :].tolist() == [*c, 0]
     first, lanes = lm.groups_of(v, 500)
@@ -312,18 +312,17 @@ def test_lm_score_against_plain_python(spark, rows, monkeypatch):
     plain = collections.Counter()
     for i, t in named:
         h, tail, offsets = lm.tokens(pa.array([t], pa.string()))
-        target, one, two, _ = v.sequence(h, tail, offsets)
-        cls, head = v.classes(h, tail)
+        target, one, two, _, head = v.sequence(h, tail, offsets)
         for k, (c, a, b) in enumerate(zip(target, one, two, strict=True)):
             ctx = p["q"][a] * p["c"][0] + p["q"][b] * p["c"][1]
-            z = p["r"].astype(float) @ ctx + p["b"][:, 0]
+            z = p["r"][:, :-1].astype(float) @ ctx + p["r"][:, -1]
             plain[i] += (z[c] - np.log(np.exp(z).sum())) / np.log(10)
             if k < len(h) and not head[k]:
                 spots[int(c) - 1 - len(v.words)].append((zlib.crc32(str(i).encode()) % 5 != 1, int(h[k]), int(a), int(b), i))
     for k, mine in spots.items():
         mine.sort(key=lambda x: not x[0])
         words = sorted(known[k])
-        share, _ = lm.score_class(np.array([w for w, _ in words], np.uint64), np.array([c for _, c in words], float), (np.array([x[1] for x in mine], np.uint64), np.array([x[2:4] for x in mine])), sum(x[0] for x in mine), p)
+        share, _ = lm.score_class(np.array([w for w, _ in words], np.uint64), np.array([c for _, c in words], float), (np.array([x[1] for x in mine], np.uint64), np.array([x[2:4] for x in mine], np.uint16).T), sum(x[0] for x in mine), p)
         for x, s in zip(mine, share, strict=True):
             plain[x[4]] += s
     times = collections.Counter(i for i, _ in named)  # one row is there twice
