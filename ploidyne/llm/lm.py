@@ -37,7 +37,7 @@ from ploidyne.llm.common import cut, documents, small_enough
 from ploidyne.llm.quality import held_out
 
 MODEL_WORDS, TAIL = 1500, 96
-DIMENSIONS, CONTEXT = 24, 2
+DIMENSIONS, CONTEXT = 16, 2
 NOISE, BATCH, RATE = 8, 1024, 0.15
 #: Words of the tail are rare, so their vectors take smaller steps.
 TAIL_RATE = 0.05
@@ -297,7 +297,7 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         return pa.table({"name": pa.array([r[0] for r in rows]), "row": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([len(t)] * len(rows)), "sums": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
 
     kinds = "name string, row int, n long, sums array<double>"
-    rows = class_sequences(docs, v, shards).groupBy("shard").applyInArrow(learn, kinds)
+    rows = class_sequences(docs, v, shards).repartition(2 * shards, "shard").groupBy("shard").applyInArrow(learn, kinds)
     # two levels, so that no task adds up the blocks of very many others
     rows = rows.withColumn("lane", F.pmod(F.xxhash64("n", "sums"), F.lit(16)).cast("int"))
 
@@ -554,7 +554,8 @@ def score_documents(docs: DataFrame, training: DataFrame | Column, model_words:
     words = words.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("lanes") - 1)).alias("grp"), "cls", "word", "c")
 
     def scored(part: DataFrame) -> DataFrame:
-        met = score_texts(part, v, p).groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(lambda a, b: score_group(a, b, p, denominator), "lot long, sums binary, head binary")
+        n = 2 * int((first + lanes).max())
+        met = score_texts(part, v, p).repartition(n, "grp").groupBy("grp").cogroup(words.repartition(n, "grp").groupBy("grp")).applyInArrow(lambda a, b: score_group(a, b, p, denominator), "lot long, sums binary, head binary")
         return met.groupBy("lot").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
     if isinstance(training, Column):
