@@ -11,7 +11,7 @@ Counting: a pass over the training texts counts words; the counts are summed by
 words, goes to the tasks.
 
 Training of the classes: texts become sequences of class numbers and are dealt, by a hash of doc_id and text, to shards of about SHARD tokens. A shard sorts its texts by that hash and
-runs NCE over every position in numpy minibatches, from a start that is the unigram model; the shards' parameters are averaged, weighted by positions. So the
+runs NCE over every position in numpy minibatches (equal ones of a shard count as one with a weight, in part), from a start that is the unigram model; the shards' parameters are averaged, weighted by positions. So the
 result depends neither on how the input is partitioned nor on the number of tasks.
 
 Scoring: a pass over the texts scores classes; each distinct context of a task is normalised once, by a matrix product over all classes. Words of the tail leave their texts in
@@ -37,12 +37,14 @@ from ploidyne.llm.common import cut, documents, small_enough
 from ploidyne.llm.quality import held_out
 
 MODEL_WORDS, TAIL = 1500, 96
-DIMENSIONS, CONTEXT = 16, 2
+DIMENSIONS, CONTEXT = 24, 2
 NOISE, BATCH, RATE = 8, 1024, 0.15
 #: Words of the tail are rare, so their vectors take smaller steps.
 TAIL_RATE = 0.05
 #: A minibatch draws so many times NOISE noise words, each weighing as much less.
 SHARED = 16
+#: Positions of a shard that repeat train together, at most so many at once.
+TOGETHER = 2
 #: Training tokens of a shard; words of a group; tokens and texts of a lot.
 SHARD, GROUP, LOT, LOT_TEXTS = 2_000_000, 1_000_000, 2_000_000, 60_000
 #: A task holds the normalisers of at most about so many contexts.
@@ -73,8 +75,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def emit():
             both = np.concatenate(held, 1)
-            word, at, c = np.unique(both[0], return_index=True, return_counts=True)
-            return pa.record_batch([pa.array(word.view(np.int64)), pa.array(both[1][at].astype(np.int32)), pa.array(c)], names=["word", "tail", "c"])
+            order = np.argsort(both[0])
+            word = both[0][order]
+            at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            return pa.record_batch([pa.array(word[at].view(np.int64)), pa.array(both[1][order[at]].astype(np.int32)), pa.array(np.diff(np.append(at, len(word))))], names=["word", "tail", "c"])
 
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -84,7 +88,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if n > 4_000_000:
                     yield emit()
                     held, n = [], 0
-        if held:
+        if n:
             yield emit()
         yield pa.record_batch([pa.array([int(END)]), pa.array([-1], pa.int32()), pa.array([docs_seen])], names=["word", "tail", "c"])
 
@@ -167,34 +171,38 @@ def initial(v: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
     return {"r": np.concatenate([r, np.log(share).astype(np.float32)[:, None]], 1), "q": rng.normal(0, 0.1, (v.start + 1, DIMENSIONS)).astype(np.float32), "c": np.ones((CONTEXT, DIMENSIONS), np.float32) * 0.5}
 
 
-def predicted(p: dict, one, two) -> np.ndarray:
-    """The vectors that contexts predict, with a last column of ones for the biases."""
-    out = np.ones((len(one), DIMENSIONS + 1), np.float32)
-    np.multiply(p["q"][one], p["c"][0], out=out[:, :-1])
-    out[:, :-1] += p["q"][two] * p["c"][1]
+def predicted(p: dict, qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
+    """The vectors that contexts with vectors ``qa`` and ``qb`` predict, with a last column of ones for the biases."""
+    out = np.ones((len(qa), DIMENSIONS + 1), np.float32)
+    np.multiply(qa, p["c"][0], out=out[:, :-1])
+    out[:, :-1] += qb * p["c"][1]
     return out
 
 
-def scores(h: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", h, rows[of])
+def scores(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", h, rows)
+
+
+def noise_terms(t, cdf, log_noise, rng, sn) -> tuple:
+    """Classes drawn from the noise, and the buffer for their scores."""
+    drawn = np.minimum(np.searchsorted(cdf, rng.random(NOISE * SHARED)), len(cdf) - 1).astype(t.dtype)
+    return drawn, log_noise[drawn], sn[: len(t)]
 
 
-def errors(rows: np.ndarray, h, t, drawn, log_noise, sn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """1 - P(data) of the targets, -P(data) of the noise by its weight, and the noise's rows."""
-    log_k, weight = np.float32(np.log(NOISE)), np.float32(1 / SHARED)
-    rd = rows[drawn]
-    st = scores(h, rows, t) - log_noise[t] - log_k
-    et = 1 / (1 + np.exp(np.clip(st, -30, 30)))
-    # in one buffer: exp(-score), plus one, inverted
-    rd[:, -1] -= log_noise[drawn] + log_k
-    en = np.matmul(h, -rd.T, out=sn[: len(t)])
-    np.exp(np.minimum(en, np.float32(60), out=en), out=en)
+def errors(h, rt, rd, log_t, log_d, buffer) -> tuple[np.ndarray, np.ndarray]:
+    """1 - P(data) of targets with rows ``rt``, and P(data) of the noise with rows ``rd``."""
+    log_k = np.float32(np.log(NOISE))
+    et = 1 / (1 + np.exp(np.clip(scores(h, rt) - log_t - log_k, -30, 30)))
+    # in one buffer: exp(-score), plus one, inverted; what overflows becomes 0
+    turned = -rd
+    turned[:, -1] += log_d + log_k
+    en = np.matmul(h, turned.T, out=buffer)
+    np.exp(en, out=en)
     en += 1
-    np.divide(-weight, en, out=en)
-    return et, en, rd
+    return et, np.reciprocal(en, out=en)
 
 
-def ascend(x: np.ndarray, g2: np.ndarray, idx: np.ndarray, grads: np.ndarray, m: int, rate: float) -> None:
+def ascend(x: np.ndarray, g2: np.ndarray, idx: np.ndarray, grads: np.ndarray, m: float, rate: float) -> None:
     """An Adagrad step of the rows ``idx`` of ``x``, which may repeat, over ``m`` positions."""
     order = np.argsort(idx, kind="stable")
     ordered = idx[order]
@@ -206,24 +214,33 @@ def ascend(x: np.ndarray, g2: np.ndarray, idx: np.ndarray, grads: np.ndarray, m:
     x[rows] += np.float32(rate) * g / np.sqrt(now)
 
 
-def draw(noise_cdf: np.ndarray, rng, kind: type) -> np.ndarray:
-    return np.minimum(np.searchsorted(noise_cdf, rng.random(NOISE * SHARED)), len(noise_cdf) - 1).astype(kind)
-
-
-def nce_steps(p: dict, target, one, two, noise_cdf, log_noise, rng) -> None:
-    """Adagrad steps over minibatches, in place; the draws of noise are shared by a minibatch."""
+def nce_steps(p: dict, target, one, two, times, noise_cdf, log_noise, rng) -> None:
+    """Adagrad steps over minibatches of positions, each of which stands for ``times`` equal ones, in place; the draws of noise are shared by a minibatch."""
     g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
-    sn = np.empty((BATCH, NOISE * SHARED), np.float32)
+    sn, weight = np.empty((BATCH, NOISE * SHARED), np.float32), np.float32(-1 / SHARED)
     for s in range(0, len(target), BATCH):
-        t, a, b = target[s : s + BATCH], one[s : s + BATCH], two[s : s + BATCH]
-        drawn = draw(noise_cdf, rng, target.dtype)
-        h = predicted(p, a, b)
-        et, en, rd = errors(p["r"], h, t, drawn, log_noise, sn)
-        dh = (et[:, None] * p["r"][t] + en @ rd)[:, :-1]
-        g = dh * p["q"][a], dh * p["q"][b]
-        ascend(p["r"], g2["r"], np.concatenate([t, drawn]), np.concatenate([et[:, None] * h, en.T @ h]), len(t), RATE)
-        ascend(p["q"], g2["q"], np.concatenate([a, b]), np.concatenate([dh * p["c"][0], dh * p["c"][1]]), len(t), RATE)
-        ascend(p["c"], g2["c"], np.arange(CONTEXT), np.stack([x.sum(0) for x in g]), len(t), RATE)
+        t, ab = target[s : s + BATCH], np.concatenate([one[s : s + BATCH], two[s : s + BATCH]])
+        m, by = len(t), times[s : s + BATCH]
+        n_all = float(by.sum())
+        drawn, log_d, buffer = noise_terms(t, noise_cdf, log_noise, rng, sn)
+        both = np.concatenate([t, drawn])
+        rows, q = p["r"][both], p["q"][ab]
+        h = predicted(p, q[:m], q[m:])
+        with np.errstate(over="ignore"):
+            et, en = errors(h, rows[:m], rows[m:], log_noise[t], log_d, buffer)
+        dh = en @ (rows[m:, :-1] * weight)
+        dh *= by[:, None]
+        et *= by
+        up = rows[:m]
+        up *= et[:, None]
+        dh += up[:, :-1]
+        np.multiply(h, et[:, None], out=up)
+        rows[m:] = en.T @ (h * (by * weight)[:, None])
+        dq = np.concatenate([dh * p["c"][0], dh * p["c"][1]])
+        q.reshape(CONTEXT, m, -1)[:] *= dh
+        ascend(p["r"], g2["r"], both, rows, n_all, RATE)
+        ascend(p["q"], g2["q"], ab, dq, n_all, RATE)
+        ascend(p["c"], g2["c"], np.arange(CONTEXT), q.reshape(CONTEXT, m, -1).sum(1), n_all, RATE)
 
 
 def number_type(n: int) -> type:
@@ -291,8 +308,12 @@ def train(docs: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
         at = np.repeat(starts[order] - (np.cumsum(length) - length), length) + np.arange(len(seq))
         t = seq[at]
         one, two = v.contexts(t.astype(np.int64), np.cumsum(length) - length)
-        order = np.random.default_rng(9).permutation(len(t))
-        nce_steps(p, t[order], one[order], two[order], cdf, log_noise, np.random.default_rng(10))
+        # equal positions train together, up to TOGETHER of them, so the objective is that of all positions
+        code, count = np.unique((t * np.int64(v.start + 1) + one) * (v.start + 1) + two, return_counts=True)
+        parts = -(-count // TOGETHER)
+        order = np.repeat(np.arange(len(code)), parts)[np.random.default_rng(9).permutation(parts.sum())]
+        code, width = code[order], v.start + 1
+        nce_steps(p, (code // width // width).astype(kind), (code // width % width).astype(np.uint16), (code % width).astype(np.uint16), (count / parts).astype(np.float32)[order], cdf, log_noise, np.random.default_rng(10))
         rows = [(k, i, (x[i : i + BLOCK].astype(np.float64) * len(t)).ravel()) for k, x in p.items() for i in range(0, len(x), BLOCK)]
         return pa.table({"name": pa.array([r[0] for r in rows]), "row": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([len(t)] * len(rows)), "sums": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
 
@@ -356,12 +377,12 @@ def log_probabilities(p: dict, target, one, two, normaliser: Normaliser | None =
     normaliser, width = normaliser or Normaliser(p), len(p["q"])
     code = one.astype(np.int64) * width + two
     distinct, back = np.unique(code, return_inverse=True)
-    h = predicted(p, distinct // width, distinct % width)
+    h = predicted(p, p["q"][distinct // width], p["q"][distinct % width])
     norm = normaliser(distinct, h)
     out = np.empty(len(target))
     for s in range(0, len(target), 1 << 14):
         e = slice(s, s + (1 << 14))
-        out[e] = scores(h[back[e]], p["r"], target[e]) - norm[back[e]]
+        out[e] = scores(h[back[e]], p["r"][target[e]]) - norm[back[e]]
     return out
 
 
@@ -406,7 +427,7 @@ def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
             rows = [[int(first[lot % v.groups]), lot, *[None] * 6, np.concatenate(heads).tobytes()]]
             text, grp, word, code, learn = (np.concatenate(x, -1) for x in zip(*held, strict=True))
             # texts are in order already
-            order = np.argsort(grp * 2 + ~learn, kind="stable")
+            order = np.argsort((grp * 2 + ~learn).astype(number_type(2 * v.groups)), kind="stable")
             text, grp, word, code, learn = text[order], grp[order], word[order], code[:, order], learn[order]
             kinds, at, count = np.unique(grp, return_index=True, return_counts=True)
             trained = np.add.reduceat(learn.astype(np.int64), at) if len(at) else at
@@ -454,15 +475,16 @@ def word_model(counts: np.ndarray, target: np.ndarray, code: np.ndarray, p: dict
     cdf, log_noise = np.cumsum(share), np.log(share).astype(np.float32)
     rng = np.random.default_rng(9)
     # the same order however the rows came
-    order = np.lexsort((code[1], code[0], target))
+    order = np.argsort((target * np.int64(1 << 16) + code[0]) * (1 << 16) + code[1])
     order = order[rng.permutation(len(order))]
-    sn = np.empty((BATCH, NOISE * SHARED), np.float32)
+    sn, weight = np.empty((BATCH, NOISE * SHARED), np.float32), np.float32(-1 / SHARED)
     for s in range(0, len(order), BATCH):
         mine = order[s : s + BATCH]
-        t, h = target[mine], predicted(p, code[0, mine], code[1, mine])
-        drawn = draw(cdf, rng, target.dtype)
-        et, en, _ = errors(rows, h, t, drawn, log_noise, sn)
-        ascend(rows, g2, np.concatenate([t, drawn]), np.concatenate([et[:, None] * h, en.T @ h]), len(t), TAIL_RATE)
+        t, h = target[mine], predicted(p, p["q"][code[0, mine]], p["q"][code[1, mine]])
+        drawn, log_d, buffer = noise_terms(t, cdf, log_noise, rng, sn)
+        with np.errstate(over="ignore"):
+            et, en = errors(h, rows[t], rows[drawn], log_noise[t], log_d, buffer)
+        ascend(rows, g2, np.concatenate([t, drawn]), np.concatenate([et[:, None] * h, en.T @ (h * weight)]), len(t), TAIL_RATE)
     return rows
 
 
