@@ -6,7 +6,7 @@ of its training rows, which meets by language in a task; only centroids come to
 that language is marked ``rejected``, which leaves the prediction as it is.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without lang aren't learned from; with nothing to learn from, every text
-is ``und``; empty tables give empty results; ties go to the language that sorts first; equal training rows count as one in the clustering; very long texts count whole; input columns named
+is ``und``; empty tables give empty results; ties, to five decimals of the cosine, go to the language that sorts first; equal training rows count as one in the clustering; very long texts count whole; input columns named
 lang_pred, score or rejected are replaced, others stay as they are.
 """
 
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 text = part.column("text")
                 lettered = np.array(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False))
                 if model["languages"]:
-                    cos = vectors(text, model["idf"]) @ model["centres"].T
+                    cos = np.round(vectors(text, model["idf"]) @ model["centres"].T, 5)
                     best = cos.argmax(1)
                     top, lang = np.clip(cos.max(1), 0, 1), model["owner"][best]
                 else:

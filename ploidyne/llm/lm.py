@@ -391,7 +391,7 @@ def groups_of(v: Vocabulary, group: int = GROUP) -> tuple[np.ndarray, np.ndarray
     first, lanes = np.zeros(v.groups, np.int64), np.maximum(1, np.ceil(v.tail_counts / group)).astype(np.int64)
     number, room = -1, 0.0
     for k, c in enumerate(v.tail_counts):
-        if lanes[k] > 1 or c > room:
+        if number < 0 or lanes[k] > 1 or c > room:
             number, room = number + 1, float(group)
         first[k] = number
         room -= c
@@ -432,8 +432,8 @@ def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
             kinds, at, count = np.unique(grp, return_index=True, return_counts=True)
             trained = np.add.reduceat(learn.astype(np.int64), at) if len(at) else at
             group = first[kinds] + lot % lanes[kinds]
-            steps = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(kinds) else []
-            for a, b in zip(steps, [*steps[1:], len(kinds)], strict=True):
+            steps = np.flatnonzero(np.diff(group, prepend=-1)) if len(kinds) else group
+            for a, b in zip(steps, np.append(steps[1:], len(kinds)), strict=False):
                 e = slice(at[a], at[b - 1] + count[b - 1])
                 blobs = kinds[a:b].astype(np.int32), trained[a:b].astype(np.int32), (count - trained)[a:b].astype(np.int32), word[e], code[:, e], text[e].astype(np.uint16)
                 rows.append([int(group[a]), lot, *[np.ascontiguousarray(x).tobytes() for x in blobs], None])
