@@ -217,7 +217,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_words: int =
     def search(index: Index) -> DataFrame:
         def run(batches):
             for batch in batches:
-                for part in tk.slices(batch, "text", 4 << 20):
+                for part in tk.slices(batch, "text", 2 << 20):
                     found = index.search(*words_of(part.column("text")))
                     if found:
                         d, i, e, s = zip(*found, strict=True)

@@ -28,7 +28,7 @@ CENTROIDS = 4
 #: About so many training rows of each language, and one at least, go to the clustering, by a hash of doc_id and text.
 SAMPLE_ROWS = 1500
 REJECT_QUANTILE = 0.002
-SLICE = 1 << 20
+SLICE = 1 << 19
 _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 

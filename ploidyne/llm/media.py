@@ -136,7 +136,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in tk.slices(batch, "text", 8 << 20):
+            for part in tk.slices(batch, "text", 2 << 20):
                 data, offsets = tk.buffers(part.column("text"))
                 media = []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
