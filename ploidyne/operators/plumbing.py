@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: A table is broadcast only if it was counted and holds at most so many rows of a few longs.
 BROADCAST_ROWS = 500_000
 #: A key with more rows than this, and more than a HOT_SHARE of all rows, counts as hot. So there are at most 1 / HOT_SHARE hot keys.
-HOT_ROWS = 1000
+HOT_ROWS = 256
 HOT_SHARE = 1e-5
 
 
