@@ -6,6 +6,8 @@ put in each bin that they touch, points in one; bins, unlike broadcasts, hold at
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,19 @@ def point_join(points: DataFrame, ranges: DataFrame, start: str, end: str, close
 
 
 def range_join(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, how: str = "inner", width: int = BIN) -> DataFrame:
-    """Half-open overlaps of ranges: ls < re and le > rs. A pair counts in the bin where the later of them starts, so it comes once."""
+    """Half-open overlaps of ranges: ls < re and le > rs; ``how`` is inner or left. A pair counts in the bin where the later of them starts, so it comes once."""
     l = left.withColumn("_lbin", _bins(ls, le, width))  # noqa: E741
     r = right.withColumn("_rbin", _bins(rs, re, width)).withColumnRenamed("CHROM", "_chrom")
     on = (F.col("CHROM") == F.col("_chrom")) & (F.col("_lbin") == F.col("_rbin")) & (F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs))
+    met = l.join(r, on & (F.col("_lbin") == F.floor(F.greatest(ls, rs) / width))).drop("_lbin", "_rbin", "_chrom")
     if how == "inner":
-        on = on & (F.col("_lbin") == F.floor(F.greatest(ls, rs) / width))
-        return l.join(r, on).drop("_lbin", "_rbin", "_chrom")
-    return l.join(r, on, how).drop("_lbin").distinct()
+        return met
+    # ranges on the left that meet none: by all of their columns, so that one in two bins comes back once
+    seen = met.select(*[F.col(c).alias(f"_{c}") for c in left.columns]).distinct()
+    alone = left
+    for_all = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in left.columns]
+    alone = alone.join(seen, reduce(lambda a, b: a & b, for_all), "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
 def annotate_genes(snps: DataFrame, genes: DataFrame) -> DataFrame:

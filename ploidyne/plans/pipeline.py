@@ -106,7 +106,7 @@ def run(counts: DataFrame, ref: DataFrame, alleles: DataFrame, genes: DataFrame,
         p, cells = np.array([[r[s] for s in names] for r in rows]), [r.cell for r in rows]
         tree, _ = phylogeny.candidate_tree(p, cells, max_nni, eps, skip_nj)
         history = phylogeny.simplify(phylogeny.mutation_graph(tree, p, names), tree, p, names, max_cost, n_cut)
-        table = put("clone_table", counts.sparkSession.createDataFrame(phylogeny.clone_table(history), "clone int, GT string, compartment string"))
+        table = put("clone_table", counts.sparkSession.createDataFrame(phylogeny.clone_table(history, tree), "clone int, GT string, compartment string"))
         out[f"tree_{i}"] = phylogeny.node_table(tree, cells, counts.sparkSession)
         # states of a multi-allelic segment stand beside each other here too
         tree_exp = relational.expand_states(exp_post.join(F.broadcast(segs.select("seg", "n_states", "cnv_states")), "seg"))

@@ -63,10 +63,9 @@ class Views:
 
     def cell_alleles(self) -> DataFrame:
         """cell, CHROM, seg, cnv_state, major, minor, total, MAF: sums by cell and chromosome."""
-        a = self.alleles().where("CHROM in ('11','12','13','14')")
-        state = F.when(F.col("CHROM") == "11", F.lit("del")).when(F.col("CHROM") == "12", F.lit("amp")).when(F.col("CHROM") == "13", F.lit("loh")).otherwise(F.lit("bamp"))
+        kind = F.element_at(F.array(*[F.lit(k) for k in ("amp", "loh", "bamp", "del")]), (F.col("CHROM").cast("int") % 4 + 1).cast("int"))
         major = F.when(F.col("GT") == "1|0", F.col("AD")).otherwise(F.col("DP") - F.col("AD"))
-        x = a.withColumn("seg", F.concat("CHROM", F.lit("a"))).withColumn("cnv_state", state).where("POS % 9 = 0")
+        x = self.alleles().withColumn("seg", F.concat("CHROM", F.lit("a"))).withColumn("cnv_state", kind)
         x = x.groupBy("cell", "CHROM", "seg", "cnv_state").agg(F.sum(major).alias("major"), F.sum("DP").alias("total"))
         return x.withColumn("minor", F.col("total") - F.col("major")).withColumn("MAF", F.try_divide(F.col("major"), F.col("total")))
 
@@ -92,7 +91,7 @@ membership AS (SELECT (s_suppkey % 4)::VARCHAR AS sample, s_suppkey::VARCHAR AS
 states AS (SELECT (o_custkey % 50)::VARCHAR AS "CHROM", o_orderkey AS "POS", o_orderstatus AS state, o_custkey::VARCHAR AS gene, CASE WHEN o_orderkey % 3 <> 0 THEN trunc(o_totalprice)::BIGINT END AS "pAD" FROM orders),
 segments AS (SELECT (gene::BIGINT % 3)::VARCHAR AS sample, "CHROM", "CHROM" || '_' || gene AS seg, gene_start AS seg_start, gene_end + 20000 AS seg_end, ['neu','del','amp','loh','bamp'][(gene::BIGINT // 7) % 5 + 1] AS cnv_state, (gene::BIGINT % 11)::DOUBLE AS "LLR" FROM genes WHERE gene::BIGINT % 7 = 0),
 cell_alleles AS (SELECT *, total - major AS minor, CASE WHEN total > 0 THEN major::DOUBLE / total END AS "MAF" FROM (
-  SELECT cell, "CHROM", "CHROM" || 'a' AS seg, CASE "CHROM" WHEN '11' THEN 'del' WHEN '12' THEN 'amp' WHEN '13' THEN 'loh' ELSE 'bamp' END AS cnv_state, sum(CASE WHEN "GT" = '1|0' THEN "AD" ELSE "DP" - "AD" END)::BIGINT AS major, sum("DP")::BIGINT AS total
-  FROM alleles WHERE "CHROM" IN ('11','12','13','14') AND "POS" % 9 = 0 GROUP BY ALL)),
+  SELECT cell, "CHROM", "CHROM" || 'a' AS seg, ['amp','loh','bamp','del']["CHROM"::INT % 4 + 1] AS cnv_state, sum(CASE WHEN "GT" = '1|0' THEN "AD" ELSE "DP" - "AD" END)::BIGINT AS major, sum("DP")::BIGINT AS total
+  FROM alleles GROUP BY ALL)),
 edges AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN (SELECT unnest([-20,-10,-1,1,10,20]) AS d) x ON true JOIN embeddings b ON b.vec_id = a.vec_id + x.d WHERE a.label = b.label OR abs(a.vec_id - b.vec_id) <= 1)
 """

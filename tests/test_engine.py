@@ -40,6 +40,36 @@ def test_intervals(spark):
     assert sorted(x.cM for x in intervals.interpolate(pts, marks).collect()) == [1.0, 1.5, 2.0]
 
 
+def test_ranges_that_meet_none_come_back_once(spark):
+    r = lambda *x: spark.createDataFrame([("1", a, b) for a, b in x], "CHROM string, s long, e long")
+    left = r((10, 120_000), (49_000, 51_000), (200_000, 330_000), (200_000, 330_000))
+    right = r((110_000, 115_000), (100, 200)).select("CHROM", F.col("s").alias("rs"), F.col("e").alias("re"))
+    got = sorted((x.s, x.e, x.rs or 0) for x in intervals.range_join(left, right, "s", "e", "rs", "re", "left").collect())
+    assert got == [(10, 120_000, 100), (10, 120_000, 110_000), (49_000, 51_000, 0), (200_000, 330_000, 0), (200_000, 330_000, 0)]
+
+
+def test_lineage_below_the_heaviest_vertex_is_tumour():
+    # cells 0-1 normal, 2-4 below vertex 1 (two of them also below 2), 5 below vertex 3
+    tree = phylogeny.Tree(6, {6: [2, 3], 7: [6, 4], 8: [0, 1], 9: [8, 5], 10: [9, 7]})
+    h = phylogeny.History({0: [], 1: ["a"], 2: ["b"], 3: ["c"]}, {0: [1, 3], 1: [2], 2: [], 3: []}, {0: 10, 1: 7, 2: 6, 3: 5}, 0)
+    assert phylogeny.own_cells(h, tree) == {0: 2, 1: 1, 2: 2, 3: 1} and phylogeny.tumour_root(h, phylogeny.own_cells(h, tree)) == 1
+    assert phylogeny.clone_table(h, tree) == [(0, "", "normal"), (1, "a", "tumor"), (2, "a,b", "tumor"), (3, "c", "normal")]
+    none = phylogeny.History({0: []}, {0: []}, {0: 10}, 0)
+    assert phylogeny.clone_table(none, tree) == [(0, "", "normal")]
+
+
+def test_components_of_a_hub(spark):
+    from ploidyne.operators import plumbing
+
+    e = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(500, 520)]
+    old, plumbing.HOT_ROWS = plumbing.HOT_ROWS, 20
+    try:
+        got = {r.node: r.component for r in plumbing.connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
+    finally:
+        plumbing.HOT_ROWS = old
+    assert got == {k: 0 for k in range(400)} | {k: 500 for k in range(500, 521)}
+
+
 def test_windows(spark):
     d = spark.createDataFrame([("1", i, s, "g", 1) for i, s in enumerate("nnlln")], "CHROM string, POS long, state string, gene string, pAD int")
     assert [(r.boundary, r.seg) for r in windows.annotate_segments(d, "state").orderBy("POS").collect()] == [(0, "1a"), (0, "1a"), (1, "1b"), (0, "1b"), (1, "1c")]
