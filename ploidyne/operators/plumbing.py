@@ -41,6 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``cut`` for narrow tables: read again in partitions of ``rows`` rows or more, so that unions and scans of many small parts don't multiply tasks."""
+    df = cut(df)
+    return df.coalesce(partitions_for(df.count(), rows))
+
+
+def partitions_for(count: int, rows: int = 100_000) -> int:
+    return max(8, -(-count // rows))
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves it to have at most ``rows`` rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -78,8 +88,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     shuffle of their own. The edges of a hub meet its minimum by broadcast. Each round is written to the shared folder. Null ends and self-loops are dropped.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
-    e = cut(e)
-    hot = hot_rows(2 * e.count())
+    e = cut_small(e)
+    edges_left = e.count()
+    hot, parts = hot_rows(2 * edges_left), partitions_for(edges_left)
     seen = None
     while True:
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -88,7 +99,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         # a node's edge to its least neighbour stays; its other neighbours are tied to that one
         small = join_unskewed(large, low, "u", "n", hot).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small)
+        # each round adds the partitions of its joins, so they are put together
+        e = cut(small.coalesce(parts))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
