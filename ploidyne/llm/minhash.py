@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ploidyne.llm import textkernel as tk
-from ploidyne.llm.common import connected_components, cut, documents, hot_rows, join_unskewed, small_enough
+from ploidyne.llm.common import connected_components, cut, cut_small, documents, hot_rows, join_unskewed, small_enough
 
 WORDS = 5
 COORDINATES = 64
@@ -173,11 +173,11 @@ def block_links(ids: list[bytes], parts: list[np.ndarray], labels: list, percent
 def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
     """Links (a, b) between classes, of similarity at least ``similarity``, that connect all that are linked."""
     percent, t = round(similarity * 100), match_threshold(similarity, k)
-    posted = cut(_postings(classes, t, k))
+    posted = cut_small(_postings(classes, t, k))
     hot = hot_rows(posted.count())
     lists = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("lead")).where("m > 1"))
     long_lists = lists.where(F.col("m") > LIST)
-    of_long = cut(join_unskewed(posted, long_lists, "token", "m", hot))
+    of_long = cut_small(join_unskewed(posted, long_lists, "token", "m", hot))
     short = posted.join(lists.where(F.col("m") <= LIST).select("token"), "token")
     merged = short.select("token", F.col("cid").alias("a")).join(short.select("token", F.col("cid").alias("b")), "token").where("a < b")
     spare = of_long.groupBy("cid").agg(F.count(F.lit(1)).alias("w"))
@@ -198,14 +198,14 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in "xy")
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= t))
 
-    pairs = cut(probe.select("a", "b", "x", "y").mapInArrow(matches, "a binary, b binary"))
+    pairs = cut_small(probe.select("a", "b", "x", "y").mapInArrow(matches, "a binary, b binary"))
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(of_long.select("cid")).distinct()
-    wanted = cut(ids.join(classes.select("cid", "rep"), "cid"))
+    wanted = cut_small(ids.join(classes.select("cid", "rep"), "cid"))
     sets = cut(_sets(docs, wanted, words))
-    first = cut(_confirm(pairs, sets, percent))
+    first = cut_small(_confirm(pairs, sets, percent))
     if long_lists.limit(1).count() == 0:
         return first
-    parts = cut(connected_components(first))
+    parts = cut_small(connected_components(first))
     members = of_long.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
     least = members.where("cid = lead").select("token", F.col("label").alias("first_label"))
     # outsiders: members that the list's least member doesn't reach; lists without any are done
@@ -227,17 +227,17 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
 
     # the stars found so far stand for the first links
     stars = parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return stars.union(cut(dealt.groupBy("token", "bi", "bj").applyInArrow(compare, "a binary, b binary")))
+    return stars.union(cut_small(dealt.groupBy("token", "bi", "bj").applyInArrow(compare, "a binary, b binary")))
 
 
 def row_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
     """(doc_id, k1, k2, n_shingles, component, least) of every row of ``docs``: least is the first row of the component, as (no_id, doc_id, k1, k2), that with the least
     doc_id; both are null for texts without words."""
-    all_rows = cut(features(docs, words, k))
+    all_rows = cut_small(features(docs, words, k), 20_000)
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
-    classes = cut(all_rows.where("n_shingles > 0").groupBy("cid").agg(F.min(rep).alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
+    classes = cut_small(all_rows.where("n_shingles > 0").groupBy("cid").agg(F.min(rep).alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), 20_000)
     parts = connected_components(links(docs, classes, similarity, words, k))
-    named = cut(classes.select("cid", "rep", "copies").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    named = cut_small(classes.select("cid", "rep", "copies").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("m"))
     hot = hot_rows(all_rows.count())
     ids = join_unskewed(named, least, "component", "m", hot).select("cid", "component", "least", "copies")
@@ -257,11 +257,11 @@ def minhash_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORD
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that with the least doc_id (a null one is the last), and of rows equal in doc_id and text the one whose
     columns hash least; all rows without words stay."""
-    rows = cut(row_classes(docs.select("doc_id", "text"), similarity, words))
+    rows = cut_small(row_classes(docs.select("doc_id", "text"), similarity, words))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2") == F.struct("least.no_id", "least.doc_id", "least.k1", "least.k2")
     # by doc_id and text: the rows that go, and those of which one stays
     fate = rows.where("n_shingles > 0").groupBy("doc_id", "k1", "k2").agg(F.min(F.coalesce(first, F.lit(False)).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
-    fate = cut(fate.where("first = 0 or n > 1").select(F.col("doc_id").alias("r0"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "first"))
+    fate = cut_small(fate.where("first = 0 or n > 1").select(F.col("doc_id").alias("r0"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "first"))
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), *text_key())
     same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("id").eqNullSafe(F.col("r0"))
     stay = packed.join(small_enough(fate), same, "left_anti").select("row.*")
