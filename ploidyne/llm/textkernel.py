@@ -80,18 +80,21 @@ class Words:
     """Words of the texts of a slice: byte ``starts`` and ``ends``, 64-bit ``hashes``, and ``offsets`` of texts in words."""
 
     def __init__(self, data: np.ndarray, text_offsets: np.ndarray, separators: np.ndarray = SPACE):
-        space = separators[data]
-        before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+        word = ~separators[data]
+        first, last = word.copy(), word.copy()
         if len(data):
-            before[1:], after[:-1] = space[:-1], space[1:]
+            first[1:] &= ~word[:-1]
+            last[:-1] &= ~word[1:]
             inner = text_offsets[(text_offsets > 0) & (text_offsets < len(data))]
-            before[inner], after[inner - 1] = True, True
-        self.starts = np.flatnonzero(~space & before)
-        self.ends = np.flatnonzero(~space & after) + 1
+            first[inner], last[inner - 1] = word[inner], word[inner - 1]
+        self.starts = np.flatnonzero(first)
+        self.ends = np.flatnonzero(last) + 1
         self.offsets = np.searchsorted(self.starts, text_offsets)
         forward, back = _power_tables(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * forward[: len(data)], out=total[1:])
+        sums_to = np.take(_BYTE, data, out=total[1:], mode="clip")
+        sums_to *= forward[: len(data)]
+        np.cumsum(sums_to, out=sums_to)
         self.hashes = mix((total[self.ends] - total[self.starts]) * back[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
