@@ -38,6 +38,8 @@ from ploidyne.llm.quality import held_out
 
 MODEL_WORDS, TAIL = 1500, 96
 DIMENSIONS, CONTEXT = 24, 2
+#: Width of the rows that train: a vector, its bias and what makes the width even; DIMENSIONS is even as well.
+WIDTH = DIMENSIONS + 2
 NOISE, BATCH, RATE = 8, 1024, 0.15
 #: Words of the tail are rare, so their vectors take smaller steps.
 TAIL_RATE = 0.05
@@ -52,15 +54,19 @@ CONTEXTS = 4_000_000
 #: Rows of parameters that are averaged together.
 BLOCK = 64
 END = np.uint64(1)
+LOG2_E = np.float32(np.log2(np.e))
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, tail classes and the texts' offsets in words; no end tokens."""
     data, offsets = tk.buffers(texts)
     w = tk.Words(data, offsets)
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
-    last = lower[w.ends - 1] if len(w.ends) else np.zeros(0, np.uint32)
-    prior = np.where(w.ends - w.starts > 1, lower[np.maximum(w.ends - 2, 0)], 0) if len(w.ends) else last
+    last = lower(data[w.ends - 1])
+    prior = np.where(w.ends - w.starts > 1, lower(data[np.maximum(w.ends - 2, 0)]), 0)
     tail = ((last * np.uint32(2654435761) + prior * np.uint32(40503)) >> np.uint32(7)) % np.uint32(TAIL)
     # END is no word's hash
     return np.where(w.hashes == END, np.uint64(2), w.hashes), tail.astype(np.int64), w.offsets
@@ -171,11 +177,12 @@ def initial(v: Vocabulary, seed: int = 2) -> dict[str, np.ndarray]:
     return {"r": np.concatenate([r, np.log(share).astype(np.float32)[:, None]], 1), "q": rng.normal(0, 0.1, (v.start + 1, DIMENSIONS)).astype(np.float32), "c": np.ones((CONTEXT, DIMENSIONS), np.float32) * 0.5}
 
 
-def predicted(p: dict, qa: np.ndarray, qb: np.ndarray) -> np.ndarray:
-    """The vectors that contexts with vectors ``qa`` and ``qb`` predict, with a last column of ones for the biases."""
-    out = np.ones((len(qa), DIMENSIONS + 1), np.float32)
-    np.multiply(qa, p["c"][0], out=out[:, :-1])
-    out[:, :-1] += qb * p["c"][1]
+def predicted(p: dict, qa: np.ndarray, qb: np.ndarray, width: int = DIMENSIONS + 1) -> np.ndarray:
+    """The vectors that contexts with vectors ``qa`` and ``qb`` predict, with a column of ones for the biases, and zeros up to ``width``."""
+    out = np.empty((len(qa), width), np.float32)
+    out[:, DIMENSIONS], out[:, DIMENSIONS + 1 :] = 1, 0
+    np.multiply(qa, p["c"][0], out=out[:, :DIMENSIONS])
+    out[:, :DIMENSIONS] += qb * p["c"][1]
     return out
 
 
@@ -193,11 +200,11 @@ def errors(h, rt, rd, log_t, log_d, buffer) -> tuple[np.ndarray, np.ndarray]:
     """1 - P(data) of targets with rows ``rt``, and P(data) of the noise with rows ``rd``."""
     log_k = np.float32(np.log(NOISE))
     et = 1 / (1 + np.exp(np.clip(scores(h, rt) - log_t - log_k, -30, 30)))
-    # in one buffer: exp(-score), plus one, inverted; what overflows becomes 0
-    turned = -rd
-    turned[:, -1] += log_d + log_k
+    # in one buffer: exp(-score), as a power of 2, plus one, inverted; what overflows becomes 0
+    turned = rd * -LOG2_E
+    turned[:, DIMENSIONS] += (log_d + log_k) * LOG2_E
     en = np.matmul(h, turned.T, out=buffer)
-    np.exp(en, out=en)
+    np.exp2(en, out=en)
     en += 1
     return et, np.reciprocal(en, out=en)
 
@@ -207,7 +214,8 @@ def ascend(x: np.ndarray, g2: np.ndarray, idx: np.ndarray, grads: np.ndarray, m:
     order = np.argsort(idx, kind="stable")
     ordered = idx[order]
     at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    rows, g = ordered[at], np.add.reduceat(grads[order], at, 0)
+    # two columns at a time, as complex numbers
+    rows, g = ordered[at], np.add.reduceat(np.take(grads, order, 0).view(np.complex64), at, 0).view(np.float32)
     g *= np.float32(m**-0.5)
     now = g2[rows] + g * g
     g2[rows] = now
@@ -216,7 +224,8 @@ def ascend(x: np.ndarray, g2: np.ndarray, idx: np.ndarray, grads: np.ndarray, m:
 
 def nce_steps(p: dict, target, one, two, times, noise_cdf, log_noise, rng) -> None:
     """Adagrad steps over minibatches of positions, each of which stands for ``times`` equal ones, in place; the draws of noise are shared by a minibatch."""
-    g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in p.items()}
+    r = np.pad(p["r"], ((0, 0), (0, WIDTH - p["r"].shape[1])))
+    g2 = {k: np.full(x.shape, 1e-3, np.float32) for k, x in (p | {"r": r}).items()}
     sn, weight = np.empty((BATCH, NOISE * SHARED), np.float32), np.float32(-1 / SHARED)
     for s in range(0, len(target), BATCH):
         t, ab = target[s : s + BATCH], np.concatenate([one[s : s + BATCH], two[s : s + BATCH]])
@@ -224,23 +233,24 @@ def nce_steps(p: dict, target, one, two, times, noise_cdf, log_noise, rng) -> No
         n_all = float(by.sum())
         drawn, log_d, buffer = noise_terms(t, noise_cdf, log_noise, rng, sn)
         both = np.concatenate([t, drawn])
-        rows, q = p["r"][both], p["q"][ab]
-        h = predicted(p, q[:m], q[m:])
+        rows, q = np.take(r, both, 0), np.take(p["q"], ab, 0)
+        h = predicted(p, q[:m], q[m:], WIDTH)
         with np.errstate(over="ignore"):
             et, en = errors(h, rows[:m], rows[m:], log_noise[t], log_d, buffer)
-        dh = en @ (rows[m:, :-1] * weight)
+        dh = en @ (rows[m:, :DIMENSIONS] * weight)
         dh *= by[:, None]
         et *= by
         up = rows[:m]
         up *= et[:, None]
-        dh += up[:, :-1]
+        dh += up[:, :DIMENSIONS]
         np.multiply(h, et[:, None], out=up)
         rows[m:] = en.T @ (h * (by * weight)[:, None])
         dq = np.concatenate([dh * p["c"][0], dh * p["c"][1]])
         q.reshape(CONTEXT, m, -1)[:] *= dh
-        ascend(p["r"], g2["r"], both, rows, n_all, RATE)
+        ascend(r, g2["r"], both, rows, n_all, RATE)
         ascend(p["q"], g2["q"], ab, dq, n_all, RATE)
         ascend(p["c"], g2["c"], np.arange(CONTEXT), q.reshape(CONTEXT, m, -1).sum(1), n_all, RATE)
+    p["r"][:] = r[:, : p["r"].shape[1]]
 
 
 def number_type(n: int) -> type:
@@ -341,7 +351,8 @@ class Normaliser:
     def __init__(self, p: dict):
         self.p = p
         self.codes, self.norms = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        self.columns = np.ascontiguousarray(p["r"].T)
+        # for powers of 2
+        self.columns = np.ascontiguousarray(p["r"].T * LOG2_E)
         self.reach = np.linalg.norm(p["r"][:, :-1], axis=1).max(), np.abs(p["r"][:, -1]).max()
 
     def __call__(self, code: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -360,15 +371,16 @@ class Normaliser:
     def compute(self, h: np.ndarray) -> np.ndarray:
         out, ones = np.empty(len(h), np.float32), np.ones(self.columns.shape[1], np.float32)
         z = np.empty((128, len(ones)), np.float32)
+        # no score is beyond this; up to 60, exp needs no shift
+        beyond = np.linalg.norm(h[:, :-1], axis=1) * self.reach[0] + self.reach[1] >= 60
         for s in range(0, len(h), 128):
             part = h[s : s + 128]
             x = np.matmul(part, self.columns, out=z[: len(part)])
-            # no score is beyond this, so exp needs no shift
-            plain = np.linalg.norm(part[:, :-1], axis=1).max() * self.reach[0] + self.reach[1] < 60
-            top = np.float32(0) if plain else x.max(1)
-            if not plain:
+            shift = beyond[s : s + 128].any()
+            top = x.max(1) if shift else np.float32(0)
+            if shift:
                 x -= top[:, None]
-            out[s : s + 128] = np.log(np.exp(x, out=x) @ ones) + top
+            out[s : s + 128] = np.log(np.exp2(x, out=x) @ ones) + top / LOG2_E
         return out
 
 
@@ -377,12 +389,12 @@ def log_probabilities(p: dict, target, one, two, normaliser: Normaliser | None =
     normaliser, width = normaliser or Normaliser(p), len(p["q"])
     code = one.astype(np.int64) * width + two
     distinct, back = np.unique(code, return_inverse=True)
-    h = predicted(p, p["q"][distinct // width], p["q"][distinct % width])
+    h = predicted(p, np.take(p["q"], distinct // width, 0), np.take(p["q"], distinct % width, 0))
     norm = normaliser(distinct, h)
     out = np.empty(len(target))
     for s in range(0, len(target), 1 << 14):
         e = slice(s, s + (1 << 14))
-        out[e] = scores(h[back[e]], p["r"][target[e]]) - norm[back[e]]
+        out[e] = scores(np.take(h, back[e], 0), np.take(p["r"], target[e], 0)) - norm[back[e]]
     return out
 
 
@@ -469,8 +481,8 @@ def score_texts(docs: DataFrame, v: Vocabulary, p: dict) -> DataFrame:
 def word_model(counts: np.ndarray, target: np.ndarray, code: np.ndarray, p: dict) -> np.ndarray:
     """Vectors and biases of a tail class's words and, last, of its unseen word, by NCE from the class's unigram model on places with contexts ``code``."""
     share = (np.append(counts, 0) + 0.5) / (counts.sum() + 0.5 * (len(counts) + 1))
-    rows = np.zeros((len(share), DIMENSIONS + 1), np.float32)
-    rows[:, -1] = np.log(share)
+    rows = np.zeros((len(share), WIDTH), np.float32)
+    rows[:, DIMENSIONS] = np.log(share)
     g2 = np.full(rows.shape, 1e-3, np.float32)
     cdf, log_noise = np.cumsum(share), np.log(share).astype(np.float32)
     rng = np.random.default_rng(9)
@@ -480,12 +492,12 @@ def word_model(counts: np.ndarray, target: np.ndarray, code: np.ndarray, p: dict
     sn, weight = np.empty((BATCH, NOISE * SHARED), np.float32), np.float32(-1 / SHARED)
     for s in range(0, len(order), BATCH):
         mine = order[s : s + BATCH]
-        t, h = target[mine], predicted(p, p["q"][code[0, mine]], p["q"][code[1, mine]])
+        t, h = target[mine], predicted(p, np.take(p["q"], code[0, mine], 0), np.take(p["q"], code[1, mine], 0), WIDTH)
         drawn, log_d, buffer = noise_terms(t, cdf, log_noise, rng, sn)
         with np.errstate(over="ignore"):
-            et, en = errors(h, rows[t], rows[drawn], log_noise[t], log_d, buffer)
-        ascend(rows, g2, np.concatenate([t, drawn]), np.concatenate([et[:, None] * h, en.T @ (h * weight)]), len(t), TAIL_RATE)
-    return rows
+            et, en = errors(h, np.take(rows, t, 0), rows[drawn], log_noise[t], log_d, buffer)
+        ascend(rows, g2, np.concatenate([t, drawn]), np.concatenate([et[:, None] * h, (en.T @ h) * weight]), len(t), TAIL_RATE)
+    return np.ascontiguousarray(rows[:, : DIMENSIONS + 1])
 
 
 def score_class(word: np.ndarray, count: np.ndarray, seen, learn: int, p: dict) -> tuple[np.ndarray, np.ndarray]:
