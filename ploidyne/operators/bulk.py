@@ -33,7 +33,7 @@ def filter_genes_by_sample(x: DataFrame, hla: bool = True) -> DataFrame:
     if hla:
         x = x.where(~((F.col("CHROM") == HLA[0]) & (F.col("gene_start") < HLA[2]) & (F.col("gene_end") > HLA[1])))
     m = x.groupBy("sample").agg(F.avg(F.when(F.col("lambda_ref") > 0, F.col("lambda_ref"))).alias("_mr"), F.avg(F.when(F.col("lambda_obs") > 0, F.col("lambda_obs"))).alias("_mo"))
-    return x.join(F.broadcast(m), "sample").where("lambda_ref > 0 and ((lambda_ref * 1e6 > 2 and lambda_obs * 1e6 > 2) or lambda_ref > _mr or lambda_obs > _mo)").drop("_mr", "_mo")
+    return x.join(m, "sample").where("lambda_ref > 0 and ((lambda_ref * 1e6 > 2 and lambda_obs * 1e6 > 2) or lambda_ref > _mr or lambda_obs > _mo)").drop("_mr", "_mo")
 
 
 def allele_bulk(alleles: DataFrame, membership: DataFrame | None = None, nu: float = 1.0, min_depth: int = 0) -> DataFrame:
@@ -73,10 +73,10 @@ def get_bulk(counts, alleles, membership, ref_long, genes, nu: float = 1.0, min_
     from ploidyne.functions.kernels import fit_reference
 
     weights = fit_reference(gene_totals(counts.join(membership, "cell"), ("sample", "gene")), ref_long)
-    ref = ref_long.join(F.broadcast(weights), "ref").groupBy("sample", "gene").agg(F.sum(F.col("lambda") * F.col("w")).alias("lambda_ref"))
+    ref = ref_long.join(weights, "ref").groupBy("sample", "gene").agg(F.sum(F.col("lambda") * F.col("w")).alias("lambda_ref"))
     e = expression_bulk(counts, membership, ref, genes, hla).where("(logFC > -5 and logFC < 5) or Y_obs = 0")
     x = combine_bulk(allele_bulk(alleles, membership, nu, min_depth), e, hla, segments)
-    x = x.where("lambda_ref <> 0 or gene is null").join(F.broadcast(weights.select("sample", "mse").distinct()), "sample")
+    x = x.where("lambda_ref <> 0 or gene is null").join(weights.select("sample", "mse").distinct(), "sample")
     if loh is not None:
         from ploidyne.operators.intervals import point_join
 

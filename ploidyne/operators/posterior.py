@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ploidyne.functions.scalars import binom_logpmf, first_max_name, log_sum_exp, logistic, phased_depth, safe_ln, seg_label
+from ploidyne.operators.plumbing import small_enough
 from ploidyne.operators.windows import thin, with_softmax
 
 #: Chance of a read from the major haplotype under each genotype.
@@ -41,7 +42,7 @@ def with_priors(x: DataFrame, priors: DataFrame, floor: bool = False) -> DataFra
     p = priors.select("seg", *[F.col(f"p_{s}").alias(f"prior_{s}") for s in STATES])
     if floor:
         p = p.withColumns({f"prior_{s}": F.when(F.col(f"prior_{s}") < 0.05, F.lit(1e-12)).otherwise(F.col(f"prior_{s}")) for s in STATES})
-    return x.join(F.broadcast(p), "seg")
+    return x.join(p, "seg")
 
 
 def haplotype_post(bulks: DataFrame, segs: DataFrame, naive: bool = False) -> DataFrame:
@@ -49,7 +50,7 @@ def haplotype_post(bulks: DataFrame, segs: DataFrame, naive: bool = False) -> Da
     called = segs.where("cnv_state <> 'neu'").select("sample", "CHROM", "seg", "cnv_state")
     if called.isEmpty():
         raise ValueError("no segment is called")
-    x = bulks.drop("cnv_state").where("pAD is not null").join(F.broadcast(called), ["sample", "CHROM", "seg"])
+    x = bulks.drop("cnv_state").where("pAD is not null").join(called, ["sample", "CHROM", "seg"])
     return x.select("CHROM", "seg", "cnv_state", "snp_id", F.col("haplo_naive" if naive else "haplo_post").alias("haplo"))
 
 
@@ -88,7 +89,7 @@ def multi_allelic(bulks: DataFrame, consensus: DataFrame, min_llr: float = 5.0,
     """Segments with more than one sure state: equal posteriors for those, n_states and cnv_states."""
     sure = bulks.where((F.col("LLR") > min_llr) & (F.greatest(*[F.col(f"p_{s}") for s in STATES]) > p_min))
     found = sure.groupBy("seg_cons").agg(F.array_sort(F.collect_set("cnv_state_post")).alias("_s")).where(F.size("_s") > 1)
-    x = consensus.join(F.broadcast(found), "seg_cons", "left")
+    x = consensus.join(found, "seg_cons", "left")
     x = x.withColumns({f"p_{s}": F.when(F.col("_s").isNull(), F.col(f"p_{s}")).otherwise(F.when(F.array_contains("_s", s), 0.5).otherwise(0.0)) for s in STATES})
     return x.withColumn("n_states", F.coalesce(F.when(F.col("_s").isNotNull(), F.size("_s")), F.lit(1))).withColumn("cnv_states", F.coalesce(F.array_join("_s", ","), F.col("cnv_state"))).drop("_s")
 
@@ -102,9 +103,13 @@ def clone_post(clones: DataFrame, expression: DataFrame, alleles: DataFrame) ->
     c = clones.crossJoin(F.broadcast(tumour)).withColumn("prior", F.when(F.col("GT") == "", F.lit(0.5)).otherwise(F.lit(0.5) / F.col("_n")))
 
     def evidence(post: DataFrame, name: str) -> DataFrame:
-        x = post.select("cell", "seg", "Z_cnv", "Z_n").crossJoin(F.broadcast(c.select("clone", "GT", "prior", "compartment")))
-        has = F.array_contains(F.split("GT", ","), F.col("seg"))
-        return x.groupBy("cell", "clone", "GT", "prior", "compartment").agg(F.sum(F.when(has, F.col("Z_cnv")).otherwise(F.col("Z_n"))).alias(name))
+        # cells by segments meet only the clones that have the segment; a cell meets each clone once
+        neutral = post.groupBy("cell").agg(F.sum(F.coalesce("Z_n", F.lit(0.0))).alias("_z"))
+        gain = post.select("cell", "seg", (F.coalesce("Z_cnv", F.lit(0.0)) - F.coalesce("Z_n", F.lit(0.0))).alias("_g")).join(c.select("clone", F.explode(F.array_distinct(F.split("GT", ","))).alias("seg")), "seg")
+        gain = gain.groupBy("cell", "clone").agg(F.sum("_g").alias("_g"))
+        grid = neutral.crossJoin(small_enough(c.select("clone", "GT", "prior", "compartment")))
+        x = grid.join(gain, ["cell", "clone"], "left").withColumn(name, F.col("_z") + F.coalesce("_g", F.lit(0.0)))
+        return x.select("cell", "clone", "GT", "prior", "compartment", name)
 
     x = evidence(expression, "l_x").join(evidence(alleles, "l_y"), ["cell", "clone", "GT", "prior", "compartment"], "full_outer")
     x = x.fillna(0.0, ["l_x", "l_y"]).withColumn("Z_x", F.log("prior") + F.col("l_x")).withColumn("Z_y", F.log("prior") + F.col("l_y")).withColumn("Z", F.log("prior") + F.col("l_x") + F.col("l_y"))

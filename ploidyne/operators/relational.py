@@ -53,7 +53,7 @@ def gene_universe(genes: DataFrame, counts: DataFrame, ref: DataFrame) -> DataFr
     g = genes.join(counts.select("gene").distinct(), "gene", "left_semi").join(ref.select("gene").distinct(), "gene", "left_semi")
     inner = g.withColumn("_r", F.row_number().over(Window.partitionBy("CHROM").orderBy("gene_start", "gene")) - 1)
     sizes = g.groupBy("CHROM").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy(chrom_key("CHROM"), "CHROM").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return inner.join(F.broadcast(sizes), "CHROM").withColumn("gene_index", F.col("_r") + F.col("_before")).drop("_r", "_before")
+    return inner.join(sizes, "CHROM").withColumn("gene_index", F.col("_r") + F.col("_before")).drop("_r", "_before")
 
 
 def drop_empty_cells(counts: DataFrame, alleles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +145,7 @@ def gene_totals(counts: DataFrame, keys=("gene",)) -> DataFrame:
     extra = [k for k in keys if k != "gene"]
     y = counts.groupBy(*keys).agg(F.sum("cnt").alias("Y_obs"))
     d = counts.groupBy(*extra).agg(F.sum("cnt").alias("d_obs"))
-    x = y.join(F.broadcast(d), extra) if extra else y.crossJoin(F.broadcast(d))
+    x = y.join(d, extra) if extra else y.crossJoin(F.broadcast(d))
     return x.withColumn("lambda_obs", F.try_divide("Y_obs", "d_obs"))
 
 
@@ -226,7 +226,7 @@ def best_reference(counts: DataFrame, ref: DataFrame, min_lambda: float = 2e-6)
     x = counts.join(genes, "gene", "left_semi").join(total, "cell").withColumn("x", F.log1p(F.col("cnt") / F.col("t") * 1e6))
     own = x.groupBy("cell").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
     both = x.join(r.select("gene", "ref", "y"), "gene").groupBy("cell", "ref").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    c = both.join(own, "cell").join(F.broadcast(stats), "ref").crossJoin(F.broadcast(n))
+    c = both.join(own, "cell").join(stats, "ref").crossJoin(F.broadcast(n))
     c = c.withColumn("r", (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)))
     return c.groupBy("cell").agg(F.max_by("ref", F.struct("r", "ref")).alias("ref"), F.max("r").alias("r"))
 

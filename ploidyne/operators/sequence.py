@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ploidyne.functions import kernels as K
 from ploidyne.functions.scalars import phase_suffix, strip_phase
@@ -24,17 +27,33 @@ def _num(s: pd.Series) -> np.ndarray:
     return pd.to_numeric(s).to_numpy(float, na_value=np.nan)
 
 
+class _Columns:
+    """Columns of an Arrow table as pandas series, made when they are asked for."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __getitem__(self, name: str) -> pd.Series:
+        return self.table.column(name).to_pandas()
+
+    def __len__(self) -> int:
+        return self.table.num_rows
+
+
 def _grouped(df: DataFrame, keys, add: dict[str, T.DataType], f, order=ORDER) -> DataFrame:
-    kinds = T.StructType([*[x for x in df.schema.fields if x.name not in add], *[T.StructField(k, t) for k, t in add.items()]])
-    names = [x.name for x in kinds.fields]
+    """``df`` with the columns ``add``, which ``f`` finds from a group's columns in ``order``; the other columns pass through as Arrow, whatever they hold."""
+    kept = [x for x in df.schema.fields if x.name not in add]
+    kinds = T.StructType([*kept, *[T.StructField(k, t) for k, t in add.items()]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order)).reset_index(drop=True)
-        for name, values in f(pdf).items():
-            pdf[name] = values
-        return pdf[names]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order]))
+        found = f(_Columns(table))
+        out = table.select([x.name for x in kept])
+        for name, kind in add.items():
+            out = out.append_column(name, pa.array(found[name], to_arrow_type(kind)))
+        return out
 
-    return df.groupBy(*keys).applyInPandas(run, kinds)
+    return df.groupBy(*keys).applyInArrow(run, kinds)
 
 
 def allele_hmm(bulk: DataFrame, t: float = 1e-5, theta=(0.08, 0.4), gamma: float = 20.0) -> DataFrame:
@@ -84,7 +103,7 @@ def classify_alleles(bulk: DataFrame, gamma: float = 20.0) -> DataFrame:
 
     def f(p):
         if len(p) < 2:
-            return {"p_up": np.nan}
+            return {"p_up": np.full(len(p), np.nan)}
         theta = float(p["theta_mle"].iloc[0])
         post = K.forward_backward(*K.two_state(_num(p["pAD"]), _num(p["DP"]), _num(p["p_s"]), min(max(theta, 0.001), 0.499), gamma))
         return {"p_up": post[:, 0]}
@@ -152,7 +171,7 @@ def analyze_bulk(bulk: DataFrame, t: float = 1e-5, gamma: float = 20.0, theta_mi
     """Baseline, decoding, segments, retest, phases and rolling estimates of all samples."""
     drop = ("mu", "sig", "cnv_state_post", "theta_mle", "theta_sigma", "phi_mle", "phi_sigma", "LLR", "LLR_x", "LLR_y", "logBF", "Z", "Z_n", "Z_cnv", "p_neu", *[f"{a}_{s}" for s in posterior.STATES for a in ("p", "Z")])
     x = bulk.drop(*drop)
-    x = x.join(F.broadcast(baseline(x, diploid)), "sample", "left").fillna({"mu": 0.0, "sig": 1.0})
+    x = x.join(baseline(x, diploid), "sample", "left").fillna({"mu": 0.0, "sig": 1.0})
     if run_hmm:
         x = joint_hmm(x, t, theta_min, gamma, allele_only)
         x = x.withColumn("state", F.when(F.col("loh"), F.lit("del_up")).otherwise(F.col("state"))).withColumn("cnv_state", strip_phase("state"))
@@ -218,7 +237,7 @@ def common_diploid(bulks: DataFrame, t: float = 1e-5, theta=(0.08, 0.4), gamma:
     balanced = running_label(subtract_ranges(every, imbalanced)).withColumn("cnv_state", F.lit("neu"))
     b = annotate_consensus(bulks.drop("seg", "cnv_state", "seg_start", "seg_end"), balanced)
     enough = balanced_counts(b).where("ok").select("CHROM", "seg").distinct()
-    b = b.join(F.broadcast(enough), ["CHROM", "seg"], "left_semi")
+    b = b.join(enough, ["CHROM", "seg"], "left_semi")
     stat = b.where("lnFC is not null").groupBy("sample", "seg").agg(F.count("lnFC").alias("n"), F.avg("lnFC").alias("m"), F.var_samp("lnFC").alias("v"))
     i, j = (stat.select("sample", *[F.col(c).alias(f"{c}_{s}") for c in ("seg", "n", "m", "v")]) for s in "ij")
     tests = i.join(j, "sample").where("seg_i < seg_j").withColumn("p", K.welch_udf("n_i", "m_i", "v_i", "n_j", "m_j", "v_j"))
@@ -232,7 +251,7 @@ def common_diploid(bulks: DataFrame, t: float = 1e-5, theta=(0.08, 0.4), gamma:
     if not cliques:
         return balanced, names
     table = bulks.sparkSession.createDataFrame([(k, s) for k, c in enumerate(cliques) for s in c], "k int, seg string")
-    mean = stat.join(F.broadcast(table), "seg").groupBy("sample", "k").agg(F.avg("m").alias("m"))
+    mean = stat.join(table, "seg").groupBy("sample", "k").agg(F.avg("m").alias("m"))
     from ploidyne.operators.relational import common_argmin
 
     best = common_argmin(mean, "sample", "k", "m").first()
@@ -242,7 +261,7 @@ def common_diploid(bulks: DataFrame, t: float = 1e-5, theta=(0.08, 0.4), gamma:
 
 def run_group_hmms(bulks: DataFrame, diploid: bool = True, **options) -> DataFrame:
     """All samples with reads: one search for diploid ranges, then M09 with the sample as a key."""
-    x = bulks.join(F.broadcast(bulks.groupBy("sample").agg(F.sum("DP").alias("_d")).where("_d > 0").select("sample")), "sample", "left_semi")
+    x = bulks.join(bulks.groupBy("sample").agg(F.sum("DP").alias("_d")).where("_d > 0").select("sample"), "sample", "left_semi")
     where = "true"
     if diploid:
         from ploidyne.operators.intervals import point_join

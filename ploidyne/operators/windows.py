@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ploidyne.functions.scalars import base26, chrom_key
+from ploidyne.operators.plumbing import small_enough
 
 KEYS = ("CHROM",)
 
@@ -118,7 +119,7 @@ def smooth_expression(counts: DataFrame, cells: DataFrame, genes: DataFrame, ref
     ``genes``: gene, gene_index; ``ref``: gene, lambda.
     """
     total = counts.groupBy("cell").agg(F.sum("cnt").alias("total"))
-    grid = cells.select("cell").distinct().join(total, "cell").crossJoin(F.broadcast(genes.select("gene", "gene_index").join(ref.select("gene", "lambda"), "gene")))
+    grid = cells.select("cell").distinct().join(total, "cell").crossJoin(small_enough(genes.select("gene", "gene_index").join(ref.select("gene", "lambda"), "gene")))
     x = grid.join(counts, ["cell", "gene"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     d = F.log2(F.col("cnt") / F.col("total") * 1e6 + 1) - F.log2(F.col("lambda") * 1e6 + 1)
     x = x.withColumn("x", F.greatest(F.lit(-cap), F.least(F.lit(cap), d)))

@@ -695,7 +695,7 @@ def _(v):
 @query("f25_reference_mixture", """SELECT gene, round(sum(lambda * CASE ref WHEN 'A' THEN 0.2 WHEN 'N' THEN 0.5 ELSE 0.3 END), 9) AS lambda_bar FROM refs GROUP BY gene""")
 def _(v):
     w = v.spark.createDataFrame([("A", 0.2), ("N", 0.5), ("R", 0.3)], "ref string, w double")
-    return rnd(v.ref().join(F.broadcast(w), "ref").groupBy("gene").agg(F.sum(F.col("lambda") * F.col("w")).alias("lambda_bar")), "lambda_bar", digits=9)
+    return rnd(v.ref().join(w, "ref").groupBy("gene").agg(F.sum(F.col("lambda") * F.col("w")).alias("lambda_bar")), "lambda_bar", digits=9)
 
 
 @query("s04_f26_parse_info", """SELECT DISTINCT snp_id, "POS" AS ad, "POS" % 7 AS oth FROM alleles""")
@@ -948,7 +948,7 @@ def _(v):
 @query("m03_joint_hmm")
 def _(v):
     x = _full_bulk(v)
-    x = x.join(F.broadcast(M.baseline(x)), "sample")
+    x = x.join(M.baseline(x), "sample")
     return M.joint_hmm(x).groupBy("sample", "CHROM", "state").agg(F.count(F.lit(1)).alias("n"))
 
 

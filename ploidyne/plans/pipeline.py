@@ -56,7 +56,7 @@ def run(counts: DataFrame, ref: DataFrame, alleles: DataFrame, genes: DataFrame,
 
     def big(m: DataFrame) -> DataFrame:
         keep = m.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_cells).select("sample")
-        return m.join(F.broadcast(keep), "sample", "left_semi")
+        return m.join(keep, "sample", "left_semi")
 
     for i in range(1, max_iter + 1):
         put = lambda name, df: out.setdefault(f"{name}_{i}", graph.cut(df))  # noqa: B023, E731
@@ -92,7 +92,7 @@ def run(counts: DataFrame, ref: DataFrame, alleles: DataFrame, genes: DataFrame,
             ex = smooth_likelihoods(ex, edges, spatial_method)
         exp_post = put("exp_post", posterior.compute_posterior(posterior.with_priors(ex, segs, floor=True)))
         allele_post = put("allele_post", posterior.allele_post(alleles, hap, segs))
-        joint = posterior.joint_post(exp_post, allele_post, segs).join(F.broadcast(segs.select("seg", F.col("LLR"), "n_states", "cnv_states")), "seg", "left")
+        joint = posterior.joint_post(exp_post, allele_post, segs).join(segs.select("seg", F.col("LLR"), "n_states", "cnv_states"), "seg", "left")
         joint = put("joint_post", relational.expand_states(relational.mean_entropy(joint)))
         usable = relational.posterior_filter(joint, max_entropy, min_llr)
         names = sorted(r.seg for r in usable.select("seg").distinct().collect())  # called segments: tens
@@ -109,8 +109,8 @@ def run(counts: DataFrame, ref: DataFrame, alleles: DataFrame, genes: DataFrame,
         table = put("clone_table", counts.sparkSession.createDataFrame(phylogeny.clone_table(history, tree), "clone int, GT string, compartment string"))
         out[f"tree_{i}"] = phylogeny.node_table(tree, cells, counts.sparkSession)
         # states of a multi-allelic segment stand beside each other here too
-        tree_exp = relational.expand_states(exp_post.join(F.broadcast(segs.select("seg", "n_states", "cnv_states")), "seg"))
-        tree_allele = relational.expand_states(allele_post.join(F.broadcast(segs.select("seg", "n_states", "cnv_states")), "seg"))
+        tree_exp = relational.expand_states(exp_post.join(segs.select("seg", "n_states", "cnv_states"), "seg"))
+        tree_allele = relational.expand_states(allele_post.join(segs.select("seg", "n_states", "cnv_states"), "seg"))
         post = posterior.clone_post(table, tree_exp, tree_allele)
         calls = put("clone_post", posterior.clone_calls(post, [r.clone for r in table.select("clone").orderBy("clone").collect()]))
         subtrees, clones = phylogeny.regroup(calls, history)

@@ -28,7 +28,7 @@ class Views:
         """gene, ref, lambda: shares within a profile."""
         li = self.table("lineitem").select(F.col("l_partkey").cast("string").alias("gene"), F.col("l_returnflag").alias("ref"), F.col("l_quantity").cast("long").alias("q"))
         total = li.groupBy("ref").agg(F.sum("q").alias("t"))
-        return li.groupBy("gene", "ref").agg(F.sum("q").alias("q")).join(F.broadcast(total), "ref").select("gene", "ref", (F.col("q") / F.col("t")).alias("lambda"))
+        return li.groupBy("gene", "ref").agg(F.sum("q").alias("q")).join(total, "ref").select("gene", "ref", (F.col("q") / F.col("t")).alias("lambda"))
 
     def alleles(self) -> DataFrame:
         """cell, snp_id, CHROM, POS, cM, AD, DP, GT, gene."""

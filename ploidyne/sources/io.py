@@ -135,7 +135,7 @@ def preprocess(spark: SparkSession, pileup: str, phased: DataFrame, genes: DataF
     snps = base.select(n.alias("i"), chrom.alias("CHROM"), f[1].cast("long").alias("POS"), f[3].alias("REF"), f[4].alias("ALT"), F.try_element_at(info, F.lit("OTH")).try_cast("int").alias("OTH"), F.concat_ws("_", chrom, f[1], f[3], f[4]).alias("snp_id"))
     cells = read_lines(spark, f"{pileup}/cellSNP.samples.tsv", "barcode")
     x = preprocess_alleles(read_matrix(spark, f"{pileup}/cellSNP.tag.AD.mtx"), read_matrix(spark, f"{pileup}/cellSNP.tag.DP.mtx"), snps, phased, genes, marks)
-    return x.join(F.broadcast(cells), F.col("cell") == F.col("j").cast("string")).withColumn("cell", F.col("barcode")).drop("j", "barcode")
+    return x.join(cells, F.col("cell") == F.col("j").cast("string")).withColumn("cell", F.col("barcode")).drop("j", "barcode")
 
 
 def main(argv=None) -> None:
