@@ -18,11 +18,14 @@ def fold_changes(x: DataFrame) -> DataFrame:
     return x.withColumn("lnFC", F.when(r > 0, F.log(r))).withColumn("logFC", F.col("lnFC") / LN2)
 
 
-def expression_bulk(counts: DataFrame, membership: DataFrame, ref: DataFrame, genes: DataFrame, hla: bool = True) -> DataFrame:
-    """By sample and gene: counts, depth, observed and reference expression, fold changes. ``ref``: [sample,] gene, lambda_ref."""
-    y = gene_totals(counts.join(membership, "cell"), ("sample", "gene"))
+def expression_bulk(counts: DataFrame, membership: DataFrame, ref: DataFrame, genes: DataFrame, hla: bool = True, whole_depth: bool = False) -> DataFrame:
+    """By sample and gene: counts, depth, observed and reference expression, fold changes. ``ref``: [sample,] gene, lambda_ref.
+    The depth is that of the genes that annotation and reference share, with ``whole_depth`` that of all counts."""
+    y = counts.join(membership, "cell").groupBy("sample", "gene").agg(F.sum("cnt").alias("Y_obs"))
     on = ["sample", "gene"] if "sample" in ref.columns else ["gene"]
     x = y.join(ref, on).join(genes.select("gene", "CHROM", "gene_start", "gene_end"), "gene")
+    depth = (y if whole_depth else x).groupBy("sample").agg(F.sum("Y_obs").alias("d_obs"))
+    x = x.join(depth, "sample").withColumn("lambda_obs", F.try_divide("Y_obs", "d_obs"))
     x = filter_genes_by_sample(x, hla)
     x = fold_changes(x).where("logFC is not null")
     return x.withColumn("gene_index", F.row_number().over(Window.partitionBy("sample", "CHROM").orderBy("gene_start", "gene")) - 1)
@@ -74,7 +77,7 @@ def get_bulk(counts, alleles, membership, ref_long, genes, nu: float = 1.0, min_
 
     weights = fit_reference(gene_totals(counts.join(membership, "cell"), ("sample", "gene")), ref_long)
     ref = ref_long.join(weights, "ref").groupBy("sample", "gene").agg(F.sum(F.col("lambda") * F.col("w")).alias("lambda_ref"))
-    e = expression_bulk(counts, membership, ref, genes, hla).where("(logFC > -5 and logFC < 5) or Y_obs = 0")
+    e = expression_bulk(counts, membership, ref, genes, hla, whole_depth=True).where("(logFC > -5 and logFC < 5) or Y_obs = 0")
     x = combine_bulk(allele_bulk(alleles, membership, nu, min_depth), e, hla, segments)
     x = x.where("lambda_ref <> 0 or gene is null").join(weights.select("sample", "mse").distinct(), "sample")
     if loh is not None:
