@@ -15,3 +15,9 @@ def test_depth_is_that_of_shared_genes(spark):
     got = {r.gene: (r.d_obs, r.lambda_obs) for r in bulk.expression_bulk(counts, member, ref, genes).collect()}
     assert got == {"g1": (4, 0.75), "g2": (4, 0.25)}
     assert {r.d_obs for r in bulk.expression_bulk(counts, member, ref, genes, whole_depth=True).collect()} == {10}
+
+
+def test_labels_past_three_letters_differ(spark):
+    n = (17575, 17576, 17577, 18252, 26 * 676 * 2, 150_000)
+    got = [r.x for r in spark.createDataFrame([(k,) for k in n], "n long").orderBy("n").select(S.base26("n").alias("x")).collect()]
+    assert got == [chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in n] and len(set(got)) == len(n)
