@@ -21,3 +21,16 @@ def test_labels_past_three_letters_differ(spark):
     n = (17575, 17576, 17577, 18252, 26 * 676 * 2, 150_000)
     got = [r.x for r in spark.createDataFrame([(k,) for k in n], "n long").orderBy("n").select(S.base26("n").alias("x")).collect()]
     assert got == [chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26) for k in n] and len(set(got)) == len(n)
+
+
+def test_best_reference_keeps_cells_without_shared_genes(spark):
+    counts = spark.createDataFrame([("c", "g1", 5), ("c", "g2", 1), ("d", "g9", 4), ("e", "g1", 3)], "cell string, gene string, cnt long")
+    ref = spark.createDataFrame([("g1", "A", 0.9), ("g2", "A", 0.1), ("g2", "B", 0.7), ("g3", "B", 0.3)], "gene string, ref string, lambda double")
+    got = {r.cell: (r.ref, r.r) for r in relational.best_reference(counts, ref).collect()}
+    x, y = np.log1p(np.array([1e6, 0, 0])), {"A": np.log1p(np.array([9e5, 1e5, 0])), "B": np.log1p(np.array([0, 7e5, 3e5]))}
+    assert set(got) == {"c", "d", "e"} and np.isnan(got["d"][1])
+    assert got["e"][0] == "A" and abs(got["e"][1] - np.corrcoef(x, y["A"])[0, 1]) < 1e-9
+    # of profiles that share no gene with a cell the correlation is negative, not missing
+    only = relational.best_reference(counts.where("cell = 'e'"), ref.where("ref = 'B'").union(ref.where("ref = 'A'").withColumn("gene", F.lit("g4")))).collect()
+    assert len(only) == 1 and only[0].r is not None
+    assert relational.best_reference(counts, ref, 2.0).count() == 0
