@@ -34,3 +34,21 @@ def test_best_reference_keeps_cells_without_shared_genes(spark):
     only = relational.best_reference(counts.where("cell = 'e'"), ref.where("ref = 'B'").union(ref.where("ref = 'A'").withColumn("gene", F.lit("g4")))).collect()
     assert len(only) == 1 and only[0].r is not None
     assert relational.best_reference(counts, ref, 2.0).count() == 0
+
+
+def test_closure_of_a_deep_tree(spark):
+    n = 40
+    tree = phylogeny.Tree(n, {n: [0, 1], **{n + k: [n + k - 1, k + 1] for k in range(1, n - 1)}})
+    old = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got = {(r.node, r.leaf) for r in phylogeny.closure_table(phylogeny.node_table(tree, [str(i) for i in range(n)], spark)).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", old)
+    want = set()
+    for leaf in range(n):
+        v = leaf
+        while v >= 0:
+            want.add((v, leaf))
+            v = tree.parent[v]
+    assert got == want
