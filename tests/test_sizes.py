@@ -52,3 +52,14 @@ def test_closure_of_a_deep_tree(spark):
             want.add((v, leaf))
             v = tree.parent[v]
     assert got == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_smoothing_has_no_frame_that_is_made_anew_for_each_row(spark):
+    rows = [("1", i, s, g) for i, (s, g) in enumerate([("a", 1), ("b", 1), ("c", 9), ("d", 1), ("e", 9)])] + [("2", 0, "x", 1)]
+    x = windows.smooth_segments(spark.createDataFrame(rows, "CHROM string, POS long, state string, n_genes int"), "state", 2)
+    assert [r.state for r in x.orderBy("CHROM", "POS").collect()] == ["c", "c", "c", "c", "e", None]
+    assert "currentrow$(), unboundedfollowing$()" not in _plan(x)
