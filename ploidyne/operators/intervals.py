@@ -121,9 +121,10 @@ def fill_neutral(consensus: DataFrame, neutral: DataFrame) -> DataFrame:
 def interpolate(points: DataFrame, marks: DataFrame) -> DataFrame:
     """cM at points from a map (CHROM, POS, cM), linear between the marks on both sides and clamped at the ends."""
     both = points.select("CHROM", "POS").distinct().select("CHROM", "POS", F.lit(None).cast("double").alias("m"), F.lit(1).alias("is_point")).union(marks.select("CHROM", "POS", "cM", F.lit(0)))
-    w = Window.partitionBy("CHROM").orderBy("POS", "is_point")
+    # the marks after a row come from the same order backwards: a frame from the row on would be summed up anew for each row
+    w, back = Window.partitionBy("CHROM").orderBy("POS", "is_point", "m"), Window.partitionBy("CHROM").orderBy(F.desc("POS"), F.desc("is_point"), F.desc("m"))
     at = F.when(F.col("m").isNotNull(), F.struct("POS", "m"))
-    both = both.withColumn("lo", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("lo", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.last(at, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     line = F.col("lo.m") + (F.col("hi.m") - F.col("lo.m")) * (F.col("POS") - F.col("lo.POS")) / (F.col("hi.POS") - F.col("lo.POS"))
     value = F.when(F.col("lo").isNull(), F.col("hi.m")).when(F.col("hi").isNull() | (F.col("lo.POS") == F.col("POS")), F.col("lo.m")).otherwise(line)
     return points.join(both.where("is_point = 1").select("CHROM", "POS", value.alias("cM")), ["CHROM", "POS"], "left")

@@ -63,3 +63,10 @@ def test_smoothing_has_no_frame_that_is_made_anew_for_each_row(spark):
     x = windows.smooth_segments(spark.createDataFrame(rows, "CHROM string, POS long, state string, n_genes int"), "state", 2)
     assert [r.state for r in x.orderBy("CHROM", "POS").collect()] == ["c", "c", "c", "c", "e", None]
     assert "currentrow$(), unboundedfollowing$()" not in _plan(x)
+
+
+def test_interpolation_has_no_frame_that_is_made_anew_for_each_row(spark):
+    marks = spark.createDataFrame([("1", p, c) for p, c in ((100, 1.0), (200, 2.0), (400, 8.0))], "CHROM string, POS long, cM double")
+    x = intervals.interpolate(spark.createDataFrame([("1", p) for p in (50, 100, 150, 200, 300, 400, 500)], "CHROM string, POS long"), marks)
+    assert [r.cM for r in x.orderBy("POS").collect()] == [1.0, 1.0, 1.5, 2.0, 5.0, 8.0, 8.0]
+    assert "currentrow$(), unboundedfollowing$()" not in _plan(x)
