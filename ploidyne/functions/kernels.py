@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -11,11 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _erfc = np.frompyfunc(math.erfc, 1, 1)
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+_exp = np.frompyfunc(math.exp, 1, 1)
+_log = np.frompyfunc(math.log, 1, 1)
+
+
+def _c_lgamma():
+    """The C library's, which databases use too: paths of equal likelihood differ by the last bits alone. Python's own where it isn't found."""
+    try:
+        f = ctypes.CDLL("libm.so.6").lgamma
+    except (OSError, AttributeError):
+        return math.lgamma
+    f.restype, f.argtypes = ctypes.c_double, [ctypes.c_double]
+    return f
+
+
+_lgamma = np.frompyfunc(_c_lgamma(), 1, 1)
+
+
+def _by_value(f, x):
+    """``f`` of each of ``x``, called once for each value."""
+    x = np.asarray(x, float)
+    if x.size < 64:
+        return np.asarray(f(x), float)
+    values, back = np.unique(x, return_inverse=True)
+    return np.asarray(f(values), float)[back.reshape(x.shape)]
 
 
 def lgamma(x):
-    return np.asarray(_lgamma(np.asarray(x, float)), float)
+    return _by_value(_lgamma, x)
 
 
 # special functions
@@ -245,7 +269,7 @@ def beta_binom(k, n, a, b):
     k, n = np.asarray(k, float), np.asarray(n, float)
     outside = (k < 0) | (k > n)
     k = np.where(outside, 0, k)
-    out = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + lgamma(k + a) + lgamma(n - k + b) - lgamma(n + a + b) - (lgamma(a) + lgamma(b) - lgamma(a + b))
+    out = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + lgamma(k + a) + lgamma(n - k + b) - lgamma(n + (a + b)) - (lgamma(a) + lgamma(b) - lgamma(a + b))
     return np.where(outside, -np.inf, out)
 
 
@@ -351,27 +375,36 @@ def _level(state: str) -> str:
     return state.removesuffix("_up").removesuffix("_down")
 
 
+def switch_probs(distance, nu: float = 1.0, least: float = 1e-10) -> np.ndarray:
+    """F01 by the C library's exp."""
+    d = np.asarray(distance, float)
+    known = ~np.isnan(d)
+    out = np.zeros(len(d))
+    if nu:
+        out[known] = np.maximum(0.5 * (1 - _by_value(_exp, d[known] * (-2.0 * nu))), least)
+    return out
+
+
 def transitions5(p_s, t: float) -> np.ndarray:
     """Log transitions into each row."""
     p_s = np.asarray(p_s, float)
-    out = np.full((len(p_s), 5, 5), t / 4)
-    out[:, 0, 0] = 1 - t
-    out[:, 1:, 0] = t / 2
+    out = np.full((len(p_s), 5, 5), math.log(t / 4))
+    out[:, 0, 0] = math.log(1 - t)
+    out[:, 1:, 0] = math.log(t / 2)
+    log = lambda x: np.where(x > 0, _by_value(_log, np.where(x > 0, x, 1.0)), -np.inf)
+    same, flip = log((1 - t) * (1 - p_s)), log((1 - t) * p_s)
     for i in range(1, 5):
-        same, flip = i, 1 + ((i - 1) ^ 1)
-        out[:, i, same] = (1 - t) * (1 - p_s)
-        out[:, i, flip] = (1 - t) * p_s
-    with np.errstate(divide="ignore"):
-        return np.log(out)
+        out[:, i, i], out[:, i, 1 + ((i - 1) ^ 1)] = same, flip
+    return out
 
 
 def allele_hmm5(p_ad, dp, p_s, t=1e-5, theta=(0.08, 0.4), gamma=20.0) -> np.ndarray:
     """State names of the best path; a null pAD says nothing."""
     p_ad, dp = np.asarray(p_ad, float), np.asarray(dp, float)
-    a = gamma * np.array([0.5, 0.5 + theta[0], 0.5 - theta[0], 0.5 + theta[1], 0.5 - theta[1]])
+    a = gamma * np.round([0.5, 0.5 + theta[0], 0.5 - theta[0], 0.5 + theta[1], 0.5 - theta[1]], 12)
     known = ~(np.isnan(p_ad) | np.isnan(dp))
     emit = np.where(known[:, None], beta_binom(np.where(known, p_ad, 0)[:, None], np.where(known, dp, 0)[:, None], a, gamma - a), 0)
-    return np.array(FIVE)[viterbi(np.log(np.full(5, 0.2)), emit, transitions5(p_s, t))]
+    return np.array(FIVE)[viterbi(np.full(5, math.log(0.2)), emit, transitions5(p_s, t))]
 
 
 def transitions15(p_s, t: float) -> np.ndarray:

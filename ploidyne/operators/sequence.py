@@ -56,9 +56,14 @@ def _grouped(df: DataFrame, keys, add: dict[str, T.DataType], f, order=ORDER) ->
     return df.groupBy(*keys).applyInArrow(run, kinds)
 
 
-def allele_hmm(bulk: DataFrame, t: float = 1e-5, theta=(0.08, 0.4), gamma: float = 20.0) -> DataFrame:
-    """State of each SNP under the five-state model."""
-    return _grouped(bulk, KEYS, {"state": T.StringType()}, lambda p: {"state": K.allele_hmm5(_num(p["pAD"]), _num(p["DP"]), _num(p["p_s"]), t, theta, gamma)})
+def allele_hmm(bulk: DataFrame, t: float = 1e-5, theta=(0.08, 0.4), gamma: float = 20.0, nu: float | None = None) -> DataFrame:
+    """State of each SNP under the five-state model. With ``nu`` switch probabilities come from inter_snp_cm, to the last bit as C computes them."""
+
+    def f(p):
+        switch = _num(p["p_s"]) if nu is None else K.switch_probs(_num(p["inter_snp_cm"]), nu)
+        return {"state": K.allele_hmm5(_num(p["pAD"]), _num(p["DP"]), switch, t, theta, gamma)}
+
+    return _grouped(bulk, KEYS, {"state": T.StringType()}, f)
 
 
 def joint_hmm(bulk: DataFrame, t: float = 1e-5, theta_min: float = 0.08, gamma: float = 20.0, allele_only: bool = False, exp_only: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ploidyne.functions import kernels as K
 from ploidyne.functions import scalars as S
 from ploidyne.operators import bulk, intervals, phylogeny, relational, windows
 
@@ -70,3 +71,18 @@ def test_interpolation_has_no_frame_that_is_made_anew_for_each_row(spark):
     x = intervals.interpolate(spark.createDataFrame([("1", p) for p in (50, 100, 150, 200, 300, 400, 500)], "CHROM string, POS long"), marks)
     assert [r.cM for r in x.orderBy("POS").collect()] == [1.0, 1.0, 1.5, 2.0, 5.0, 8.0, 8.0]
     assert "currentrow$(), unboundedfollowing$()" not in _plan(x)
+
+
+def test_allele_model_is_exact_to_the_last_bit():
+    import ctypes
+    import math
+
+    c = ctypes.CDLL("libm.so.6").lgamma
+    c.restype, c.argtypes = ctypes.c_double, [ctypes.c_double]
+    x = np.arange(1, 3000) / 5
+    assert K.lgamma(x).tolist() == [c(v) for v in x]
+    d, t = np.linspace(1e-7, 3, 4001), 1e-5
+    s = K.switch_probs(d)
+    assert s.tolist() == [max(0.5 * (1 - math.exp(-2 * v)), 1e-10) for v in d] and K.switch_probs([np.nan]).tolist() == [0.0]
+    step = K.transitions5(s, t)
+    assert step[:, 1, 1].tolist() == [math.log((1 - t) * (1 - v)) for v in s] and step[:, 3, 4].tolist() == [math.log((1 - t) * v) for v in s]
