@@ -86,3 +86,30 @@ def test_allele_model_is_exact_to_the_last_bit():
     assert s.tolist() == [max(0.5 * (1 - math.exp(-2 * v)), 1e-10) for v in d] and K.switch_probs([np.nan]).tolist() == [0.0]
     step = K.transitions5(s, t)
     assert step[:, 1, 1].tolist() == [math.log((1 - t) * (1 - v)) for v in s] and step[:, 3, 4].tolist() == [math.log((1 - t) * v) for v in s]
+
+
+def test_linkage_of_thousands_takes_seconds():
+    import time
+
+    from ploidyne.operators import graph
+
+    rng = np.random.default_rng(5)
+    x = rng.random((12, 3))
+    for method in ("ward", "average"):
+        # merges by hand: the nearest two clusters, by all pairs of members
+        groups, merges = {i: [i] for i in range(12)}, []
+        for step in range(11):
+            def gap(a, b):
+                if method == "average":
+                    return np.mean([np.linalg.norm(x[i] - x[j]) for i in groups[a] for j in groups[b]])
+                p, q = x[groups[a]], x[groups[b]]
+                return np.sqrt(2 * len(p) * len(q) / (len(p) + len(q))) * np.linalg.norm(p.mean(0) - q.mean(0))
+
+            a, b = min(((a, b) for a in groups for b in groups if a < b), key=lambda k: gap(*k))
+            merges.append((a, b, gap(a, b)))
+            groups[12 + step] = groups.pop(a) + groups.pop(b)
+        got = graph.linkage(graph.pairwise(x), method)
+        assert [tuple(r[:2]) for r in got] == [m[:2] for m in merges] and np.allclose(got[:, 2], [m[2] for m in merges])
+    far = graph.pairwise(rng.random((4000, 5)))
+    start = time.time()
+    assert len(graph.linkage(far, "average")) == 3999 and time.time() - start < 15
