@@ -113,3 +113,37 @@ def test_linkage_of_thousands_takes_seconds():
     far = graph.pairwise(rng.random((4000, 5)))
     start = time.time()
     assert len(graph.linkage(far, "average")) == 3999 and time.time() - start < 15
+
+
+def test_neighbour_joining_of_a_thousand_takes_seconds():
+    import time
+
+    from ploidyne.operators import graph
+
+    # distances along a tree give that tree back
+    rng = np.random.default_rng(6)
+    n = 60
+    tree = phylogeny.upgma(graph.pairwise(rng.random((n, 4))))
+    length = {v: rng.uniform(0.1, 1) for v in tree.parent}
+    up = []
+    for leaf in range(n):
+        v, way = leaf, {}
+        while tree.parent[v] >= 0:
+            way[v] = length[v]
+            v = tree.parent[v]
+        up.append(way)
+    d = np.array([[sum(x for k, x in a.items() if k not in b) + sum(x for k, x in b.items() if k not in a) for b in up] for a in up])
+    out = np.array([sum(a.values()) + 1 for a in up])
+    d = np.block([[d, out[:, None]], [out[None], np.zeros((1, 1))]])
+
+    def clades(t):
+        below = {}
+        for v in t.postorder():
+            below[v] = frozenset([v]) if v < t.n else frozenset().union(*[below[c] for c in t.children[v]])
+        return set(below.values())
+
+    assert clades(phylogeny.neighbour_joining(d, n)) == clades(tree)
+    p = rng.random((1500, 8))
+    start = time.time()
+    got = phylogeny.neighbour_joining(graph.pairwise(np.vstack([p, np.zeros(8)])), 1500)
+    assert got.n == 1500 and time.time() - start < 15
