@@ -147,3 +147,15 @@ def test_neighbour_joining_of_a_thousand_takes_seconds():
     start = time.time()
     got = phylogeny.neighbour_joining(graph.pairwise(np.vstack([p, np.zeros(8)])), 1500)
     assert got.n == 1500 and time.time() - start < 15
+
+
+def test_decoding_runs_once(spark):
+    from ploidyne.operators import sequence
+    from ploidyne.plans import catalog
+    from ploidyne.plans.views import Views
+
+    bulks = catalog._full_bulk(Views(spark, "/root/testdata/sf0.001"))
+    ranges, _ = sequence.common_diploid(bulks)
+    assert "FlatMapGroups" not in _plan(ranges)
+    # the phases of called segments alone are still to be made
+    assert _plan(sequence.analyze_bulk(bulks, min_genes=2)).count("FlatMapGroups") == 1
