@@ -159,3 +159,21 @@ def test_decoding_runs_once(spark):
     assert "FlatMapGroups" not in _plan(ranges)
     # the phases of called segments alone are still to be made
     assert _plan(sequence.analyze_bulk(bulks, min_genes=2)).count("FlatMapGroups") == 1
+
+
+def test_expression_is_smoothed_without_frames_of_rows(spark):
+    rng = np.random.default_rng(8)
+    n, half = 30, 3
+    lam, cnt = rng.random(n) / 1e3, {(c, g): int(rng.integers(1, 90)) for c in "ab" for g in range(n + 2) if rng.random() < 0.4}
+    counts = spark.createDataFrame([(c, f"g{g}", k) for (c, g), k in cnt.items()], "cell string, gene string, cnt long")
+    genes = spark.createDataFrame([(f"g{g}", g) for g in range(n)], "gene string, gene_index long")
+    ref = spark.createDataFrame([(f"g{g}", float(x)) for g, x in enumerate(lam)], "gene string, lambda double")
+    x = windows.smooth_expression(counts, counts, genes, ref, half=half)
+    got = {(r.cell, r.gene): r.x for r in x.collect()}
+    assert len(got) == 2 * n
+    for c in "ab":
+        total = sum(k for (d, _), k in cnt.items() if d == c)
+        z = np.clip([np.log2(cnt.get((c, g), 0) / total * 1e6 + 1) - np.log2(lam[g] * 1e6 + 1) for g in range(n)], -3, 3)
+        z -= z.mean()
+        assert np.allclose([got[c, f"g{g}"] for g in range(n)], [z[max(g - half, 0) : g + half + 1].mean() for g in range(n)], atol=1e-12)
+    assert "Window" not in _plan(x)
