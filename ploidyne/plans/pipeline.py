@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ploidyne.operators import bulk as B
 from ploidyne.operators import graph, intervals, phylogeny, posterior, relational, sequence
-from ploidyne.operators.windows import smooth_expression
+from ploidyne.operators.windows import expression_changes
 
 
 @dataclass
@@ -47,8 +47,7 @@ def run(counts: DataFrame, ref: DataFrame, alleles: DataFrame, genes: DataFrame,
     choice = graph.cut(relational.best_reference(counts, ref))
     out["sc_refs"] = choice
     mean_ref = ref.groupBy("gene").agg(F.avg("lambda").alias("lambda"))
-    smooth = smooth_expression(counts, counts, genes, mean_ref)
-    clusters = graph.cut(graph.expression_clusters(smooth, init_k))
+    clusters = graph.cut(graph.expression_clusters(*expression_changes(counts, counts, genes, mean_ref), init_k))
     out["clusters"] = clusters
     clones = clusters.select(F.col("cluster").cast("string").alias("sample"), "cell")
     subtrees = clones.unionByName(clusters.select(F.lit("0").alias("sample"), "cell"))

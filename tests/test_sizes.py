@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ploidyne.functions import kernels as K
 from ploidyne.functions import scalars as S
-from ploidyne.operators import bulk, intervals, phylogeny, relational, windows
+from ploidyne.operators import bulk, graph, intervals, phylogeny, relational, windows
 
 
 def test_depth_is_that_of_shared_genes(spark):
@@ -177,3 +177,45 @@ def test_expression_is_smoothed_without_frames_of_rows(spark):
         z -= z.mean()
         assert np.allclose([got[c, f"g{g}"] for g in range(n)], [z[max(g - half, 0) : g + half + 1].mean() for g in range(n)], atol=1e-12)
     assert "Window" not in _plan(x)
+
+
+def _cells(spark, seed, cells, n):
+    rng = np.random.default_rng(seed)
+    # cells of three kinds, each with counts mostly in a region of its own; one has no counts on known genes
+    counts = [(f"c{c:02}", f"g{g}", int(rng.integers(1, 4))) for c in range(cells) for g in range(n) if rng.random() < (0.8 if g * 3 // n == c % 3 else 0.15)] + [("none", "other", 4)]
+    counts = spark.createDataFrame(counts, "cell string, gene string, cnt long")
+    genes = spark.createDataFrame([(f"g{g}", g) for g in range(n)], "gene string, gene_index long")
+    ref = spark.createDataFrame([(f"g{g}", float(x)) for g, x in enumerate(rng.random(n) / 1e3)], "gene string, lambda double")
+    return counts, counts, genes, ref
+
+
+def test_cells_are_compared_by_stored_genes_in_blocks(spark, monkeypatch):
+    half, tables = 3, _cells(spark, 5, 23, 50)
+    smooth = windows.smooth_expression(*tables, half=half).toPandas().pivot(index="cell", columns="gene_index", values="x")
+    x = smooth.to_numpy()
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    changes, n = windows.expression_changes(*tables)
+    assert n == 50 and changes.count() == 24 and "FlatMapGroups" not in _plan(changes)
+    for width in (7, 64):
+        monkeypatch.setattr(graph, "WIDTH", width)
+        rows = [graph._flat(t) for t in [changes.orderBy("cell").toArrow().combine_chunks()]][0]
+        split = lambda a, b: tuple(z[(rows[0] >= a) & (rows[0] < b)] - (a if k == 0 else 0) for k, z in enumerate(rows))  # noqa: B023, E731
+        whole = np.block([[graph.block_products(split(*i), split(*j), (i[1] - i[0], j[1] - j[0]), n, half) for j in ((0, 10), (10, 24))] for i in ((0, 10), (10, 24))])
+        own = np.diagonal(whole)
+        assert np.allclose(np.maximum(own[:, None] + own - 2 * whole, 0), want**2, atol=1e-9)
+        sparse = tuple(z[::29] for z in split(10, 24))  # few stored genes are met one by one
+        dense = graph.block_products(sparse, split(0, 10), (14, 10), n, half)
+        assert np.allclose(graph.block_products(split(0, 10), sparse, (10, 14), n, half), dense.T, atol=1e-9)
+    monkeypatch.setattr(graph, "ENTRIES", 0)
+    assert np.allclose(graph.cell_distances(changes, n, list(smooth.index), half), want, atol=1e-6)
+    labels = graph.cut_tree(graph.linkage(want), 24, 3)
+    assert {r.cell: r.cluster for r in graph.expression_clusters(changes, n, 3, half).collect()} == dict(zip(smooth.index, labels, strict=True))
+
+
+def test_many_cells_are_clustered_without_dense_rows(spark):
+    counts, _, genes, ref = _cells(spark, 6, 30, 60)
+    changes, n = windows.expression_changes(*(x.where("cell != 'none'") if "cell" in x.columns else x for x in (counts, counts, genes, ref)))
+    got = {r.cell: r.cluster for r in graph.expression_clusters(changes, n, 3, 3, max_cells=10).collect()}
+    assert len(got) == 30 and len({(got[f"c{c:02}"], c % 3) for c in range(30)}) == 3
+    same = spark.createDataFrame([(f"c{c}", [1, 4], [1.0, 2.0]) for c in range(12)], "cell string, place array<int>, change array<double>")
+    assert {r.cluster for r in graph.expression_clusters(same, 9, 3, 2, max_cells=10).collect()} == {1}
