@@ -111,53 +111,83 @@ def welch_p(n1, m1, v1, n2, m2, v2) -> float:
 # Poisson-lognormal
 
 
-def poilog_logpmf(x, mu, sig, n_points: int = 256):
-    """ln of the Poisson-lognormal pmf by a trapezoid around the integrand's mode; a probability of 0 becomes 1e-15.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
 
-    Mode and bounds are found by bisection on all rows at once.
-    """
+def poilog_logpmf(x, mu, sig, n_points: int = 256):
+    """ln of the Poisson-lognormal pmf by a trapezoid around the integrand's mode; a probability of 0 becomes 1e-15."""
     x, mu, sig = (np.asarray(v, float).ravel() for v in np.broadcast_arrays(x, mu, sig))
     if (sig <= 0).any() or (x < 0).any():
         raise ValueError("sig must be positive and x not negative")
-    keys, back = np.unique(np.stack([x, mu, sig], 1), axis=0, return_inverse=True)
-    out = np.empty(len(keys))
-    for s in range(0, len(keys), 4096):
-        out[s : s + 4096] = _poilog(*keys[s : s + 4096].T, n_points)
-    return out[back.ravel()]
-
-
-def _poilog(x, m, s, n_points):
-    v = s * s
-    h = lambda z: x * z - np.exp(np.minimum(z, 700)) - (z - m) ** 2 / (2 * v)
-    lo, hi = np.minimum(m, np.log(x + 1e-9)) - v - 5, np.maximum(m, np.log(x + 1)) + x * v + 5
-    for _ in range(70):
-        mid = (lo + hi) / 2
-        up = x - np.exp(np.minimum(mid, 700)) - (mid - m) / v > 0
-        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-    z = (lo + hi) / 2
-    floor = h(z) - math.log(1e12)
-    ends = []
-    for sign in (-1, 1):
-        near, far = z.copy(), z + sign * 10 * s
-        for _ in range(60):
-            bad = h(far) > floor
-            if not bad.any():
-                break
-            far = np.where(bad, far + sign * 10 * s, far)
-        for _ in range(50):
-            mid = (near + far) / 2
-            inside = h(mid) > floor
-            near, far = np.where(inside, mid, near), np.where(inside, far, mid)
-        ends.append(far)
-    a, b = ends
-    grid = a[:, None] + (b - a)[:, None] * np.linspace(0, 1, n_points)
-    top = h(z)
-    y = np.exp(x[:, None] * grid - np.exp(np.minimum(grid, 700)) - (grid - m[:, None]) ** 2 / (2 * v[:, None]) - top[:, None])
-    area = (y.sum(1) - (y[:, 0] + y[:, -1]) / 2) * (b - a) / (n_points - 1)
-    with np.errstate(divide="ignore"):
-        out = np.log(area) + top - lgamma(x + 1) - 0.5 * np.log(2 * math.pi * v)
+    # equal rows are found by a hash of theirs and counted once, unless two others share a hash
+    bits = [np.ascontiguousarray(v).view(np.uint64) for v in (x, mu, sig)]
+    _, first, back = np.unique(_mix(_mix(_mix(bits[0]) + bits[1]) + bits[2]), return_index=True, return_inverse=True)
+    if len(first) == len(x) or any((v[first][back] != v).any() for v in (x, mu, sig)):
+        first = back = slice(None)
+    out = _poilog(x[first], mu[first], sig[first], n_points)[0]
     # a pmf that underflows to 0 counts as 1e-15
-    return np.where(out < math.log(5e-324), math.log(1e-15), out)
+    return np.where(out < LOG_LEAST, math.log(1e-15), out)[back]
+
+
+#: ln of the least positive double.
+LOG_LEAST = math.log(5e-324)
+
+
+def _range(x, m, v):
+    """Of x z - exp(z) - (z - m)^2 / 2v the mode, exp(mode), and how far on either side it falls by a factor of 1e12, by Newton's steps from a bound that they don't cross."""
+    drop = math.log(1e12)
+    # w = v exp(z) solves w + ln w = level
+    level = m + x * v + np.log(v)
+    y = np.where(level > 1, np.log(np.maximum(level, 1)), level)
+    for _ in range(7):
+        w = np.exp(y)
+        y -= (y + w - level) / (1 + w)
+    rate = np.exp(y) / v
+    with np.errstate(divide="ignore", over="ignore"):
+        t = np.sqrt(2 * drop / (rate + 1 / v))
+        t = np.minimum(t, np.log1p(drop / rate + t))
+        s = np.fmin(np.sqrt(2 * drop * v), (drop + np.sqrt(drop * drop + 8 * drop * rate)) / (2 * rate))
+    for _ in range(5):
+        e = np.expm1(np.minimum(t, 700))
+        t -= (rate * (e - t) + t * t / (2 * v) - drop) / (rate * e + t / v)
+        e = np.expm1(-s)
+        s -= (rate * (e + s) + s * s / (2 * v) - drop) / (s / v - rate * e)
+    return y - np.log(v), rate, s, t
+
+
+def _poilog(x, m, s, n_points, moments: bool = False):
+    """ln of the pmf of each row, without a floor; with ``moments`` also the means of (z - m)^1 to ^4, z the logarithm of the rate, given x."""
+    out, mean = np.empty(len(x)), np.empty((len(x) if moments else 0, 4))
+    k = np.arange(n_points)
+    powers, base = np.stack([np.ones(n_points), k, k * k]), np.stack([(k / (n_points - 1)) ** j for j in range(5)], 1)
+    parts = -(-n_points // 16)
+    step = max(64, 65_536 // n_points)
+    for c in range(0, len(x), 4096):
+        x_, m_ = x[c : c + 4096], m[c : c + 4096]
+        v = s[c : c + 4096] ** 2
+        z, rate, left, right = _range(x_, m_, v)
+        slope, gap = x_ - (z - m_) / v, (left + right) / (n_points - 1)
+        line = np.stack([rate - slope * left - left * left / (2 * v), (slope + left / v) * gap, -gap * gap / (2 * v)], 1)
+        # exp(z) on an even grid is a product of powers
+        fine, coarse = np.exp(np.minimum(gap[:, None] * np.arange(16), 700)), rate[:, None] * np.exp(np.minimum(16 * gap[:, None] * np.arange(parts) - left[:, None], 700))
+        area = np.empty(len(x_))
+        for i in range(0, len(x_), step):
+            j = slice(i, i + step)
+            y = line[j] @ powers
+            y -= (coarse[j, :, None] * fine[j, None, :]).reshape(len(y), -1)[:, :n_points]
+            np.exp(y, out=y)
+            area[j] = y.sum(1) - (y[:, 0] + y[:, -1]) / 2
+            if moments:
+                got = y @ base
+                got /= got[:, :1]
+                low, wide = (z - m_ - left)[j], (left + right)[j]
+                for p in range(1, 5):
+                    mean[c + i : c + i + len(y), p - 1] = sum(math.comb(p, q) * low ** (p - q) * wide**q * got[:, q] for q in range(p + 1))
+        with np.errstate(divide="ignore"):
+            out[c : c + 4096] = np.log(area * gap) + x_ * z - rate - (z - m_) ** 2 / (2 * v) - lgamma(x_ + 1) - 0.5 * np.log(2 * math.pi * v)
+    return out, mean
 
 
 def l_lnpois(y, lam, d, mu, sig, phi=1.0) -> float:
@@ -227,9 +257,52 @@ def fit_lnpois(y, lam, d, n_points: int = 48) -> tuple[float, float]:
     # equal counts at nearly equal rates share a value
     base = np.round(base, 2)
     keys, n = np.unique(np.stack([y, base], 1), axis=0, return_counts=True)
-    f = lambda p: -float((n * poilog_logpmf(keys[:, 0], p[0] + keys[:, 1], max(p[1], 0.01), n_points)).sum())
-    mu, sig = nelder_mead(f, (0.0, 1.0), (0.3, -0.3), rounds=60, tol=1e-3)
-    return float(mu), float(max(sig, 0.01))
+    got = _fit_by_newton(keys[:, 0], keys[:, 1], n, n_points)
+    if got is None:
+        f = lambda p: -float((n * poilog_logpmf(keys[:, 0], p[0] + keys[:, 1], max(p[1], 0.01), n_points)).sum())
+        got = nelder_mead(f, (0.0, 1.0), (0.3, -0.3), rounds=60, tol=1e-3)
+    return float(got[0]), float(max(got[1], 0.01))
+
+
+def _fit_by_newton(y, base, n, n_points: int, rounds: int = 60, tol: float = 1e-6) -> tuple[float, float] | None:
+    """(mu, sigma) by Newton's steps in mu and ln sigma, with derivatives from the moments of each row's rate; None if a pmf underflows at the end or no end is reached."""
+    least = math.log(0.01)
+
+    def look(p):
+        s = math.exp(p[1])
+        v, (like, mean) = s * s, _poilog(y, p[0] + base, np.full(len(y), s), n_points, True)
+        m1, m2, m3, m4 = mean.T
+        slope = np.array([(n * m1).sum() / v, (n * (m2 / v - 1)).sum()])
+        cross = (n * ((m3 - m1 * m2) / v**2 - 2 * m1 / v)).sum()
+        bend = np.array([[(n * ((m2 - m1 * m1) / v**2 - 1 / v)).sum(), cross], [cross, (n * ((m4 - m2 * m2) / v**2 - 2 * m2 / v)).sum()]])
+        return float((n * like).sum()), slope, bend, like
+
+    p = np.array([0.0, 0.0])
+    now = look(p)
+    for _ in range(rounds):
+        like, slope, bend, rows = now
+        if not np.isfinite(like):
+            return None
+        free = np.array([True, p[1] > least or slope[1] > 0])
+        # towards a maximum also where the surface bends upwards
+        value, axes = np.linalg.eigh(bend[np.ix_(free, free)])
+        way = np.zeros(2)
+        way[free] = axes @ ((axes.T @ slope[free]) / np.maximum(np.abs(value), 1e-9))
+        gain = float(slope @ way)
+        if gain < tol:
+            return None if (rows < LOG_LEAST).any() else (float(p[0]), math.exp(p[1]))
+        way *= min(1.0, 2.0 / np.abs(way).max())
+        for _ in range(30):
+            to = np.array([p[0] + way[0], max(p[1] + way[1], least)])
+            new = look(to)
+            if new[0] > like:
+                break
+            way /= 2
+        else:
+            # no step gains any more: rounding, if little was to be gained
+            return None if gain > 1e-3 or (rows < LOG_LEAST).any() else (float(p[0]), math.exp(p[1]))
+        p, now = to, new
+    return None
 
 
 def curvature(f, at, h) -> float:

@@ -301,8 +301,9 @@ def cell_fits(counts: DataFrame, ref: DataFrame, choice: DataFrame, genes: DataF
     total = counts.groupBy("cell").agg(F.sum("cnt").alias("d"))
     x = counts.join(genes.select("gene"), "gene", "left_semi").join(total, "cell").join(choice.select("cell", "ref"), "cell").join(ref, ["gene", "ref"]).select("cell", "ref", "cnt", "lambda", "d")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        mu, sig = K.fit_lnpois(_num(pdf["cnt"]), _num(pdf["lambda"]), _num(pdf["d"]), 32)
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "ref": [pdf["ref"].iloc[0]], "d": [int(pdf["d"].iloc[0])], "mu": [mu], "sigma": [sig]})
+    def fit(part: pa.Table) -> pa.Table:
+        mu, sig = K.fit_lnpois(*(part.column(c).cast(pa.float64()).to_numpy() for c in ("cnt", "lambda", "d")), 32)
+        first = part.slice(0, 1)
+        return pa.table({"cell": first.column("cell"), "ref": first.column("ref"), "d": first.column("d"), "mu": [mu], "sigma": [sig]})
 
-    return x.groupBy("cell").applyInPandas(fit, "cell string, ref string, d long, mu double, sigma double")
+    return x.groupBy("cell").applyInArrow(fit, "cell string, ref string, d long, mu double, sigma double")

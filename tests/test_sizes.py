@@ -219,3 +219,32 @@ def test_many_cells_are_clustered_without_dense_rows(spark):
     assert len(got) == 30 and len({(got[f"c{c:02}"], c % 3) for c in range(30)}) == 3
     same = spark.createDataFrame([(f"c{c}", [1, 4], [1.0, 2.0]) for c in range(12)], "cell string, place array<int>, change array<double>")
     assert {r.cluster for r in graph.expression_clusters(same, 9, 3, 2, max_cells=10).collect()} == {1}
+
+
+def test_poisson_lognormal_needs_few_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 300, 40), [0, 0, 1, 10**6]]).astype(float)
+    m, s = rng.normal(1, 4, 44), np.exp(rng.uniform(np.log(0.01), np.log(5), 44))
+    for k in range(44):
+        # the whole integral, over twelve deviations around the mode of a fine grid
+        z = np.linspace(-60, 60, 2_000_001)
+        h = x[k] * z - np.exp(np.minimum(z, 700)) - (z - m[k]) ** 2 / (2 * s[k] ** 2)
+        near = z[h > h.max() - 40]
+        z = np.linspace(near[0] - 1e-3, near[-1] + 1e-3, 20_001)
+        h = x[k] * z - np.exp(z) - (z - m[k]) ** 2 / (2 * s[k] ** 2)
+        want = np.log(np.exp(h - h.max()).sum() * (z[1] - z[0])) + h.max() - K.lgamma(x[k] + 1) - 0.5 * np.log(2 * np.pi * s[k] ** 2)
+        want = want if want > -744 else np.log(1e-15)
+        assert abs(K.poilog_logpmf(x[k], m[k], s[k])[0] - want) < 1e-8 * max(1, abs(want))
+    assert K.poilog_logpmf([3, 3, 4], [1, 1, 1], 0.5)[0] == K.poilog_logpmf(3, 1, 0.5)[0]
+    calls, real = [], K._poilog
+    monkeypatch.setattr(K, "_poilog", lambda *a, **k: calls.append(1) or real(*a, **k))
+    lam, d = rng.random(400) / 50, 3000.0
+    y = rng.poisson(d * lam * np.exp(rng.normal(0.7, 0.6, 400))).astype(float)
+    mu, sig = K.fit_lnpois(y, lam, d)
+    assert len(calls) < 20
+    base = np.round(np.log(lam * d), 2)
+    at = lambda a, b: float(K.poilog_logpmf(y, a + base, b).sum())
+    assert all(at(mu + a, sig + b) <= at(mu, sig) + 1e-8 for a, b in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3)))
+    # no spread beyond Poisson's, and counts that are all 0
+    assert abs(K.fit_lnpois(np.full(50, 4.0), np.full(50, 0.1), 40.0)[1] - 0.01) < 1e-12
+    assert K.fit_lnpois(np.zeros(9), np.full(9, 0.1), 40.0)[1] >= 0.01
