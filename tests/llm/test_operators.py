@@ -389,3 +389,35 @@ def test_minhash_of_very_frequent_pairs(spark, monkeypatch):
             u, v = find(x), find(y)
             parent[max(u, v)] = min(u, v)
     assert got == {i: find(i) for i in range(150)}
+
+
+def test_minhash_compares_members_of_many_lists_once(spark, monkeypatch):
+    """Near copies meet in many long lists; rows dealt to blocks don't grow with the number of lists, and no link is lost."""
+    rng = np.random.default_rng(12)
+    base, docs = [f"w{i}" for i in range(120)], []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 6)), replace=False):
+            words[at] = f"x{rng.integers(0, 3)}" if k % 2 else f"y{k}_{at}"
+        docs.append((k, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (d[1].split() for d in docs)]
+    component = list(range(150))
+    for i, j in itertools.combinations(range(150), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and component[i] != component[j]:
+            low, high = sorted((component[i], component[j]))
+            component = [low if c == high else c for c in component]
+    assert 3 < len(set(component)) < 140
+    monkeypatch.setattr(minhash, "LIST", 6)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    dealt, real = [], minhash.join_unskewed
+
+    def spy(rows, summary, *rest):
+        out = real(rows, summary, *rest)
+        if "ni" in summary.columns:
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "join_unskewed", spy)
+    got = {r.doc_id: r.component_id for r in minhash.minhash_classes(spark.createDataFrame(docs, DOCS), 0.8).collect()}
+    assert got == dict(enumerate(component))
+    assert sum(dealt) <= 2 * 150
