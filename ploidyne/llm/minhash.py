@@ -9,8 +9,8 @@
    collision, can't reach T and are skipped; for the others the rest of their lists is skipped by comparing signatures. Those with T matches are
    confirmed on their full sets.
 4. A posting list longer than LIST is first joined to its least member alone. If that leaves its members in more than one component, those outside the
-   component that most are in are to be linked. Lists of one such component become one where this takes fewer comparisons. Outsiders meet three pivots of the list, for as long as this joins many. Before each round members that have too many shingles of their own to be
-   linked with an outsider go. The outsiders that are left are compared with all members, in blocks: a task compares two blocks by a product of their incidence matrices, and
+   component that most are in are outsiders. Lists of one such component become one where this takes fewer comparisons, and members go that have too many shingles of their
+   own to be linked with an outsider. The outsiders that are left are compared with all members, in blocks: a task compares two blocks by a product of their incidence matrices, and
    returns links that span what it joined. So no list emits all its pairs, members that are joined already meet no one but outsiders, and no link between components is lost.
 5. Components come from star rounds over the links.
 
@@ -40,8 +40,6 @@ COLLISIONS = 3
 #: Posting lists with more classes are compared in blocks of BLOCK.
 LIST = 48
 BLOCK = 384
-#: Rounds in which outsiders of long lists meet pivots, at most.
-PIVOTS = 4
 _rng = np.random.default_rng(977)
 _A = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, 256, dtype=np.uint64)
@@ -196,7 +194,7 @@ def _merged(split: DataFrame) -> DataFrame:
 
 
 def _linkable(split: DataFrame, sets: DataFrame, percent: int, hot: int) -> DataFrame:
-    """(token, cid, u) without the members that can't be linked with an outsider of their list, or as outsiders with any member. With ux of x's shingles in no other member's
+    """(token, cid) without the members that can't be linked with an outsider of their list, or as outsiders with any member. With ux of x's shingles in no other member's
     set, and uy of y's, x and y share at most |x| - ux of at least |x| + uy shingles."""
     some = sets.join(small_enough(split.select("cid").distinct()), "cid", "left_semi")
     alone = some.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1")
@@ -210,7 +208,7 @@ def _linkable(split: DataFrame, sets: DataFrame, percent: int, hot: int) -> Data
         best = best.join(x.groupBy("token").agg(F.count(F.lit(1)).alias("all")), "token")
         met = join_unskewed(x, best, "token", "all", hot)
         x = met.where((F.col("out") != out) | ((F.col("room") >= F.col("least")) & (F.col("most") >= F.col("u")))).drop("least", "most", "all")
-    return x.select("token", "cid", "u")
+    return cut_small(x.select("token", "cid"))
 
 
 def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
@@ -230,22 +228,19 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
     led = of_long.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
     sig = classes.select("cid", "sig", F.col("n_shingles").alias("n"))
 
+    probe = often.union(led).join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny")), "b")
+    # a class leads as many pairs as its longest lists have members
+    leads = probe.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx")), "a")
+    probe = join_unskewed(probe, leads, "a", "pairs", hot)
+    probe = probe.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+
     def matches(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in "xy")
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= t))
 
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        """The pairs whose signatures agree in T coordinates."""
-        probe = pairs.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny")), "b")
-        # a class leads as many pairs as its longest lists have members
-        leads = probe.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx")), "a")
-        probe = join_unskewed(probe, leads, "a", "pairs", hot)
-        probe = probe.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-        return cut_small(probe.select("a", "b", "x", "y").mapInArrow(matches, "a binary, b binary"))
-
-    pairs = agreeing(often.union(led))
+    pairs = cut_small(probe.select("a", "b", "x", "y").mapInArrow(matches, "a binary, b binary"))
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(of_long.select("cid")).distinct()
     wanted = cut_small(ids.join(classes.select("cid", "rep"), "cid"))
     sets = cut(_sets(docs, wanted, words))
@@ -253,25 +248,9 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
     if long_lists.limit(1).count() == 0:
         return first
     parts = cut_small(connected_components(first))
-    posts, left = _merged(_outsiders(of_long.select(F.col("token").cast("string").cast("binary").alias("token"), "cid"), parts, hot)), None
-    for k in range(PIVOTS + 1):
-        # members that no other one of their lists can be linked with, by the shingles that they alone have, go
-        posts = cut_small(_linkable(_outsiders(posts, parts, hot), sets, percent, hot))
-        split = _outsiders(posts, parts, hot).join(posts, ["token", "cid"])
-        before, left = left, split.agg(F.coalesce(F.sum("out"), F.lit(0))).first()[0]
-        if not left:
-            return _stars(parts)
-        if k == PIVOTS or (k and left > before / 2):
-            break
-        # members with few shingles of their own, of each list's main component and of its outsiders, meet all outsiders, so links to them join those
-        chance = F.pmod(F.xxhash64("cid", F.lit(k)), F.lit(1 << 20))
-        pivot = lambda out, by: F.min_by(F.when(F.col("out") == out, F.col("cid")), F.when(F.col("out") == out, by))
-        some = [pivot(0, (F.col("u") + 1) * (chance if k else F.lit(1))), pivot(0, chance), pivot(1, (F.col("u") + 1) * (chance if k else F.lit(1)))]
-        few = split.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.array(*some).alias("p"))
-        met = join_unskewed(split.where("out = 1").select("token", "cid"), few, "token", "all", hot).select(F.explode("p").alias("a"), F.col("cid").alias("b"))
-        found = cut_small(_confirm(agreeing(met.where("a != b").distinct()), sets, percent))
-        parts = cut_small(connected_components(_stars(parts).union(found)))
-    split = cut_small(split.select("token", "cid", "label", "out"))
+    posts = _merged(_outsiders(of_long.select(F.col("token").cast("string").cast("binary").alias("token"), "cid"), parts, hot))
+    # members that no other one of their lists can be linked with, by the shingles that they alone have, go
+    split = _outsiders(_linkable(_outsiders(posts, parts, hot), sets, percent, hot), parts, hot).drop("main")
     sizes = cut(split.groupBy("token").agg(F.sum("out").alias("outside"), F.count(F.lit(1)).alias("all")))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     dealt = join_unskewed(split, sizes.withColumn("no", blocks(F.col("outside"))).withColumn("ni", blocks(F.col("all") - F.col("outside"))), "token", "all", hot)
