@@ -215,6 +215,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item_words: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def search(index: Index) -> DataFrame:
+        @tk.tidy
         def run(batches):
             for batch in batches:
                 for part in tk.slices(batch, "text", 2 << 20):

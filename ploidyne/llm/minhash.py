@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ploidyne.llm import textkernel as tk
-from ploidyne.llm.common import connected_components, cut, cut_small, documents, hot_rows, join_unskewed, small_enough
+from ploidyne.llm.common import connected_components, cut_counted, cut_small, documents, hot_rows, in_few_parts, join_unskewed, small_enough
 
 WORDS = 5
 COORDINATES = 64
@@ -78,6 +78,7 @@ def text_key(text: str = "text") -> list:
 def features(docs: DataFrame, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
     """(doc_id, k1, k2, n_shingles, cid, sig) of each row; k1 and k2 tell texts apart, cid is the fingerprint of the set, sig the signature's bytes."""
 
+    @tk.tidy
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -88,9 +89,10 @@ def features(docs: DataFrame, words: int = WORDS, k: int = COORDINATES) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_key()).mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, cid binary, sig binary")
 
 
-def _postings(classes: DataFrame, t: int, k: int) -> DataFrame:
+def _postings(classes: DataFrame, t: int, k: int, n_classes: int) -> DataFrame:
     """(token, cid) for the rarest K - T + COLLISIONS coordinate-value pairs of each class, as far as another class has them."""
 
+    @tk.tidy
     def run(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
@@ -100,7 +102,7 @@ def _postings(classes: DataFrame, t: int, k: int) -> DataFrame:
     tokens = classes.select("cid", "sig").mapInArrow(run, "token long, cid binary")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # by class: its shared pairs, rarest first; its single pairs come before them
-    met = join_unskewed(tokens, shared, "token", "df", hot_rows(classes.count() * k))
+    met = join_unskewed(tokens, shared, "token", "df", hot_rows(n_classes * k))
     mine = met.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("p"))
     room = F.lit(k - t + COLLISIONS) - (F.lit(k) - F.size("p"))
     return mine.where(room > 0).select("cid", F.explode(F.slice("p", F.lit(1), room)).alias("p")).select(F.col("p.token").alias("token"), "cid")
@@ -109,6 +111,7 @@ def _postings(classes: DataFrame, t: int, k: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(cid, shingles) for the wanted (cid, rep): shingles are computed again from the texts of these alone, one text for each class."""
 
+    @tk.tidy
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -176,24 +179,24 @@ def _stars(parts: DataFrame) -> DataFrame:
     return parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
-def _outsiders(posts: DataFrame, parts: DataFrame, hot: int) -> DataFrame:
+def _outsiders(posts: DataFrame, parts: DataFrame, hot: int, most: int) -> DataFrame:
     """(token, cid, label, main, out) of the lists with members in more than one component; main is the component that has most of the list, out is 1 outside it."""
     members = posts.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", F.coalesce("component", "cid").alias("label"))
     by = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    main = cut(by.where("all > top.n").select("token", F.col("top.label").alias("main"), "all"))
-    return cut_small(join_unskewed(members, main, "token", "all", hot).select("token", "cid", "label", "main", (F.col("label") != F.col("main")).cast("int").alias("out")))
+    main = cut_small(by.where("all > top.n").select("token", F.col("top.label").alias("main"), "all"), most=most)
+    return cut_small(join_unskewed(members, main, "token", "all", hot).select("token", "cid", "label", "main", (F.col("label") != F.col("main")).cast("int").alias("out")), most=most)
 
 
-def _merged(split: DataFrame) -> DataFrame:
+def _merged(split: DataFrame, most: int) -> DataFrame:
     """(token, cid) of the lists, those of one main component as one where this takes no more comparisons: similar classes meet in many lists, here in one."""
     product = F.sum("out").cast("double") * F.count(F.lit(1))
     apart = split.groupBy("main", "token").agg(product.alias("n")).groupBy("main").agg(F.sum("n").alias("apart"))
     joint = split.select("main", "cid", "out").distinct().groupBy("main").agg(product.alias("joint"))
     fewer = small_enough(apart.join(joint, "main").where("joint <= apart").select("main", F.lit(True).alias("merge")))
-    return cut_small(split.join(fewer, "main", "left").select(F.when(F.col("merge"), F.col("main")).otherwise(F.col("token")).alias("token"), "cid").distinct())
+    return cut_small(split.join(fewer, "main", "left").select(F.when(F.col("merge"), F.col("main")).otherwise(F.col("token")).alias("token"), "cid").distinct(), most=most)
 
 
-def _linkable(split: DataFrame, sets: DataFrame, percent: int, hot: int) -> DataFrame:
+def _linkable(split: DataFrame, sets: DataFrame, percent: int, hot: int, most: int) -> DataFrame:
     """(token, cid) without the members that can't be linked with an outsider of their list, or as outsiders with any member. With ux of x's shingles in no other member's
     set, and uy of y's, x and y share at most |x| - ux of at least |x| + uy shingles."""
     some = sets.join(small_enough(split.select("cid").distinct()), "cid", "left_semi")
@@ -203,22 +206,23 @@ def _linkable(split: DataFrame, sets: DataFrame, percent: int, hot: int) -> Data
     # x and y can be linked if room(x) >= u(y) and room(y) >= u(x)
     x = split.join(known.select("cid", (F.col("u") * percent).alias("u"), ((F.col("size") - F.col("u")) * 100 - F.col("size") * percent).alias("room")), "cid")
     for out in (1, 0):
-        x = cut_small(x)
+        x = cut_small(x, most=most)
         best = x.where(F.lit(True) if out else F.col("out") == 1).groupBy("token").agg(F.min("u").alias("least"), F.max("room").alias("most"))
         best = best.join(x.groupBy("token").agg(F.count(F.lit(1)).alias("all")), "token")
         met = join_unskewed(x, best, "token", "all", hot)
         x = met.where((F.col("out") != out) | ((F.col("room") >= F.col("least")) & (F.col("most") >= F.col("u")))).drop("least", "most", "all")
-    return cut_small(x.select("token", "cid"))
+    return cut_small(x.select("token", "cid"), most=most)
 
 
 def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
     """Links (a, b) between classes, of similarity at least ``similarity``, that connect all that are linked."""
     percent, t = round(similarity * 100), match_threshold(similarity, k)
-    posted = cut_small(_postings(classes, t, k))
-    hot = hot_rows(posted.count())
-    lists = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("lead")).where("m > 1"))
+    n_classes = classes.count()
+    posted, n_posted = cut_counted(_postings(classes, t, k, n_classes), most=n_classes * k)
+    hot = hot_rows(n_posted)
+    lists = cut_small(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("lead")).where("m > 1"), most=n_posted // 2)
     long_lists = lists.where(F.col("m") > LIST)
-    of_long = cut_small(join_unskewed(posted, long_lists, "token", "m", hot))
+    of_long, n_long = cut_counted(join_unskewed(posted, long_lists, "token", "m", hot), most=n_posted)
     short = posted.join(lists.where(F.col("m") <= LIST).select("token"), "token")
     merged = short.select("token", F.col("cid").alias("a")).join(short.select("token", F.col("cid").alias("b")), "token").where("a < b")
     spare = of_long.groupBy("cid").agg(F.count(F.lit(1)).alias("w"))
@@ -234,24 +238,25 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
     probe = join_unskewed(probe, leads, "a", "pairs", hot)
     probe = probe.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
 
+    @tk.tidy
     def matches(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in "xy")
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= t))
 
-    pairs = cut_small(probe.select("a", "b", "x", "y").mapInArrow(matches, "a binary, b binary"))
+    pairs, n_pairs = cut_counted(probe.select("a", "b", "x", "y").mapInArrow(matches, "a binary, b binary"))
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(of_long.select("cid")).distinct()
-    wanted = cut_small(ids.join(classes.select("cid", "rep"), "cid"))
-    sets = cut(_sets(docs, wanted, words))
-    first = cut_small(_confirm(pairs, sets, percent))
-    if long_lists.limit(1).count() == 0:
+    wanted = cut_small(ids.join(classes.select("cid", "rep"), "cid"), most=n_classes)
+    sets = cut_small(_sets(docs, wanted, words), 2_000, n_classes)
+    first = cut_small(_confirm(pairs, sets, percent), most=n_pairs)
+    if n_long == 0:
         return first
-    parts = cut_small(connected_components(first))
-    posts = _merged(_outsiders(of_long.select(F.col("token").cast("string").cast("binary").alias("token"), "cid"), parts, hot))
+    parts = cut_small(connected_components(first, most=n_pairs), most=2 * n_pairs)
+    posts = _merged(_outsiders(of_long.select(F.col("token").cast("string").cast("binary").alias("token"), "cid"), parts, hot, n_long), n_long)
     # members that no other one of their lists can be linked with, by the shingles that they alone have, go
-    split = _outsiders(_linkable(_outsiders(posts, parts, hot), sets, percent, hot), parts, hot).drop("main")
-    sizes = cut(split.groupBy("token").agg(F.sum("out").alias("outside"), F.count(F.lit(1)).alias("all")))
+    split = _outsiders(_linkable(_outsiders(posts, parts, hot, n_long), sets, percent, hot, n_long), parts, hot, n_long).drop("main")
+    sizes = cut_small(split.groupBy("token").agg(F.sum("out").alias("outside"), F.count(F.lit(1)).alias("all")), most=n_long)
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     dealt = join_unskewed(split, sizes.withColumn("no", blocks(F.col("outside"))).withColumn("ni", blocks(F.col("all") - F.col("outside"))), "token", "all", hot)
     # blocks by a hash of the member: of outsiders 0 to no - 1, of the others no to no + ni - 1; a task for each block of outsiders with each block
@@ -273,17 +278,18 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
 def row_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
     """(doc_id, k1, k2, n_shingles, component, least) of every row of ``docs``: least is the first row of the component, as (no_id, doc_id, k1, k2), that with the least
     doc_id; both are null for texts without words."""
-    all_rows = cut_small(features(docs, words, k), 20_000)
+    all_rows, n_rows = cut_counted(features(docs, words, k), 20_000)
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
-    classes = cut_small(all_rows.where("n_shingles > 0").groupBy("cid").agg(F.min(rep).alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), 20_000)
-    parts = connected_components(links(docs, classes, similarity, words, k))
-    named = cut_small(classes.select("cid", "rep", "copies").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    classes = cut_small(all_rows.where("n_shingles > 0").groupBy("cid").agg(F.min(rep).alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), 20_000, n_rows)
+    found = links(docs, classes, similarity, words, k)
+    parts = connected_components(found, most=found.count())
+    named = cut_small(classes.select("cid", "rep", "copies").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), most=n_rows)
     least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("m"))
-    hot = hot_rows(all_rows.count())
+    hot = hot_rows(n_rows)
     ids = join_unskewed(named, least, "component", "m", hot).select("cid", "component", "least", "copies")
     some = all_rows.where("n_shingles > 0").select("cid", "doc_id", "k1", "k2", "n_shingles")
     out = join_unskewed(some, ids, "cid", "copies", hot).select("doc_id", "k1", "k2", "n_shingles", "component", "least")
-    return out.unionByName(all_rows.where("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles"), allowMissingColumns=True)
+    return in_few_parts(out.unionByName(all_rows.where("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles"), allowMissingColumns=True), n_rows)
 
 
 def minhash_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORDS, k: int = COORDINATES) -> DataFrame:
@@ -297,11 +303,11 @@ def minhash_classes(docs: DataFrame, similarity: float = 0.85, words: int = WORD
 def near_dedup(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that with the least doc_id (a null one is the last), and of rows equal in doc_id and text the one whose
     columns hash least; all rows without words stay."""
-    rows = cut_small(row_classes(docs.select("doc_id", "text"), similarity, words))
+    rows, n_rows = cut_counted(row_classes(docs.select("doc_id", "text"), similarity, words))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2") == F.struct("least.no_id", "least.doc_id", "least.k1", "least.k2")
     # by doc_id and text: the rows that go, and those of which one stays
     fate = rows.where("n_shingles > 0").groupBy("doc_id", "k1", "k2").agg(F.min(F.coalesce(first, F.lit(False)).cast("int")).alias("first"), F.count(F.lit(1)).alias("n"))
-    fate = cut_small(fate.where("first = 0 or n > 1").select(F.col("doc_id").alias("r0"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "first"))
+    fate = cut_small(fate.where("first = 0 or n > 1").select(F.col("doc_id").alias("r0"), F.col("k1").alias("r1"), F.col("k2").alias("r2"), "first"), most=n_rows)
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), *text_key())
     same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("id").eqNullSafe(F.col("r0"))
     stay = packed.join(small_enough(fate), same, "left_anti").select("row.*")

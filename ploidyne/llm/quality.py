@@ -117,6 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     # a doc_id that many rows share must not bring them all to the driver: each label takes one text
     sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("_id", "_label").agg(F.min("text").alias("text")).select("text", "_label")
 
+    @tk.tidy
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -133,6 +134,7 @@ def classify(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text, in column ``name``."""
     docs = docs.drop(name)
 
+    @tk.tidy
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):

@@ -6,6 +6,9 @@ longer than that forms a slice of its own. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +48,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give back to the system what Arrow's pool and malloc keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run):
+    """``run``, a function for mapInArrow, whose worker keeps no freed memory after its last batch: it stays and waits beside the executor's JVM, through stages without Python."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES):
     """Parts of ``batch`` whose texts have at most ``max_bytes`` together, or one text."""
     if not batch.num_rows:

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -421,3 +422,43 @@ def test_minhash_compares_members_of_many_lists_once(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in minhash.minhash_classes(spark.createDataFrame(docs, DOCS), 0.8).collect()}
     assert got == dict(enumerate(component))
     assert sum(dealt) <= 3 * 150
+
+
+def test_op3_writes_few_files_from_many_partitions(spark):
+    """Tables with a bounded number of rows are written in few parts, however many partitions a shuffle has: each file costs a task and processes of the executor."""
+    from ploidyne.operators.plumbing import shared_dir
+
+    rng = random.Random(6)
+    docs, base = [], prose(random.Random(5), 60).split()
+    for i in range(120):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        docs.append((i, " ".join(words) if i % 2 else prose(rng, 40)))
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = {*top.rglob("part-*")}
+        kept = sorted(r.doc_id for r in minhash.near_dedup(spark.createDataFrame(docs, DOCS)).collect())
+        written = len({*top.rglob("part-*")} - before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {1, 3}.intersection(kept) and len(kept) < 120
+    assert written < 500, written
+
+
+def test_workers_keep_no_freed_memory(spark):
+    """A worker that has made features of large batches holds little more afterwards than before."""
+
+    def anon(batches):
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([sum(int(x.split()[1]) for x in Path("/proc/self/smaps_rollup").read_text().splitlines() if x.startswith("Pss_Anon")) // 1024])], names=["mb"])
+
+    held = lambda: max(r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(anon, "mb long").collect())
+    texts = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("doc_id"), F.expr("repeat(concat(id, ' '), 2000)").alias("text"))
+    minhash.features(texts.limit(1)).collect()
+    before = held()
+    assert minhash.features(texts).agg(F.sum("n_shingles")).first()[0] == 40_000
+    assert held() < before + 8
