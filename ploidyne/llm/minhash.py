@@ -249,7 +249,8 @@ def links(docs: DataFrame, classes: DataFrame, similarity: float = 0.85, words:
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(of_long.select("cid")).distinct()
     wanted = cut_small(ids.join(classes.select("cid", "rep"), "cid"), most=n_classes)
     sets = cut_small(_sets(docs, wanted, words), 2_000, n_classes)
-    first = cut_small(_confirm(pairs, sets, percent), most=n_pairs)
+    # each pair brings two whole sets
+    first = cut_small(_confirm(pairs, sets, percent), 10_000, n_pairs)
     if n_long == 0:
         return first
     parts = cut_small(connected_components(first, most=n_pairs), most=2 * n_pairs)
