@@ -248,3 +248,54 @@ def test_poisson_lognormal_needs_few_steps(monkeypatch):
     # no spread beyond Poisson's, and counts that are all 0
     assert abs(K.fit_lnpois(np.full(50, 4.0), np.full(50, 0.1), 40.0)[1] - 0.01) < 1e-12
     assert K.fit_lnpois(np.zeros(9), np.full(9, 0.1), 40.0)[1] >= 0.01
+
+
+def _clades(tree):
+    below = {}
+    for v in tree.postorder():
+        below[v] = frozenset([v]) if v < tree.n else frozenset().union(*[below[c] for c in tree.children[v]])
+    return set(below.values())
+
+
+def test_average_linkage_without_a_matrix(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0.5, 0.07, (400, 6))
+    some = x[rng.integers(0, 60, 300)]
+    far = graph.pairwise(some)
+    far[(some[:, None] == some[None]).all(2)] = 0
+    want, repeated = phylogeny.upgma(graph.pairwise(x)), phylogeny.upgma(far)
+    for dense in (100, 20):
+        monkeypatch.setattr(phylogeny, "DENSE", dense)
+        assert phylogeny.upgma_cells(x).children == want.children
+        assert phylogeny.upgma_cells(some).children == repeated.children
+    scores = phylogeny.greedy_nni(want, x)[1]
+    assert abs(scores[-1] - phylogeny.tree_score(phylogeny.greedy_nni(want, x)[0], x)) < 1e-6
+
+
+def test_trees_of_many_cells_need_no_matrix_of_pairs(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(phylogeny, "DENSE", 500, raising=False)
+    p = np.random.default_rng(10).normal(0.5, 0.07, (3000, 8)).clip(0, 1)
+    tracemalloc.start()
+    tree, _ = phylogeny.candidate_tree(p, [str(i) for i in range(3000)], 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the matrix alone takes 72 MB
+    assert tree.n == 3000 and most < 40e6
+
+
+def test_neighbour_joining_without_a_matrix(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(0.5, 0.07, (300, 6)), np.zeros(6)])
+    some = np.vstack([x[rng.integers(0, 40, 200)], np.zeros(6)])
+    far = graph.pairwise(some)
+    far[(some[:, None] == some[None]).all(2)] = 0
+    want, repeated = _clades(phylogeny.neighbour_joining(graph.pairwise(x), 300)), phylogeny.neighbour_joining(far, 200)
+    kinds = lambda t: {frozenset(some[k].tobytes() for k in c) for c in _clades(t)}
+    for dense, near in ((100, 32), (8, 32), (20, 2)):
+        monkeypatch.setattr(phylogeny, "DENSE", dense)
+        monkeypatch.setattr(phylogeny, "NEAR", near)
+        assert _clades(phylogeny.join_cells(x, 300)) == want
+        # of equal rows any two may be joined first
+        assert kinds(phylogeny.join_cells(some, 200)) == kinds(repeated)
